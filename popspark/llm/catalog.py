@@ -1,9 +1,10 @@
 """Queries of the corpus operators and, where SQL can express them, the SQL that checks them."""
 
-from popspark.llm import bpe, exact_dedup
+from popspark.llm import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
