@@ -17,7 +17,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from popspark.llm.common import documents
+from popspark.llm.common import byte_slices, documents
 
 TOKENIZER = "word_bpe_49k.json"
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
@@ -234,6 +233,8 @@ class WordBpe:
         return " ".join([self.tokens[t] for t in ids if t in self.tokens])
 
 
+#: Bytes of text that are encoded together; memory does not depend on how rows were batched.
+BATCH = 4_000_000
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _LOADED: dict[str, WordBpe] = {}
 
@@ -244,29 +245,16 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Rows in groups of about ``most`` characters, so that memory does not depend on how rows were batched."""
-    for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-        at = 0
-        while at < len(ids):
-            end, held = at, 0
-            while end < len(ids) and (end == at or held < most):
-                held += len(texts[end].as_py() or "")
-                end += 1
-            yield ids[at:end], [t or "" for t in texts.slice(at, end - at).to_pylist()]
-            at = end
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int), n_tokens for each row."""
     path = path or tokenizer_path()
 
     def run(batches):
         bpe = loaded(path)
-        for ids, texts in _slices(batches):
+        for b in byte_slices(batches, "text", BATCH):
+            texts = [t or "" for t in b.column("text").to_pylist()]
             flat = [[int(x) for e in entries for x in e[0].split()] for entries in bpe.encode(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(map(len, flat), pa.int64())], ["doc_id", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(flat, pa.list_(pa.int32())), pa.array(map(len, flat), pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
@@ -294,11 +282,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         bpe = loaded(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for ids, texts in _slices(batches):
+        for b in byte_slices(batches, "text", BATCH):
+            ids, texts = b.column("doc_id"), [t or "" for t in b.column("text").to_pylist()]
             rows = bpe.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
+                    ids,
                     pa.array([sum([e[1] for e in r]) for r in rows], pa.int64()),
                     pa.array([sha(" ".join([e[0] for e in r])) for r in rows]),
                     pa.array([sha(" ".join([e[2] for e in r])) for r in rows]),
