@@ -1,12 +1,13 @@
 """Queries of the corpus operators and, where SQL can express them, the SQL that checks them."""
 
-from popspark.llm import bpe, exact_dedup, language_id, mixing, substring_dedup
+from popspark.llm import bpe, exact_dedup, language_id, mixing, ngram_join, substring_dedup
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}

@@ -136,6 +136,10 @@ class Words:
         at = np.arange(len(hashes))
         return _windows(hashes, at, np.minimum(at + size, len(hashes)), _BASES[1 - which])
 
+    def spans(self, hashes: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from ``at`` up to ``end``."""
+        return _windows(hashes, at, end, _BASES[1])
+
     def whole(self, hashes: np.ndarray, which: int = 0) -> np.ndarray:
         """Hash of each document's word sequence."""
         return _windows(hashes, self.first[:-1], self.first[1:], _BASES[1 - which] ^ 0x5A5A0)
