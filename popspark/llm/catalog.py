@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, the SQL that checks them."""
 
-from popspark.llm import bpe, exact_dedup, language_id, mixing, ngram_join, substring_dedup
+from popspark.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, substring_dedup
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
