@@ -1,8 +1,9 @@
 """Queries of the corpus operators and, where SQL can express them, the SQL that checks them."""
 
-from popspark.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, substring_dedup
+from popspark.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
@@ -10,5 +11,6 @@ QUERIES = {
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
