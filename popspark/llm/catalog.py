@@ -1,11 +1,12 @@
 """Queries of the corpus operators and, where SQL can express them, the SQL that checks them."""
 
-from popspark.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup, token_counts
+from popspark.llm import bpe, ctw, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_ctw": ctw.op4_ctw,
     "op5_language_id": language_id.op5_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
