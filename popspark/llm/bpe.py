@@ -259,6 +259,24 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
 
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, ids (array of int) and the digest of the decoded text for each row of ``docs``."""
+    path = path or tokenizer_path()
+
+    def run(batches):
+        bpe = loaded(path)
+        for b in byte_slices(batches, "text", BATCH):
+            rows = bpe.encode([t or "" for t in b.column("text").to_pylist()])
+            sizes = [sum([e[1] for e in r]) for r in rows]
+            flat = np.array(" ".join([e[0] for r in rows for e in r]).split(), np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
+            sha = [hashlib.sha256(" ".join([e[2] for e in r]).encode("utf-8")).hexdigest() for r in rows]
+            columns = [b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), ids, pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the decoded text for rows with doc_id and ids."""
     path = path or tokenizer_path()

@@ -1,5 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, the SQL that checks them."""
 
+import corpus_pipeline
 from popspark.llm import bpe, ctw, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup, token_counts
 
 QUERIES = {
@@ -13,5 +14,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_token_counts": token_counts.op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
+#: Queries whose rows SQL cannot express are tested in tests/llm.
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
