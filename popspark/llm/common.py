@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,17 +82,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-@lru_cache(maxsize=8)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, base, _U)
-    down = np.full(size, pow(base, -1, 2**64), _U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """Powers of an odd base and of its inverse, one pair of arrays for each base, which only grows."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        up = np.full(-(-size // 262_144) * 262_144, base, _U)
+        down = np.full(len(up), pow(base, -1, 2**64), _U)
+        up[0] = down[0] = 1
+        _POWERS[base] = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    return _POWERS[base]
 
 
 def _windows(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Position-free polynomial hash modulo 2**64 of values[start:end] for each pair."""
-    up, down = _powers(base, 1 << max(16, int(len(values) + 1).bit_length()))
+    up, down = _powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, _U)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[end] - total[start]) * down[start])

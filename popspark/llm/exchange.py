@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import mix
 
-UNIT_BYTES = 6_000_000
+UNIT_BYTES = 4_000_000
 BUCKET_BYTES = 4_000_000
 
 SENT = "bucket int, unit long, keys binary, counts binary"
