@@ -1,4 +1,6 @@
 """Named queries over the driver tables and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from popspark.queries import interval_queries, window_queries
+from popspark.queries.views import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "interval_queries", "window_queries"]
