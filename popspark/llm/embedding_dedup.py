@@ -31,8 +31,8 @@ from popspark.llm.components import components
 COSINE = 0.98
 BLOCKS = 3
 #: Filters that a vector exceeds, on average and at least.
-FILTERS = 20
-LEAST = 6
+FILTERS = 10
+LEAST = 4
 #: Vectors in a block of a large filter.
 BLOCK = 1000
 
@@ -98,14 +98,16 @@ def _coded(classes: DataFrame, words: int) -> DataFrame:
     def run(batches):
         codes: dict[int, Code] = {}
         for b in batches:
-            vectors = b.column("embedding").to_pylist()
-            out: list = [None] * len(vectors)
-            for length in {len(v) for v in vectors}:
-                rows = [i for i, v in enumerate(vectors) if len(v) == length]
+            column = b.column("embedding")
+            size = column.value_lengths().to_numpy(zero_copy_only=False)
+            values, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.append(0, np.cumsum(size))
+            out: list = [None] * len(size)
+            for length in np.unique(size).tolist():
+                rows = np.flatnonzero(size == length)
                 code = codes.setdefault(length, Code(length, words))
-                x = np.array([vectors[i] for i in rows], np.float64)
+                x = values[at[rows][:, None] + np.arange(length)]
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                for i, f in zip(rows, code.filters(x / np.linalg.norm(x, axis=1, keepdims=True))):
+                for i, f in zip(rows.tolist(), code.filters(x / np.linalg.norm(x, axis=1, keepdims=True))):
                     out[i] = f
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int64()))], [*b.schema.names, "filters"])
 
@@ -119,26 +121,33 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 def _compare(cosine: float):
     """Links within a pack of tasks: (vector, null, linked vectors) and a spanning set (vector, vector, 0)."""
 
-    def unit(rows):
-        x = np.array(rows, np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
+    def unit(x):
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def first_common(f, filters, i, j):
-        """Whether ``f`` is the least filter that both vectors of a pair have."""
-        return np.fromiter((not any(g in filters[y] for g in filters[x] if g < f) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+    def earlier(f, lists, size):
+        """Which pairs of rows share a filter less than ``f``; ``lists``: all rows' filters, ``size``: how many each."""
+        row = np.repeat(np.arange(len(size)), size)[lists < f]
+        names, at = np.unique(lists[lists < f], return_inverse=True)
+        held = np.zeros((len(size), len(names)), np.float32)
+        held[row, at] = 1
+        return held @ held.T > 0
+
+    def flat(column):
+        x = column.combine_chunks()
+        return x.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("label", "dim", "filter", "i", "j", "block", "vec_id")])
         keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("label", "dim", "filter", "i", "j")])
         new = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
         ids, copies, block = (table.column(c).to_numpy() for c in ("vec_id", "copies", "block"))
-        vectors, lists = table.column("embedding").to_pylist(), table.column("filters").to_pylist()
+        (vectors, at), (filters, fat) = flat(table.column("embedding")), flat(table.column("filters"))
         out_a, out_b, out_n = [], [], []
         for a, z in zip(new.tolist(), np.append(new[1:], table.num_rows).tolist()):
             if z - a < 2:
                 continue
-            x, filters = unit(vectors[a:z]), [set(f) for f in lists[a:z]]
+            x = unit(vectors[at[a] : at[z]].reshape(z - a, -1).astype(np.float64))
             near = x @ x.T >= cosine
             np.fill_diagonal(near, False)
             if keys[3, a] != keys[4, a]:  # two blocks: only pairs across
@@ -146,7 +155,7 @@ def _compare(cosine: float):
             i, j = np.nonzero(np.triu(near))
             if not len(i):
                 continue
-            own = first_common(int(keys[2, a]), filters, i, j)
+            own = ~earlier(keys[2, a], filters[fat[a] : fat[z]], np.diff(fat[a : z + 1]))[i, j]
             got = np.bincount(i[own], weights=copies[a:z][j[own]], minlength=z - a) + np.bincount(j[own], weights=copies[a:z][i[own]], minlength=z - a)
             label = np.arange(z - a)
             while True:
