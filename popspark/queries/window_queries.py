@@ -346,7 +346,7 @@ def _(v):
     return T.lowess(v.raw("part").withColumn("x", F.col("p_size").cast("double")), targets, "x", "p_retailprice", 0.3)
 
 
-@query("win13_kernel_regression", "SELECT g::DOUBLE AS \"at\", round(sum(exp(-((g - p_size) / 4.0) ** 2 / 2) * p_retailprice) / sum(exp(-((g - p_size) / 4.0) ** 2 / 2)), 6) AS fit FROM part, unnest([5, 15, 25, 35, 45]) u(g) GROUP BY 1")
+@query("win13_kernel_regression", "SELECT g::DOUBLE AS \"at\", round(sum(exp(-(((g - p_size) / 4.0) ** 2) / 2) * p_retailprice) / sum(exp(-(((g - p_size) / 4.0) ** 2) / 2)), 6) AS fit FROM part, unnest([5, 15, 25, 35, 45]) u(g) GROUP BY 1")
 def _(v):
     targets = v.spark.createDataFrame([(float(x),) for x in (5, 15, 25, 35, 45)], "at double")
     return rounded(T.kernel_regression(v.raw("part"), targets, "p_size", "p_retailprice", 4.0), fit=6)
