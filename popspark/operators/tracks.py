@@ -104,3 +104,12 @@ def segment_gc(segments: DataFrame, chunks: DataFrame, bucket: int = 4096) -> Da
     part = F.substring("seq", F.col("lo") - F.col("b_start") + 1, F.col("hi") - F.col("lo"))
     count = lambda letters: F.length(part) - F.length(F.translate(part, letters, ""))
     return hit.groupBy(*segments.columns).agg((F.sum(count("GCgc")) / F.nullif(F.sum(count("ACGTacgt")), F.lit(0))).alias("gc"))
+
+
+def merge_parts(*parts: DataFrame) -> DataFrame:
+    """Rows of tables made for different chromosomes; a chromosome in two of them is an error."""
+    named = [p.select("chrom").distinct().withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    twice = reduce(DataFrame.unionByName, named).groupBy("chrom").count().filter("count > 1")
+    if not twice.isEmpty():
+        raise ValueError("a chromosome occurs in more than one part")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
