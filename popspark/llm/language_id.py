@@ -89,7 +89,8 @@ class Automaton:
             key = state[:live] * self.base + a
             at = np.searchsorted(self.keys, key)
             hit = self.keys[at] == key
-            count[:live] += ~hit & ((state[:live] > 0) | (step > 0))
+            # a letter that the sample lacks is a phrase of its own, so the next one begins another
+            count[:live] += (~hit | (state[:live] == 0)) & (step > 0)
             state[:live] = np.where(hit, self.to[at], self.root[a])
         return count
 

@@ -148,12 +148,12 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
 
 def repeated(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its copies say, columns unchanged."""
-    copies = mix(docs, seed).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("dup").alias("__dup"), "copies")
+    copies = mix(docs, seed).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("dup").alias("__dup"), F.col("copies").cast("int").alias("__copies"))
     order = W.partitionBy("doc_id").orderBy("source", F.col("__size"), F.xxhash64("text"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(order))
     rows = rows.join(copies, rows["doc_id"].eqNullSafe(copies["__id"]) & (rows["__nth"] == copies["__dup"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,487 @@
+"""The corpus operators against brute force, public libraries and awkward rows."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from compare import same
+from pyspark.sql import functions as F
+
+from popspark.llm import bpe, ctw, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup, token_counts
+from popspark.llm.catalog import ORACLES, QUERIES
+from popspark.llm.common import Words, stored
+from popspark.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(text):
+    return re.findall("[^\x20\x09-\x0d]+", text or "")
+
+
+def awkward(spark):
+    """Nulls everywhere, empty and long texts, ties, repeated rows, and columns with names that operators use."""
+    long = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
+    rows = [
+        (1, None, "en", "a", None), (2, "", "en", None, 0), (3, " \t\n", None, "b", 3), (4, "one two", "en", "a", 7), (4, "one two", "en", "a", 7), (5, "one  two", "de", "b", 8),
+        (6, long, "en", "a", 1), (7, long + " tail", "en", "c", 1), (8, "12 34 !!", None, None, 8), (9, "é ß Σ İ <|endoftext|> x", "fr", "c", 9), (None, "one two three four five six", None, "a", 1), (10, "zz " * 50, "en", "b", 1),
+    ]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"unit": F.lit(1), "size": F.lit("x"), "score": F.lit(2), "component_id": F.lit(0), "digest": F.lit("d"), "copies": F.lit(9), "label": F.lit(1)})
+
+
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def table(df):
+    return df.toPandas()
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in docs(spark).select("doc_id", "text").collect()}
+
+
+# -- oracles and rows ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    same(spark, QUERIES[name], ORACLES[name], SF)
+
+
+# -- BPE ------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(texts):
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path()
+    lib, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    rng = np.random.default_rng(1)
+    letters = list("aAbBtheinginé'sΣσİß \t\n\x1c\x85 　éé中文字12½²!?…ñÑǅ'll'VE\U0001f600") + ["<|endoftext|>"]
+    cases = list(texts.values()) + ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(3000)] + ["x" * 3000, "ab" * 500, "", "<|endoftext|", "'s't"]
+    for text, got, want in zip(cases, own.encode(cases), lib.encode_batch(cases, add_special_tokens=False)):
+        assert [int(i) for e in got for i in e[0].split()] == want.ids, repr(text[:80])
+        assert " ".join(e[2] for e in got) == lib.decode(want.ids, skip_special_tokens=False)
+
+
+def test_bpe_pair_test_agrees_with_merging():
+    own = bpe.WordBpe(bpe.tokenizer_path())
+    rng = np.random.default_rng(2)
+    cases = ["".join(rng.choice(list("aeinstrhlo"), rng.integers(1, 14))) for _ in range(4000)]
+    assert own.encode_words(cases) == [own.exact(w) for w in cases]
+    long = "thequickbrown" * 9
+    assert own.exact(long) == own.exact_long([own.vocab[x] for x in own.spell(long)])
+
+
+def test_bpe_round_trip_and_awkward_rows(spark):
+    d = awkward(spark)
+    e = bpe.encode(d)
+    back = {r["doc_id"]: r["text"] for r in bpe.decode(e).collect()}
+    assert back[1] == back[2] == back[3] == "" and back[4] == "one</w> two</w>"
+    assert bpe.digests(d).count() == d.count() and bpe.encode_documents(d).count() == d.count()
+    assert bpe.digests(d.limit(0)).count() == 0
+
+
+# -- exact dedup ------------------------------------------------------------------------------------------------------
+
+
+def test_exact_dedup_over_batches(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    one = spark.createDataFrame([(5, "a  b"), (9, "c")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")
+    first = {r["doc_id"]: r["keep_id"] for r in exact_dedup.deduplicate(one, index).collect()}
+    second = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(two, index).collect()}
+    assert first == {5: 5, 9: 9} and second == {1: (5, False), 2: (2, True), 3: (2, False)}
+    assert index.table().count() == 3
+
+
+def test_exact_dedup_awkward_rows(spark):
+    d = awkward(spark)
+    got = table(exact_dedup.deduplicate(d, exact_dedup.DigestIndex(spark)))
+    assert len(got) == d.count()
+    by = {r.doc_id: r for r in got.itertuples()}
+    assert by[1].keep_id == by[2].keep_id == 1 and by[5].keep_id == 4 and by[5].group_size == 3
+    kept = exact_dedup.keep_first(d, exact_dedup.DigestIndex(spark))
+    assert kept.columns == d.columns and kept.filter("doc_id = 5 OR doc_id = 2").count() == 0
+    assert exact_dedup.deduplicate(d.limit(0), exact_dedup.DigestIndex(spark)).count() == 0
+
+
+# -- substring dedup ------------------------------------------------------------------------------------------------
+
+
+def removed(texts, size=20):
+    seen, out = set(), {}
+    for i in sorted(texts):
+        w = words(texts[i])
+        cover = [False] * len(w)
+        for p in range(len(w) - size + 1):
+            k = tuple(w[p : p + size])
+            if k in seen:
+                cover[p : p + size] = [True] * size
+            seen.add(k)
+        kept = " ".join(x for x, c in zip(w, cover) if not c)
+        out[i] = (len(w), sum(cover), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def test_substring_dedup(spark, texts):
+    got = {r[0]: tuple(r)[1:4] for r in substring_dedup.remove_repeats(docs(spark)).collect()}
+    assert got == removed(texts)
+
+
+def test_substring_dedup_awkward_rows(spark):
+    d = awkward(spark)
+    got = table(substring_dedup.remove_repeats(d))
+    assert len(got) == d.count() and got.set_index("doc_id").n_words[1.0] == 0
+    distinct = d.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = removed({r["doc_id"]: r["text"] for r in distinct.collect()})
+    assert {r[0]: tuple(r)[1:4] for r in substring_dedup.remove_repeats(distinct).collect()} == want
+    assert want[7][1] == 30_000 and want[10][1] > 0
+    assert substring_dedup.remove_repeats(d.limit(0)).count() == 0
+
+
+# -- n-gram join ----------------------------------------------------------------------------------------------------
+
+
+def linked(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = words((t or "").translate(LOWER))
+        sets[i] = frozenset(tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    common, holders = collections.Counter(), collections.defaultdict(list)
+    for i in sorted(sets):
+        for s in sets[i]:
+            common.update((j, i) for j in holders[s])
+            holders[s].append(i)
+    for (a, b), n in common.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_ngram_join(spark, texts):
+    got = {r[0]: tuple(r)[1:] for r in ngram_join.near_duplicates(docs(spark)).collect()}
+    assert got == linked(texts)
+
+
+def test_ngram_join_in_a_hot_group(spark):
+    """Many near copies of one text, whose pairs differ in how close they are, and many texts with one passage."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(120):
+        w = list(base)
+        for p in rng.integers(0, 120, rng.integers(0, 5)):
+            w[p] = f"e{i}_{p}"
+        texts[i] = " ".join(w)
+    for i in range(120, 200):
+        texts[i] = " ".join([f"u{i}_{k}" for k in range(60)] + base[:50])
+    texts[200], texts[201], texts[202] = None, "a b", "A  B"
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in ngram_join.near_duplicates(d).collect()}
+    assert got == linked(texts)
+
+
+def test_ngram_join_awkward_rows(spark):
+    d = awkward(spark)
+    got = table(ngram_join.near_duplicates(d))
+    by = {r.doc_id: r for r in got.itertuples()}
+    assert len(got) == d.count() and by[1].component_id == 1 and by[2].component_id == 2 and by[5].component_id == 4 and by[7].component_id == 6
+    assert ngram_join.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["id"]: r["component_id"] for r in components(stored(spark.createDataFrame(edges, "a long, b long"), "e")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+# -- language identification --------------------------------------------------------------------------------------------
+
+
+def test_language_id_accuracy(spark):
+    got = table(QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id"))
+    held = got[got.held_out]
+    assert len(held) > 150 and (held.lang == held.lang_pred).mean() > 0.97
+    assert got.score.between(0, 1).all()
+    assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out))
+
+
+def test_phrases_are_longest_matches():
+    a = language_id.Automaton(" the cat and the dog ")
+    codes, size = language_id._codes(pa.array(["the", "dogcat", "qq", "andthe"]))
+    start = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    got = dict(zip(order.tolist(), a.phrases(codes, start[order], size[order]).tolist()))
+
+    def brute(word):
+        text, n, at = f" {word} ", 0, 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[at : end + 1] in " the cat and the dog ":
+                end += 1
+            n, at = n + 1, end
+        return n
+
+    assert [got[i] for i in range(4)] == [brute(w) for w in ("the", "dogcat", "qq", "andthe")]
+
+
+def test_language_id_awkward_rows(spark):
+    d = awkward(spark)
+    models = language_id.automata(d)
+    got = table(language_id.identify(d, models))
+    by = {r.doc_id: r for r in got.itertuples()}
+    assert by[1].lang_pred == by[2].lang_pred == by[8].lang_pred == "und" and by[8].score == 0
+    assert set(table(language_id.identify(d, {})).lang_pred) == {"und"} and language_id.automata(d.limit(0)) == {}
+    assert language_id.identify(d.limit(0), models).count() == 0
+
+
+# -- context-tree weighting ---------------------------------------------------------------------------------------------
+
+
+def test_ctw_base_and_held_out(spark, texts):
+    got = table(QUERIES["op4_ctw"](spark, SF))
+    tokens = {i: [*words((t or "").translate(LOWER)), "\n"] for i, t in texts.items()}
+    train = collections.Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update(w)
+    n, v = sum(train.values()), len(train)
+    for r in got.itertuples():
+        w = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(train[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
+        assert r.score < 0
+    assert got[got.held_out].bits_per_byte.mean() < 3.5
+
+
+def brute_ctw(train, text, depth):
+    """Direct definition: trees as dictionaries, weights by recursion."""
+    pad = b"\n" * depth
+    nodes = collections.defaultdict(lambda: [0, 0])
+
+    def decisions(byte):
+        node = 1
+        for k in range(7, -1, -1):
+            bit = byte >> k & 1
+            yield node, bit
+            node = node * 2 + bit
+
+    for t in train:
+        s = pad + t + b"\n"
+        for i in range(depth, len(s)):
+            for node, bit in decisions(s[i]):
+                for d in range(depth + 1):
+                    nodes[s[i - d : i], node][bit] += 1
+
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+
+    kids = collections.defaultdict(list)
+    for c, node in nodes:
+        if c:
+            kids[c[1:], node].append((c, node))
+    memo = {}
+
+    def weighted(key):
+        if key not in memo:
+            own = kt(*nodes[key])
+            memo[key] = own if len(key[0]) == depth else np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(map(weighted, kids[key])))
+        return memo[key]
+
+    s, total = pad + text + b"\n", 0.0
+    for i in range(depth, len(s)):
+        for node, bit in decisions(s[i]):
+            p = None
+            for d in range(depth, -1, -1):
+                key = (s[i - d : i], node)
+                if key not in nodes:
+                    continue
+                z, o = nodes[key]
+                own = (o + 0.5) / (z + o + 1)
+                beta = 1.0 if d == depth else math.exp(math.log(0.5) + kt(z, o) - weighted(key))
+                p = own if p is None else beta * own + (1 - beta) * p
+            p = 0.5 if p is None else p
+            total += math.log10(p if bit else 1 - p)
+    return total
+
+
+def test_ctw_against_its_definition(spark):
+    train = ["the cat sat on the mat", "a cat and a dog", "the dog sat", "on and on"]
+    rows = [(i, t, False) for i, t in enumerate(train)] + [(9, "The  cat and the frog", True), (10, None, True)]
+    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    for i, text in ((9, b"the cat and the frog"), (0, b"the cat sat on the mat"), (10, b"")):
+        assert got[i] == pytest.approx(brute_ctw([t.encode() for t in train], text, ctw.DEPTH), rel=1e-5)
+
+
+def test_ctw_awkward_rows(spark):
+    d = awkward(spark).withColumn("held_out", F.col("doc_id").isNull())
+    assert ctw.score(d).count() == d.count()
+    assert ctw.score(d.withColumn("held_out", F.lit(True))).filter("score < 0").count() == d.count()
+    assert ctw.score(d.limit(0)).count() == 0
+
+
+# -- embeddings -----------------------------------------------------------------------------------------------------
+
+
+def test_embedding_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    e = table(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    got = table(QUERIES["op8_embedding_dedup"](spark, sf)).set_index("vec_id")
+    true = found = 0
+    for _, g in e.groupby("label"):
+        x = np.stack(g.embedding).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.98
+        np.fill_diagonal(near, False)
+        links = got.loc[g.vec_id].n_links.to_numpy()
+        assert (links <= near.sum(axis=1)).all()
+        true, found = true + near.sum(), found + links.sum()
+    assert true > 0 and found >= 0.9 * true
+    assert (got.kept == (got.index == got.component_id)).all()
+
+
+def test_embeddings_awkward_rows(spark):
+    v = [0.1, -0.2, 0.3, 0.4]
+    rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [float("nan"), 1.0, 0.0, 0.0], 1), (8, [None, 1.0, 0.0, 0.0], 1), (9, [x * 3 for x in v], 1), (10, v[:2], 1), (11, [], 1), (12, [float("inf")] * 4, 1)]
+    rows += [(100 + i, [0.1 + 1e-5 * i, -0.2, 0.3, 0.4], 1) for i in range(30)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"filters": F.lit(1), "copies": F.lit(1)})
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(d).collect()}
+    assert len(got) == len(rows)
+    assert got[2]["component_id"] == got[9]["component_id"] == got[129]["component_id"] == 1 and got[1]["n_links"] == got[9]["n_links"] == 32
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (3, 4, 5, 6, 7, 8, 10, 11, 12))
+    assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_hot_filters_are_cut_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    rows = [(i, [float(x) for x in base + rng.normal(scale=0.02, size=16)], 1) for i in range(60)]
+    got = table(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).set_index("vec_id").sort_index()
+    x = np.array([np.float32(r[1]) for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    assert (got.n_links.to_numpy() == near.sum(axis=1) - 1).all() and (got.component_id == 0).all()
+
+
+# -- mixing ---------------------------------------------------------------------------------------------------------
+
+
+def test_mixing_targets(spark):
+    got = table(QUERIES["op9_mixing"](spark, SF))
+    size = {r["doc_id"]: len(words(r["text"])) for r in docs(spark).collect()}
+    assert all(size[i] == n for i, n in zip(got.doc_id, got["size"])) and len(got) == len(size)
+    per = got.groupby("source", dropna=False).agg(size=("size", "sum"), own=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(per.index))}
+    target, open_ = dict.fromkeys(per.index, 0.0), set(per.index)
+    left = 1.5 * per["size"].sum()
+    while left > 1e-6 and open_:
+        total, more = sum(weight[s] for s in open_), 0.0
+        for s in list(open_):
+            target[s] += left * weight[s] / total
+            if target[s] >= 2 * per["size"][s]:
+                more += target[s] - 2 * per["size"][s]
+                target[s] = 2.0 * per["size"][s]
+                open_.discard(s)
+        left = more
+    for s, r in per.iterrows():
+        assert r.own == r["size"] and r.target == pytest.approx(target[s], rel=1e-9)
+        assert abs(r.taken - r.target) <= r.most
+    assert (got.taken <= 2 * got["size"]).all()
+    again = table(QUERIES["op9_mixing"](spark, SF))
+    assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+
+
+def test_mixing_is_close_on_large_sources(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["w"] * int(n)), "s%d" % (i % 3)) for i, n in enumerate(rng.pareto(1.3, 3000) * 10 + 1)]
+    got = table(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(per.taken - per.target) / per.target < 0.002).all()
+
+
+def test_mixing_awkward_rows(spark):
+    d = awkward(spark)
+    got = table(mixing.mix(d))
+    assert len(got) == d.count() and (got[got["size"] == 0].taken == 0).all()
+    rows = mixing.repeated(d)
+    assert rows.columns == d.columns and rows.count() == got.copies[got["size"] > 0].sum()
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
+# -- token counts and quality ----------------------------------------------------------------------------------------
+
+
+def test_token_counts(spark, texts):
+    got = {r[0]: r[1] for r in QUERIES["op10_token_counts"](spark, SF).collect()}
+    encoder = token_counts._encoder(token_counts.TOKENIZER)
+    assert got == {i: len(encoder.encode_ordinary(t or "")) for i, t in texts.items()}
+
+
+def test_separators_across_blocks(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    lengths, flat = rng.integers(0, 60, 40).tolist(), []
+    for n in lengths:
+        flat += [int(x) for x in rng.integers(0, 9, n)] + [9]
+    np.array([*flat, 1, 2], "<u2").tofile(tmp_path / "a.bin")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = table(token_counts.token_counts(token_counts.read_flat(spark, str(tmp_path), 34), 9)).sort_values("doc_no")
+    a = got[got.file.str.endswith("a.bin")]
+    assert a.n_tokens.tolist() == [*lengths, 2] and a.closed.tolist() == [True] * 40 + [False]
+
+
+def test_token_counts_awkward_rows(spark):
+    d = awkward(spark)
+    f = token_counts.write_token_files(d)
+    assert token_counts.token_counts(f).count() == d.count()
+    assert token_counts.token_counts(token_counts.write_token_files(d.limit(0))).count() == 0
+
+
+def test_quality_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = table(QUERIES["op1_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id"))
+    assert ((got.quality == 1) == got.kept).mean() > 0.95 and got[got.quality == 1].kept.mean() > 0.98
+
+
+def test_quality_awkward_rows(spark):
+    d = awkward(spark)
+    got = table(quality.classify(d))
+    assert len(got) == d.count() and not got[got.doc_id.isin([1, 2, 3])].kept.any() and got.score.between(0, 1).all()
+    assert quality.classify(d.limit(0)).count() == 0
+
+
+def test_words_of_bytes():
+    w = Words(pa.array(["a  B\tc", None, "", " é\x0b", "x"]), lower=True)
+    assert w.count.tolist() == [3, 0, 0, 1, 1]
+    other = Words(pa.array(["zz b", "X"]), lower=True)
+    assert w.hashes()[1] == other.hashes()[1] and w.hashes()[4] == other.hashes()[2]
