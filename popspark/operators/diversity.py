@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -163,3 +164,24 @@ def window_index(windows: DataFrame) -> DataFrame:
     offset = sizes.select("chrom", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__offset"))
     r = windows.withColumn("index_in_chrom", F.row_number().over(W.partitionBy("chrom").orderBy("bin")) - 1)
     return r.join(offset, "chrom").withColumn("index", F.col("__offset") + F.col("index_in_chrom")).drop("__offset")
+
+
+def python_aggregate(func):
+    """A Python function of one or more arrays as an aggregate Column function, for ``window_agg`` and ``edge_agg``.
+
+    Built-in aggregates combine partial results and are faster; this one sees a group's values whole.
+    """
+
+    def run(*columns):
+        return float(func(*[c.to_numpy() for c in columns]))
+
+    def one(x: pd.Series) -> float:
+        return run(x)
+
+    def two(x: pd.Series, y: pd.Series) -> float:
+        return run(x, y)
+
+    def call(*columns) -> Column:
+        return F.pandas_udf(one if len(columns) == 1 else two, "double")(*columns)
+
+    return call

@@ -80,3 +80,10 @@ def jackknife_error(estimates: DataFrame, by: list[str], column: str, trim: floa
         e = e.join(q, by).filter(F.col(column).between(F.col("__lo"), F.col("__hi")))
     n = F.count(column)
     return e.groupBy(*by).agg(F.avg(column).alias("mean"), F.sqrt((n - 1) * F.var_pop(column)).alias("stderr"), n.alias("n"))
+
+
+def bias_corrected(draws: DataFrame, column: str, estimate: DataFrame) -> DataFrame:
+    """Bias of an estimate (one row, column estimate) by its replicates, their deviation, and the estimate less the bias."""
+    s = draws.agg(F.avg(column).alias("__m"), F.stddev_samp(column).alias("stderr"))
+    both = s.crossJoin(F.broadcast(estimate))
+    return both.select("estimate", "stderr", (F.col("__m") - F.col("estimate")).alias("bias"), (2 * F.col("estimate") - F.col("__m")).alias("corrected"))

@@ -217,3 +217,11 @@ def on_step(external: DataFrame, seqlens: DataFrame, step: int, keys: list[str],
     at = F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(step)))
     points = seqlens.select("chrom", at.alias("pos")).crossJoin(F.broadcast(external.select(*keys).distinct()))
     return interpolate(points, external, ["chrom", *keys], "pos", "pos", "b", "b", bucket).withColumn("log_b", F.log("b")).drop("b")
+
+
+def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
+    """All combinations of the values, one column for each name."""
+    from functools import reduce
+
+    tables = [spark.createDataFrame([(x,) for x in v], [k]) for k, v in values.items()]
+    return reduce(lambda a, b: a.crossJoin(b), tables)

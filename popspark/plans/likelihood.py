@@ -200,3 +200,11 @@ def out_of_sample(theta: DataFrame, slopes: DataFrame, windows: DataFrame, group
     j = p.join(windows.select("chrom", "bin", F.col("pi").alias("observed"), *([] if group == "chrom" else [group])), ["chrom", "bin"])
     j = j.filter((F.col(group).cast("string") == F.col("left_out")) & F.col("observed").isNotNull())
     return j.groupBy("left_out").agg(F.corr("pi", "observed").alias("r"), F.count("*").alias("n"))
+
+
+def parameter_labels(theta: DataFrame, t: list[float]) -> DataFrame:
+    """(theta_id, name, value) with names pi0, mu and W[log10 t,feature]."""
+    ts = F.array(*[F.lit(f"{np.log10(x):g}") for x in t])
+    w = theta.select("theta_id", F.concat(F.lit("W["), ts[F.col("ti")], F.lit(","), F.col("feature"), F.lit("]")).alias("name"), F.col("weight").alias("value"))
+    two = theta.select("theta_id", "pi0", "mu").distinct().unpivot(["theta_id"], ["pi0", "mu"], "name", "value")
+    return two.unionByName(w)

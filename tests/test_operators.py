@@ -152,3 +152,31 @@ def test_empty_tables(spark):
     n = lengths(spark, a=10)
     assert I.merge(e).count() == 0 and rows(I.complement(e, n), "start", "end") == [(0, 10)]
     assert I.overlay(e, ["x"]).count() == 0 and R.overlaps(e, e).count() == 0
+
+
+def test_grids_and_labels(spark):
+    assert M.parse_grid("-3:-1:3") == pytest.approx([1e-3, 1e-2, 1e-1]) and M.parse_grid("1,2") == [1.0, 2.0]
+    assert M.parameter_grid(spark, a=[1, 2], b=["x", "y", "z"]).count() == 6
+    t = spark.createDataFrame([(0, 0.1, 1e-8, 0, "cds", 0.4), (0, 0.1, 1e-8, 1, "cds", 0.6)], "theta_id int, pi0 double, mu double, ti int, feature string, weight double")
+    got = {r["name"]: r["value"] for r in L.parameter_labels(t, [0.01, 0.1]).collect()}
+    assert got == {"pi0": 0.1, "mu": 1e-8, "W[-2,cds]": 0.4, "W[-1,cds]": 0.6}
+
+
+def test_coordinates(spark):
+    r = ranges(spark, [("a", 5, 9, "x")])
+    assert rows(I.to_bed(r), "start") == [(4,)] and rows(I.to_gff(I.to_bed(r)), "start") == [(5,)]
+
+
+def test_python_aggregate(spark):
+    s = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("a", 15, 7.0)], "chrom string, pos long, x double")
+    spread = D.python_aggregate(lambda x: x.max() - x.min())
+    got = rows(D.window_agg(s, I.tile(lengths(spark, a=20), 10), 10, spread=spread("x")), "bin", "spread")
+    assert got == [(0, 2.0), (1, 0.0)]
+
+
+def test_bias(spark):
+    from popspark.operators.resample import bias_corrected
+
+    d = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double")
+    r = bias_corrected(d, "x", spark.createDataFrame([(1.5,)], "estimate double")).first()
+    assert (r["bias"], r["corrected"], r["stderr"]) == (0.5, 1.0, 1.0)
