@@ -394,7 +394,7 @@ def _(v):
 
 @query("res01_02_block_bootstrap")
 def _(v):
-    return B.bootstrap_pi(B.block_bootstrap(windows(v), 20, 100, seed=1))
+    return B.bootstrap_pi(B.block_bootstrap(windows(v), 5, 100, seed=1))
 
 
 @query("res03_row_bootstrap")
