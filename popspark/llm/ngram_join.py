@@ -10,8 +10,8 @@ Links only matter for components, so pairs inside a large bucket are not all mad
 1. star: in each bucket of a prefix shingle every group head meets the bucket's least peculiar head, and every
    member its own head; pairs are verified on the texts and linked into components;
 2. stars again around other pivots, for buckets that still hold more than one component;
-3. whatever pairs of documents of different components, in one bucket and of matching sizes, are left, are all
-   verified.  After this no link between two components can have been missed.
+3. whatever pairs of documents of different components in one bucket are left are all verified.  Throughout, pairs
+   whose places in the order leave too few shingles to be common are no candidates.  After this no link between two components can have been missed.
 
 Defined results: null text and texts without words have no shingles and link with nothing; fewer words than a
 shingle count as one shingle; exact copies share a class; rows with a repeated doc_id each get a row (they share
@@ -147,8 +147,14 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _fits(a: str, b: str, percent: int) -> F.Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def _may_link(n1: str, at1: str, n2: str, at2: str, percent: int) -> F.Column:
+    """Whether texts of n1 and n2 shingles whose first common one is at places at1 and at2 of their orders can link.
+
+    No more than what follows can be common, and (100 + p) * common >= p * (n1 + n2) is the similarity asked for.
+    Later common shingles give a lower bound, so a pair that can link passes at its first one.
+    """
+    most = F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2))
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col(n1) + F.col(n2))
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -162,10 +168,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     keys = ["n", "t1", "t2"]
     groups = stored(texts.groupBy(*keys).agg(F.min(F.struct("uniq", "doc_id")).alias("h"), F.count("*").alias("m"), F.first("tokens").alias("tokens")).select(*keys, F.col("h.uniq").alias("uniq"), F.col("h.doc_id").alias("head"), "m", "tokens"), "groups")
     grouped = stored(texts.select("doc_id", "uniq", *keys).join(groups.select(*keys, "head").hint("merge"), keys), "grouped")
-    entries = groups.select(F.explode("tokens").alias("token"), "head", "n", "uniq")
-    entries = entries.select("token", F.col("head").alias("doc"), "n", "uniq")
+    # shingles of no other text come first in the order, so the k-th shared one is at place uniq + k
+    entries = groups.select(F.posexplode("tokens").alias("k", "token"), F.col("head").alias("doc"), "n", "uniq")
+    entries = entries.select("token", "doc", "n", "uniq", (F.col("uniq") + F.col("k")).alias("at"))
 
-    pairs = _stars(entries, F.struct("uniq", "doc", "n"), percent).unionByName(grouped.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    pairs = _stars(entries, F.struct("uniq", "doc", "n", "at"), percent).unionByName(grouped.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     tried = stored(_ordered(pairs), "pairs")
     links = stored(verified(tried, texts, size, percent), "links")
     labels = stored(components(links), "labels")
@@ -174,11 +181,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         if mixed.isEmpty():
             break
         if k + 1 < ROUNDS:
-            pivot = F.struct(F.xxhash64("doc", F.lit(k)).alias("u"), "doc", "n", "component_id")
+            pivot = F.struct(F.xxhash64("doc", F.lit(k)).alias("u"), "doc", "n", "component_id", "at")
             pairs = _stars(mixed, pivot, percent)
         else:
-            one, two = (mixed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "component_id")]) for i in (1, 2))
-            cross = (F.col("component_id1") < F.col("component_id2")) & _fits("n1", "n2", percent)
+            one, two = (mixed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "component_id", "at")]) for i in (1, 2))
+            cross = (F.col("component_id1") < F.col("component_id2")) & _may_link("n1", "at1", "n2", "at2", percent)
             pairs = one.join(two.hint("merge"), "token").filter(cross).select(F.col("doc1").alias("a"), F.col("doc2").alias("b"))
         fresh = stored(_ordered(pairs).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(fresh)
@@ -203,24 +210,25 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _stars(entries: DataFrame, pivot: F.Column, percent: int) -> DataFrame:
-    """(a, b): each document of a bucket with the bucket's pivot, where sizes fit and components differ."""
+    """(a, b): each document of a bucket with the bucket's pivot, where they can link and components differ."""
     centre = entries.groupBy("token").agg(F.min(pivot).alias("p"), F.count("*").alias("m")).filter("m > 1").select("token", "p")
     rows = entries.join(stored(centre, "pivots").hint("merge"), "token")
     apart = F.col("component_id") != F.col("p.component_id") if "component_id" in entries.columns else F.lit(True)
-    return rows.filter((F.col("doc") != F.col("p.doc")) & _fits("n", "p.n", percent) & apart).select(F.col("p.doc").alias("a"), F.col("doc").alias("b"))
+    return rows.filter((F.col("doc") != F.col("p.doc")) & _may_link("n", "at", "p.n", "p.at", percent) & apart).select(F.col("p.doc").alias("a"), F.col("doc").alias("b"))
 
 
 def _mixed(groups: DataFrame, grouped: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (token, doc, n, component_id) of the buckets that hold more than one component."""
+    """Entries (token, doc, n, component_id, at) of the buckets that hold more than one component."""
     docs = grouped.join(labels.select(F.col("id").alias("doc_id"), "component_id").hint("merge"), "doc_id", "left")
     docs = docs.select("n", "t1", "t2", F.col("doc_id").alias("doc"), F.coalesce("component_id", "doc_id").alias("component_id"))
     docs = stored(docs, "labelled")
     parts = docs.groupBy("n", "t1", "t2").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-    tokens = parts.join(groups.select("n", "t1", "t2", "tokens"), ["n", "t1", "t2"]).select(F.explode("tokens").alias("token"), "n", "t1", "t2", "lo", "hi")
+    tokens = parts.join(groups.select("n", "t1", "t2", "uniq", "tokens"), ["n", "t1", "t2"]).select(F.posexplode("tokens").alias("k", "token"), "n", "t1", "t2", "uniq", "lo", "hi")
+    tokens = tokens.withColumn("at", F.col("uniq") + F.col("k")).drop("k", "uniq")
     tokens = stored(tokens, "tokens")
     bad = stored(tokens.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("token"), "mixed")
-    left = tokens.join(bad.hint("merge"), "token", "left_semi").select("token", "n", "t1", "t2")
-    return stored(left.join(docs.hint("merge"), ["n", "t1", "t2"]).select("token", "doc", "n", "component_id"), "entries")
+    left = tokens.join(bad.hint("merge"), "token", "left_semi").select("token", "n", "t1", "t2", "at")
+    return stored(left.join(docs.hint("merge"), ["n", "t1", "t2"]).select("token", "doc", "n", "component_id", "at"), "entries")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
