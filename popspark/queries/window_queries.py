@@ -230,6 +230,18 @@ def _(v):
     return tracks.segment_gc(segs, chunks, 64).select(F.col("chrom").cast("long").alias("doc_id"), "start", F.round("gc", 9).alias("gc"))
 
 
+#: Segments of 50 characters from every 40th on, to the end of each text.
+@query("agg33_segment_gc_whole", "SELECT doc_id, start, round((length(x) - length(translate(x, 'GCgc', '')))::DOUBLE / nullif(length(x) - length(translate(x, 'ACGTacgt', '')), 0), 9) AS gc FROM (SELECT doc_id, k::INT AS start, substring(text, k + 1, 50) AS x FROM documents, LATERAL unnest(range(0, length(text), 40)) u(k))")
+def _(v):
+    d = v.raw("documents").select(F.col("doc_id").cast("string").alias("chrom"), "text")
+    # cut in one pass, so that the cost of a text grows with its length only
+    cut = F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,512}"), F.lit(0))).alias("k", "seq")
+    chunks = d.select("chrom", cut).select("chrom", (F.col("k") * 512).alias("chunk_start"), "seq")
+    n = d.select("chrom", F.length("text").alias("n")).filter("n > 0")
+    segs = n.select("chrom", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(40))).alias("start")).select("chrom", "start", F.least(F.col("start") + 50, F.col("n")).alias("end"))
+    return tracks.segment_gc(segs, chunks, 512).select(F.col("chrom").cast("long").alias("doc_id"), "start", F.round("gc", 9).alias("gc"))
+
+
 @query("agg34_centroids", 'SELECT floor((s + e) / 2.0 / 1000)::INT AS bin, feature, count(*) AS n, sum(e - s)::BIGINT AS bases FROM feats GROUP BY 1, 2')
 def _(v):
     f = I.span(v.feats)
