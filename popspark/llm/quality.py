@@ -4,7 +4,8 @@ Overlapping heuristics vote good, bad or nothing on each text.  Expectation-maxi
 patterns (at most 3 ** 8 rows, whatever the corpus) estimates how accurate each heuristic is and what share of
 texts is good, which gives every pattern a posterior.  A logistic scorer over hashed words and a few shape
 features then learns the posteriors from a sample of at most ``ROWS`` rows, so that it also judges texts on which
-the heuristics are silent.  Votes, patterns and scores cover whole texts of all rows.
+the heuristics are silent.  Votes, patterns and scores cover whole texts of all rows, and so does training: sampled
+rows reach the driver as shape features and shares of hashed words, at most ``2 ** BITS`` of them, however long.
 
 Defined results: a null text counts as empty; a text without words scores 0 and is not kept; repeated rows get the
 same score; with no rows the scorer is empty; further columns are ignored.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,16 +119,23 @@ def hashed(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return w.doc, (mix(w.hashes()) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def condensed(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, feature number and share of the text's words, once for each pair of text and feature."""
+    doc, feature = hashed(w)
+    pair, times = np.unique((doc.astype(np.int64) << BITS) | feature, return_counts=True)
+    doc = pair >> BITS
+    return doc, pair & ((1 << BITS) - 1), times / np.maximum(1, w.count)[doc]
+
+
 class Scorer:
-    """Logistic regression over mean hashed words and standardised shape features."""
+    """Logistic regression over mean hashed words and standardised shape features.
+
+    ``x`` holds the shape features of the training texts; ``doc``, ``feature`` and ``share`` their condensed words.
+    """
 
-    def __init__(self, texts: pa.Array, target: np.ndarray, rounds: int = 150):
-        w = Words(texts)
-        x = features(w)
+    def __init__(self, x: np.ndarray, doc: np.ndarray, feature: np.ndarray, share: np.ndarray, target: np.ndarray, rounds: int = 150):
         self.mean, self.sd = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
         self.word, self.shape, self.bias = np.zeros(1 << BITS), np.zeros(FEATURES), 0.0
-        doc, feature = hashed(w)
-        share = 1 / np.maximum(1, w.count)[doc]
         z = self._scaled(x)
         for _ in range(rounds if len(x) else 0):
             p = 1 / (1 + np.exp(-self._raw(z, doc, feature, share, len(x))))
@@ -158,18 +167,38 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pattern long")
 
 
+def training(docs: DataFrame) -> DataFrame:
+    """Vote pattern, shape features and condensed words of each row's whole text."""
+
+    def run(batches):
+        for b in byte_slices(batches, "text", 4_000_000):
+            w = Words(b.column("text"))
+            x = features(w)
+            doc, feature, share = condensed(w)
+            at = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)), pa.int32())
+            columns = [
+                pa.array(pattern_of(votes(x))), pa.array(list(x), pa.list_(pa.float64())),
+                pa.ListArray.from_arrays(at, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(at, pa.array(share)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["pattern", "x", "feature", "share"])
+
+    return docs.select("text").mapInArrow(run, "pattern long, x array<double>, feature array<int>, share array<double>")
+
+
 def classify(docs: DataFrame, rows: int = ROWS, threshold: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1) and kept for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     counts = vote_patterns(docs).groupBy("pattern").count().toPandas()
     patterns, n = counts["pattern"].to_numpy(np.int64), counts["count"].to_numpy(float)
     post = dict(zip(patterns.tolist(), weak_labels(patterns, n).tolist())) if len(counts) else {}
-    # a bounded training sample, drawn by a hash of the text
+    # a bounded number of training rows, drawn by a hash of the text
     share = min(1.0, 0.95 * rows / max(1.0, n.sum()))
-    drawn = docs.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).select(F.substring("text", 1, 4000).alias("text")).limit(rows)
-    texts = pa.array([r["text"] or "" for r in drawn.toLocalIterator()], pa.string())
-    target = np.array([post.get(p, 0.5) for p in pattern_of(votes(features(Words(texts)))).tolist()])
-    scorer = spark.sparkContext.broadcast(Scorer(texts, target))
+    drawn = docs.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
+    t = training(drawn).limit(rows).toArrow().combine_chunks()
+    flat = lambda name: pc.list_flatten(t[name]).combine_chunks().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(t.num_rows), pc.list_value_length(t["feature"]).to_numpy())
+    target = np.array([post[p] for p in t["pattern"].to_pylist()])
+    scorer = spark.sparkContext.broadcast(Scorer(flat("x").reshape(-1, FEATURES), doc, flat("feature"), flat("share"), target))
 
     def run(batches):
         for b in byte_slices(batches, "text", 4_000_000):
