@@ -93,8 +93,8 @@ class Fit:
     """Maximum likelihood from many starts at once, optionally leaving out each group of windows in turn.
 
     Windows hold their slopes as one array and stay cached.  An iteration is one pass: every task multiplies its
-    windows with all parameter sets and returns sums of likelihood and gradient, a row for each set.  The driver
-    only holds the parameter sets, whose number does not depend on the data.
+    windows with all parameter sets and returns sums of likelihood, gradient and Hessian, a row for each set.  The
+    driver holds the parameter sets: the starts, or one for each left-out group.
     """
 
     def __init__(self, slopes: DataFrame, windows: DataFrame, group: str | None = None, mu: float | None = None, pi0_bounds=(1e-4, 0.6), mu_bounds=(1e-11, 1e-5)):
@@ -123,65 +123,136 @@ class Fit:
             weight[:, self.of == k] = e / e.sum(axis=1, keepdims=True)
         return box[:, 0], box[:, 1], weight
 
-    def evaluate(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """nll and its gradient in free coordinates for each parameter set, over windows outside its left-out group."""
-        pi0, mu, weight = self.unpack(x)
-        out = np.array([g if g is not None else "\0" for g in left_out])
+    def sums(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """nll, gradient and Hessian in (log pi0, mu * weights), over windows outside each set's left-out group.
+
+        nll is convex in these coordinates, and so is the set of those allowed.
+        """
+        theta = self.natural(x)
+        out = np.array([g if g is not None else "\0" for g in left_out], object)  # fixed-width strings would lose the null character
+        size = theta.shape[1]
+        upper = np.triu_indices(size)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            nll, g_pi0, g_mu, g_w = np.zeros(len(mu)), np.zeros(len(mu)), np.zeros(len(mu)), np.zeros(weight.shape)
+            total = np.zeros((len(theta), 1 + size + len(upper[0])))
             for p in parts:
-                a = np.stack(p["a"].to_numpy())
-                s = a @ weight.T
-                pi = np.clip(pi0 * np.exp(-mu * s), 1e-12, 1 - 1e-12)
-                used = p["group"].to_numpy()[:, None] != out[None, :]
-                d, n = p["n_diff"].to_numpy()[:, None] * used, p["n_same"].to_numpy()[:, None] * used
-                nll += -(d * np.log(pi) + n * np.log1p(-pi)).sum(axis=0)
-                slope = -(d - n * pi / (1 - pi))  # d nll / d log pi
-                g_pi0 += slope.sum(axis=0)
-                g_mu += (-mu * s * slope).sum(axis=0)
-                g_w += -mu[:, None] * (slope.T @ a)
-            yield pd.DataFrame({"k": np.arange(len(mu)), "nll": nll, "g": list(np.column_stack([g_pi0, g_mu, g_w]))})
-
-        parts = self.data.mapInPandas(run, "k int, nll double, g array<double>")
-        rows = parts.select("k", "nll", F.posexplode("g").alias("i", "v")).groupBy("k", "i").agg(F.sum("nll").alias("nll"), F.sum("v").alias("v")).toPandas().sort_values(["k", "i"])
-        size = 2 + len(self.cells)
-        nll, g = rows["nll"].to_numpy().reshape(-1, size)[:, 0], rows["v"].to_numpy().reshape(-1, size)
+                v = np.column_stack([np.ones(len(p)), -np.stack(p["a"].to_numpy())])
+                outer = v[:, upper[0]] * v[:, upper[1]]
+                for at in range(0, len(theta), 256):
+                    own = slice(at, at + 256)
+                    pi = np.clip(np.exp(v @ theta[own].T), 1e-12, 1 - 1e-12)
+                    used = p["group"].to_numpy()[:, None] != out[None, own]
+                    d, n = p["n_diff"].to_numpy()[:, None] * used, p["n_same"].to_numpy()[:, None] * used
+                    total[own, 0] += -(d * np.log(pi) + n * np.log1p(-pi)).sum(axis=0)
+                    total[own, 1 : 1 + size] += -(d - n * pi / (1 - pi)).T @ v
+                    total[own, 1 + size :] += (n * pi / (1 - pi) ** 2).T @ outer
+            yield pd.DataFrame({"k": np.arange(len(theta)), "s": list(total)})
+
+        parts = self.data.mapInPandas(run, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v"))
+        rows = parts.groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "i"])
+        total = rows["v"].to_numpy().reshape(len(theta), -1)
+        hess = np.zeros((len(theta), size, size))
+        hess[:, upper[0], upper[1]] = hess[:, upper[1], upper[0]] = total[:, 1 + size :]
+        return total[:, 0], total[:, 1 : 1 + size], hess
+
+    def natural(self, x: np.ndarray) -> np.ndarray:
+        pi0, mu, weight = self.unpack(x)
+        return np.column_stack([np.log(pi0), mu[:, None] * weight])
+
+    def free(self, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian in free coordinates from those of ``sums``."""
+        _, _, weight = self.unpack(x)
+        theta = self.natural(x)[:, 1:]
         inner = 1 / (1 + np.exp(-x[:, :2]))
-        grad = np.zeros_like(x)
-        grad[:, :2] = g[:, :2] * self.span * inner * (1 - inner)
+        d1 = self.span * inner * (1 - inner)
         if self.fixed_mu is not None:
-            grad[:, 1] = 0
-        for k in range(len(self.features)):
-            own = self.of == k
-            w, gw = weight[:, own], g[:, 2:][:, own]
-            grad[:, 2:][:, own] = w * (gw - (w * gw).sum(axis=1, keepdims=True))
-        return nll, grad
-
-    def run(self, starts: int, iterations: int = 40, seed: int = 1, leave_out: bool = False) -> list[dict]:
-        """Best parameter set of every start (and left-out group): gradient steps with backtracking, all sets in one pass."""
-        rng = np.random.default_rng(seed)
-        groups: list[str | None] = [*self.groups] if leave_out else [None]
-        left_out = [g for g in groups for _ in range(starts)]
-        x = np.tile(rng.normal(0, 1, (starts, 2 + len(self.cells))), (len(groups), 1))
-        nll, grad = self.evaluate(x, left_out)
-        step = np.full(len(x), 0.5)
+            d1[:, 1] = 0
+        d2 = d1 * (1 - 2 * inner)
+        same = self.of[:, None] == self.of[None, :]
+        e = np.eye(len(self.of)) - weight[:, None, :] * same
+        jac = np.zeros((len(x), 1 + len(self.of), x.shape[1]))
+        jac[:, 0, 0], jac[:, 1:, 1], jac[:, 1:, 2:] = d1[:, 0], theta * d1[:, 1:], theta[:, :, None] * e
+        grad = np.einsum("kci,kc->ki", jac, g)
+        hess = jac.transpose(0, 2, 1) @ h @ jac
+        part = g[:, 1:] * theta
+        hess[:, 0, 0] += g[:, 0] * d2[:, 0]
+        hess[:, 1, 1] += part.sum(axis=1) * (d1[:, 1] ** 2 + d2[:, 1])
+        hess[:, 1, 2:] += d1[:, 1:] * grad[:, 2:]
+        hess[:, 2:, 1] += d1[:, 1:] * grad[:, 2:]
+        hess[:, 2:, 2:] += np.einsum("kc,kci,kcj->kij", part, e, e) - ((part @ same) * weight)[:, :, None] * e
+        return grad, hess
+
+    def gap(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """A bound on how far nll is above its least value: the fall of its tangent plane over the convex set allowed."""
+        theta = self.natural(x)
+        ends = np.array([self.low, self.low + self.span])
+        mu = np.exp(ends[:, 1]) if self.fixed_mu is None else np.array([self.fixed_mu])
+        least = sum(g[:, 1:][:, self.of == k].min(axis=1) for k in range(len(self.features)))
+        return (g[:, :1] * (theta[:, :1] - ends[None, :, 0])).max(axis=1) + (g[:, 1:] * theta[:, 1:]).sum(axis=1) - (mu[None, :] * least[:, None]).min(axis=1)
+
+    def evaluate(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """nll and its gradient in free coordinates for each parameter set, over windows outside its left-out group."""
+        nll, g, h = self.sums(x, left_out)
+        return nll, self.free(x, g, h)[0]
+
+    def minimise(self, x: np.ndarray, left_out: list[str | None], iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """x, nll, converged and passes of Newton steps with backtracking; a set that has converged takes no further pass."""
+
+        def direction(x, g, h):
+            grad, hess = self.free(x, g, h)
+            value, vector = np.linalg.eigh(hess)
+            value = np.maximum(np.abs(value), 1e-13 * np.abs(value).max(axis=1, keepdims=True) + 1e-300)
+            p = -np.einsum("kij,kj->ki", vector, np.einsum("kij,ki->kj", vector, grad) / value)
+            return p * np.minimum(1, 4 / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300))
+
+        x = x.copy()
+        nll, g, h = self.sums(x, left_out)
+        move, step, passes = direction(x, g, h), np.ones(len(x)), np.ones(len(x), int)
+        gap = self.gap(x, g)
+        done = gap <= tolerance * np.maximum(1, np.abs(nll))
         for _ in range(iterations):
-            size = np.linalg.norm(grad, axis=1, keepdims=True)
-            trial = x - step[:, None] * grad / np.maximum(size, 1e-300)
-            new, new_grad = self.evaluate(trial, left_out)
-            better = new < nll
-            x, grad = np.where(better[:, None], trial, x), np.where(better[:, None], new_grad, grad)
-            nll, step = np.where(better, new, nll), np.where(better, step * 1.5, step * 0.4)
-            if (step < 1e-7).all():
+            at = np.flatnonzero(~done & (step > 1e-9))
+            if not len(at):
                 break
+            trial = x[at] + step[at, None] * move[at]
+            new, g, h = self.sums(trial, [left_out[i] for i in at])
+            passes[at] += 1
+            left = self.gap(trial, g)
+            # where nll falls by less than its rounding, the bound tells
+            better = (new < nll[at]) | ((new <= nll[at] + 1e-12 * np.abs(nll[at])) & (left < gap[at]))
+            step[at] = np.where(better, 1.0, step[at] * 0.25)
+            b = at[better]
+            x[b], nll[b], gap[b], move[b] = trial[better], new[better], left[better], direction(trial[better], g[better], h[better])
+            done[b] = gap[b] <= tolerance * np.maximum(1, np.abs(nll[b]))
+        return x, nll, done, passes
+
+    def run(self, starts: int, iterations: int = 500, seed: int = 1, leave_out: bool = False, tolerance: float = 1e-10) -> list[dict]:
+        """Parameter set of every start, or of every left-out group, which starts from the best of the full fits.
+
+        A fit has converged when nll is within ``tolerance`` of its size from the least; ``iterations`` is only a
+        safety limit, and a fit that meets it says so.
+        """
+        x = np.random.default_rng(seed).normal(0, 1, (starts, 2 + len(self.cells)))
+        left_out: list[str | None] = [None] * starts
+        x, nll, converged, passes = self.minimise(x, left_out, iterations, tolerance)
+        if leave_out:
+            best = x[[np.argmin(nll)]]
+            # inside the bounds, from where each weight can still grow
+            _, _, weight = self.unpack(best)
+            count = np.bincount(self.of)[self.of]
+            best[:, :2], best[:, 2:] = np.clip(best[:, :2], -7, 7), np.log(0.999 * weight + 0.001 / count)
+            left_out = [*self.groups]
+            x, nll, converged, passes = self.minimise(np.repeat(best, len(left_out), axis=0), left_out, iterations, tolerance)
         pi0, mu, weight = self.unpack(x)
-        return [{"theta_id": i, "left_out": g, "nll": float(nll[i]), "pi0": float(pi0[i]), "mu": float(mu[i]), "weights": weight[i].tolist()} for i, g in enumerate(left_out)]
+        return [
+            {"theta_id": i, "left_out": g, "nll": float(nll[i]), "pi0": float(pi0[i]), "mu": float(mu[i]), "weights": weight[i].tolist(), "converged": bool(converged[i]), "iterations": int(passes[i])}
+            for i, g in enumerate(left_out)
+        ]
 
     def table(self, spark, fits: list[dict]) -> DataFrame:
-        """Fits as theta rows (theta_id, left_out, nll, pi0, mu, ti, feature, weight)."""
-        rows = [(f["theta_id"], f["left_out"], f["nll"], f["pi0"], f["mu"], t, name, w) for f in fits for (t, name), w in zip(self.cells, f["weights"])]
-        return spark.createDataFrame(rows, "theta_id int, left_out string, nll double, pi0 double, mu double, ti int, feature string, weight double")
+        """Fits as theta rows (theta_id, left_out, nll, pi0, mu, converged, iterations, ti, feature, weight)."""
+        rows = [(f["theta_id"], f["left_out"], f["nll"], f["pi0"], f["mu"], f["converged"], f["iterations"], t, name, w) for f in fits for (t, name), w in zip(self.cells, f["weights"])]
+        return spark.createDataFrame(rows, "theta_id int, left_out string, nll double, pi0 double, mu double, converged boolean, iterations int, ti int, feature string, weight double")
 
     def close(self) -> None:
         self.data.unpersist()

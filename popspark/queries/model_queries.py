@@ -130,12 +130,12 @@ def fit(v, **kw):
 
 @query("mod10_fit")
 def _(v):
-    return fit(v, starts=4, iterations=25)
+    return fit(v, starts=4)
 
 
 @query("mod11_fit_fixed_mu")
 def _(v):
-    return fit(v, starts=4, iterations=15, mu=1e-6)
+    return fit(v, starts=4, mu=1e-6)
 
 
 @query("mod12_residuals", "SELECT theta_id, chrom, bin, round(r, 9) AS resid, round((r - avg(r) OVER w) / stddev_pop(r) OVER w, 6) AS z FROM (SELECT theta_id, chrom, bin, w.pi - p.pi AS r FROM predicted p JOIN win w USING (chrom, bin) WHERE w.pi IS NOT NULL) WINDOW w AS (PARTITION BY theta_id, chrom)", *PREDICTED, *WIDE)
@@ -146,8 +146,8 @@ def _(v):
 
 @query("mod13_leave_one_chromosome_out")
 def _(v):
-    t = L.best_by_group(fit(v, group="chrom", starts=2, iterations=12, leave_out=True))
-    return L.out_of_sample(t, slopes(v), wide_windows(v))
+    t = L.best_by_group(fit(v, group="chrom", starts=2, leave_out=True))
+    return L.out_of_sample(t, slopes(v), wide_windows(v)).join(F.broadcast(t.select("left_out", "converged", "iterations").distinct()), "left_out")
 
 
 @query("mod14_block_jackknife")
@@ -155,9 +155,9 @@ def _(v):
     w = D.blocks(wide_windows(v), 4)
     w = w.withColumn("block", F.concat_ws(":", "chrom", F.col("block").cast("string")))
     f = L.Fit(slopes(v), w, group="block")
-    t = f.table(v.spark, f.run(starts=1, iterations=8, leave_out=True))
+    t = f.table(v.spark, f.run(starts=1, leave_out=True))
     f.close()
-    return t.select("left_out", "pi0", "mu", "nll").distinct()
+    return t.select("left_out", "pi0", "mu", "nll", "converged", "iterations").distinct()
 
 
 @query("mod15_jackknife_error", "SELECT l_returnflag, round(avg(l_tax), 9) AS mean, round(sqrt((count(*) - 1) * var_pop(l_tax)), 4) AS stderr, count(*) AS n FROM lineitem GROUP BY 1")

@@ -1,6 +1,10 @@
 """Queries read whole inputs: no prefixes, no fits cut short."""
 
+import numpy as np
+import pytest
+
 from popspark.catalog import QUERIES
+from popspark.plans import likelihood as L
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,3 +13,26 @@ def test_segments_reach_the_end_of_every_text(spark):
     got = QUERIES["agg33_segment_gc_whole"](spark, SF).groupBy("doc_id").agg({"start": "max", "gc": "count"}).toPandas().set_index("doc_id")["max(start)"].to_dict()
     size = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "length(text)").collect() if r[1]}
     assert max(size.values()) > 140 and got == {k: (n - 1) // 40 * 40 for k, n in size.items()}
+
+
+def test_fits_converge(spark):
+    rng = np.random.default_rng(5)
+    a = rng.uniform(0, 3e6, (40, 2, 2))
+    slopes = spark.createDataFrame([("a", b, t, f, float(a[b, t, k])) for b in range(40) for t in (0, 1) for k, f in enumerate("pq")], "chrom string, bin int, ti int, feature string, a double")
+    pi = 0.02 * np.exp(-1e-6 * a @ [0.5, 0.5]).mean(axis=1)
+    rows = [("a", b, b // 4, float(1e6 * (1 - pi[b])), float(rng.poisson(1e6 * pi[b]))) for b in range(40)]
+    windows = spark.createDataFrame(rows, "chrom string, bin int, block int, n_same double, n_diff double")
+    f = L.Fit(slopes, windows, "block")
+    full = [r for seed in (1, 2) for r in f.run(starts=2, seed=seed)]
+    assert all(r["converged"] for r in full) and all(r["nll"] == pytest.approx(full[0]["nll"], rel=1e-9) for r in full)
+    assert all(r["pi0"] == pytest.approx(full[0]["pi0"], rel=1e-3) and r["mu"] == pytest.approx(full[0]["mu"], rel=1e-3) for r in full)
+    left = {r["left_out"]: r for r in f.run(starts=1, leave_out=True)}
+    short = f.run(starts=1, iterations=1)
+    assert not short[0]["converged"] and short[0]["iterations"] == 2
+    f.close()
+    assert len(left) == 10 and all(r["converged"] for r in left.values())
+    for block in (0, 7):
+        alone = L.Fit(slopes, windows.filter(f"block <> {block}"))
+        r = alone.run(starts=1, seed=9)[0]
+        alone.close()
+        assert all(left[str(block)][k] == pytest.approx(r[k], rel=1e-3) for k in ("pi0", "mu")) and left[str(block)]["nll"] == pytest.approx(r["nll"], rel=1e-9)
