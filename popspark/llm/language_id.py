@@ -3,7 +3,7 @@
 For each language the text of a bounded sample of labelled rows becomes a suffix automaton.  A text is parsed
 against each automaton into phrases, each the longest piece, from where the last one ended, that occurs in the
 sample; phrases times log2 of the sample's length, over the text's length, estimates the bits for each character
-that the language needs.  The language that needs fewest wins.
+that the language needs.  The language that needs fewest wins.  A letter that the sample lacks costs ``LITERAL`` bits in every language.
 
 Phrases do not cross white space, so a word's phrase count is the same wherever it stands.  Each batch of rows is
 reduced to its distinct words, all of which walk the automata together, one character a step, as NumPy arrays;
@@ -35,6 +35,8 @@ PIECE = 48
 #: Bytes of text whose distinct words walk together.
 BATCH = 8_000_000
 UNKNOWN = "und"
+#: Bits of one letter out of all code points.
+LITERAL = float(np.log2(0x110000))
 
 
 class Automaton:
@@ -96,8 +98,8 @@ class Automaton:
 
 
 def automata(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> dict[str, Automaton]:
-    """Learn from rows with text and lang: a sample, drawn by a hash of the text, of ``rows`` a language."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    """Learn from rows with lang and a letter in their text: a sample, drawn by a hash of the text, of ``rows`` a language."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
@@ -143,7 +145,9 @@ def _costs(texts: pa.Array, models: list[Automaton]) -> tuple[np.ndarray, np.nda
     out = np.zeros((len(models), n))
     for i, m in enumerate(models):
         count = np.bincount(word[order], weights=m.phrases(codes, start[order], length[order]), minlength=len(size))
-        out[i] = np.bincount(owner, weights=count[which], minlength=n) * m.bits
+        lacks = np.append(0, np.cumsum(m.number(codes) == m.base - 1))
+        spelt = lacks[ends] - lacks[ends - size]  # each was counted as a phrase
+        out[i] = np.bincount(owner, weights=((count - spelt) * m.bits + spelt * LITERAL)[which], minlength=n)
     return out, has
 
 
