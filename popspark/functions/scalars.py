@@ -151,17 +151,27 @@ def ratchet_time(sh, ne, u) -> Column:
 
 
 def p_fix(n, s, p0=None) -> Column:
-    p0 = 0.5 / _c(n) if p0 is None else _c(p0)
-    return (1 - F.exp(-2 * _c(n) * _c(s) * p0)) / (1 - F.exp(-2 * _c(n) * _c(s)))
+    """Chance that an allele with advantage ``s`` at frequency ``p0`` (default: one copy in 2n) is fixed; ``p0`` itself where s is 0."""
+    n, s = _c(n), _c(s)
+    begun = s if p0 is None else 2 * n * s * _c(p0)
+    neutral = 0.5 / n if p0 is None else _c(p0)
+    return F.when(s == 0, neutral).otherwise(F.expm1(-begun) / F.expm1(-2 * n * s))
+
+
+def _kept(v, vm, rf) -> Column:
+    """Share of an association that is left after a generation of new mutations and recombination."""
+    return (1 - _c(vm) / _c(v)) * (1 - _c(rf))
 
 
 def q_asymptotic(v, vm, rf) -> Column:
-    return 1 / (1 - (1 - _c(vm) / _c(v)) * (1 - _c(rf)))
+    """Sum of the association over all generations."""
+    return 1 / (1 - _kept(v, vm, rf))
 
 
 def q_fixed(t, v, vm, rf) -> Column:
-    a = (1 - _c(vm) / _c(v)) * (1 - _c(rf))
-    return (1 - F.pow(a, _c(t) + 1)) / (1 - a)
+    """The same sum over ``t`` generations and the present one."""
+    step = F.log(_kept(v, vm, rf))
+    return F.when(_c(vm) >= _c(v), 1.0).otherwise(F.expm1((_c(t) + 1) * step) / F.expm1(step))
 
 
 def ne_asymptotic(v, vm, rf, n) -> Column:
@@ -169,11 +179,16 @@ def ne_asymptotic(v, vm, rf, n) -> Column:
     return _c(n) * F.exp(-_c(v) / 2 * q * q)
 
 
+def pairwise_variance(n=None) -> tuple:
+    """Coefficients of theta and theta squared in the variance of pairwise diversity of n sequences (Tajima 1983); limits without n."""
+    if n is None:
+        return 1 / 3, 2 / 9
+    pairs = n * (n - 1)
+    return n * (n + 1) / (3 * pairs), 2 * (n * (n + 1) + 3) / (9 * pairs)
+
+
 def b_variance_limit(b, r=1.0, n_pop=None, n=None) -> Column:
-    """Sampling variance of B over ``r`` windows; infinite sample by default."""
-    b = _c(b)
-    if n_pop is None or n is None:
-        return 2 / 9 * b * b / _c(r)
-    theta = 4 * n_pop
-    var = (n + 1) / (3 * (n - 1)) * (theta * b / (16 * n_pop**2)) + 2 * (n * n + n + 3) / (9 * n * (n - 1)) * (theta * theta * b * b) / (16 * n_pop**2)
-    return var / _c(r)
+    """Sampling variance of B = diversity / (4 n_pop) over ``r`` windows; infinite population and sample by default."""
+    linear, quadratic = pairwise_variance(n)
+    drift = 0.0 if n_pop is None else linear / (4 * n_pop)
+    return _c(b) * (quadratic * _c(b) + drift) / _c(r)

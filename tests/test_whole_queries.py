@@ -36,3 +36,23 @@ def test_fits_converge(spark):
         r = alone.run(starts=1, seed=9)[0]
         alone.close()
         assert all(left[str(block)][k] == pytest.approx(r[k], rel=1e-3) for k in ("pi0", "mu")) and left[str(block)]["nll"] == pytest.approx(r["nll"], rel=1e-9)
+
+
+def test_selection_formulas(spark):
+    """Against the published formulas written out with floats, and at their limits."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from popspark.functions import scalars as S
+
+    row = spark.range(1).select(
+        S.p_fix(1000, 0.01).alias("p"), S.p_fix(1000, F.lit(0.0)).alias("p_neutral"), S.p_fix(100, -0.02, 0.1).alias("p_worse"),
+        S.q_fixed(7, 2.0, 0.5, 0.1).alias("q"), S.q_fixed(7, 1.0, 1.0, 0.1).alias("q_none"), S.q_asymptotic(2.0, 0.5, 0.1).alias("q_all"),
+        S.b_variance_limit(0.8, 3.0).alias("v"), S.b_variance_limit(0.8, 3.0, 500, 10).alias("v_finite"), S.b_variance_limit(0.8, 1.0, 10**12, 10**6).alias("v_large"),
+    ).first()
+    assert row["p"] == pytest.approx((1 - math.exp(-0.01)) / (1 - math.exp(-20)))
+    assert row["p_neutral"] == 0.0005 and row["p_worse"] == pytest.approx((1 - math.exp(0.4)) / (1 - math.exp(4)))
+    assert row["q"] == pytest.approx(sum(0.675**k for k in range(8))) and row["q_none"] == 1 and row["q_all"] == pytest.approx(1 / 0.325)
+    assert row["v"] == pytest.approx(2 / 9 * 0.64 / 3) and row["v_large"] == pytest.approx(2 / 9 * 0.64, rel=1e-5)
+    assert row["v_finite"] == pytest.approx((11 / 27 * 0.8 / 2000 + 226 / 810 * 0.64) / 3)
