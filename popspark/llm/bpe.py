@@ -41,6 +41,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent:
+    """Characters that Python's Unicode tables lack: how the public library lowers, composes and classes them."""
+
+    def __init__(self):
+        from tokenizers import Regex, normalizers
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        mine = [c for c in regex.findall(r"[\p{L}\p{N}\p{M}]", every) if unicodedata.category(c) == "Cn"]
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.any = regex.compile(f"[{_ranges(mine)}]") if mine else regex.compile("(?!)")
+        # those that this module takes for letters or numbers but the library does not
+        other = normalizers.Replace(Regex(r"[\p{L}\p{N}]"), "").normalize_str("".join(mine))
+        other = regex.findall(r"[\p{L}\p{N}]", other)
+        split = regex.sub(r"\\p\{([LN])\}", rf"[\\p{{\1}}--[{_ranges(other)}]]", PATTERN) if other else PATTERN
+        self.pattern = regex.compile(split, regex.V1 if other else 0)
+
+
+def _ranges(letters: list[str]) -> str:
+    """The inside of a character class for letters in order."""
+    cuts = [0, *(i for i in range(1, len(letters)) if ord(letters[i]) > ord(letters[i - 1]) + 1), len(letters)]
+    return "".join([f"{letters[a]}-{letters[b - 1]}" for a, b in zip(cuts, cuts[1:])])
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,24 +105,30 @@ class WordBpe:
             node[""] = i
         self.names = {i: str(i) for i in self.tokens}
         self.letters = byte_letters()
-        self.pattern = regex.compile(PATTERN)
+        self.recent = Recent()
+        self.pattern = self.recent.pattern
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.memory: dict[str, tuple[str, int, str]] = {}
+        self.memory: dict[str | int, tuple[str, int, str]] = {}
 
     # -- text to words ------------------------------------------------------------------------------------
 
-    def chunks(self, text: str) -> list[str]:
-        """White-space-free pieces of a normalised text; no token spans two of them."""
+    def chunks(self, text: str) -> list[str | int]:
+        """White-space-free pieces of a normalised text, which no token spans, and the ids of special tokens between them.
+
+        Special tokens are found before letters are lowered: ``<|ENDOFTEXT|>`` is ordinary text.
+        """
         out = []
         for part in self.cut.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append(part)
+                out.append(self.special[part])
                 continue
-            if not part.isascii():
+            if not part.isascii() and self.recent.any.search(part):
+                part = self.recent.normal(part)
+            elif not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # capital sigma is lowered without its context
             # str.split also cuts at four control characters that are not white space for the pattern
             out += part.lower().split() if not _CONTROL.search(part) else regex.split(r"\s+", part.lower())
-        return [x for x in out if x]
+        return [x for x in out if x != ""]
 
     def spell(self, word: str) -> list[str]:
         letters = [self.letters[b] for b in word.encode("utf-8")]
@@ -207,17 +236,17 @@ class WordBpe:
 
     # -- texts --------------------------------------------------------------------------------------------
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str | int]) -> None:
         """Remember ids (as text), their number and the decoded text of each chunk."""
         new = [c for c in chunks if c not in self.memory]
         words, parts = {}, []
         for c in new:
-            own = None if c in self.special else [c] if c.isalpha() else self.pattern.findall(c)
+            own = None if isinstance(c, int) else [c] if c.isalpha() else self.pattern.findall(c)
             parts.append(own)
             words.update(dict.fromkeys(own or ()))
         ids = dict(zip(words, self.encode_words(list(words))))
         for c, own in zip(new, parts):
-            got = [self.special[c]] if own is None else [t for w in own for t in ids[w]]
+            got = [c] if own is None else [t for w in own for t in ids[w]]
             self.memory[c] = (" ".join([self.names[t] for t in got]), len(got), " ".join([self.tokens[t] for t in got]))
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:

@@ -6,6 +6,7 @@ Arrow column at once with NumPy, so that Python never loops over words.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,17 +22,38 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one is set only where none is named (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one is set only on one machine and where none is named (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         sc.setCheckpointDir(named)
     return named
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of all intermediate tables of this application; it can go once the results are written."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/popspark-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables: call it after the last result is written, as results read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,83 +1,118 @@
 """Exact deduplication against a persistent digest index (DataFrame operations only).
 
-The index is a table bucketed and sorted by digest.  A batch is reduced to one row for each digest before it
-meets the index, so no digest is hot there; the index side of the sort-merge anti-join needs neither shuffle nor
-sort.  New digests are appended.  Rows learn their group from a second sort-merge join whose two sides are plain
-scans: adaptive execution splits the partition of a digest that holds a large part of all rows.
-
-Defined results: a null text counts as empty; empty texts are equal to each other; rows that repeat a doc_id each
-get a row; null doc_ids sort after all others (a group of only null ids keeps null); an empty table gives an
-empty result; further columns pass through ``attach`` unchanged.
+The index is a table bucketed and sorted by digest that lives on in its folder: any session can open it by path.  New
+data is reduced to one row for each digest before it meets the index, so no digest is hot there; the index side of
+the sort-merge anti-join needs no shuffle.  New digests are appended.  Rows learn their group from a second sort-merge
+join whose two sides are plain scans: adaptive execution splits the partition of a digest that holds a large part of
+all rows.
+
+Defined results: a null text counts as empty; empty texts are equal to each other; null doc_ids sort after all others
+(a group of only null ids keeps null); rows that repeat a doc_id each get a row, and of equal texts exactly one row is
+kept, also where rows share the least doc_id; an empty table gives an empty result; ``keep_first`` leaves all columns
+of the rows that stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm.common import SPACES, documents, scratch_path, stored
+from popspark.llm.common import SPACES, documents, scratch_path, stored, unused
 
 
 def normalised(text: F.Column) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def digest(text: F.Column) -> F.Column:
+    return F.sha2(normalised(text), 256)
+
+
 class DigestIndex:
-    """Digests seen so far with the document that stays for each, as a bucketed table that lives on between runs."""
+    """Digests seen so far with the document that stays for each, as a bucketed table in the folder ``path``.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or scratch_path(spark, self.name)
+    A folder that holds an index is opened as it is, with the number of buckets it was made with.
+    """
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int = 32):
+        self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
+        self.path = (path or scratch_path(spark, "digest-index")).rstrip("/")
+        try:
+            self.buckets = spark.read.parquet(f"{self.path}/buckets").first()["buckets"]
+        except AnalysisException:  # no index there yet
+            self.buckets = buckets
+            spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{self.path}/buckets")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, groups: DataFrame) -> None:
-        """Append those of ``groups`` (digest, keep_id), one row for each digest, that the index does not hold."""
-        fresh = groups.select("digest", "keep_id")
-        if self.exists():
-            fresh = fresh.join(self.table().hint("merge"), "digest", "left_anti")
-            fresh = stored(fresh, "fresh")  # a table cannot be read and appended to in one go
-        writer = fresh.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
-        writer.option("path", self.path).mode("append").format("parquet").saveAsTable(self.name)
+    def unknown(self, groups: DataFrame) -> DataFrame:
+        """Those of ``groups``, one row for each digest, that the index does not hold."""
+        return groups.join(self.table().hint("merge"), "digest", "left_anti")
+
+    def add(self, groups: DataFrame) -> DataFrame:
+        """Append the digests of ``groups`` (digest, keep_id, ...) that the index does not hold; returns their rows."""
+        fresh = stored(self.unknown(groups), "fresh")  # a table cannot be read and appended to in one go
+        fresh.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(self.name)
+        return fresh
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("digest"))
+    return docs.select("doc_id", digest(F.col("text")).alias("digest"))
+
+
+def _numbered(rows: DataFrame, batches: int) -> DataFrame:
+    """``rows`` with a number for each (where they have none), settled once they are written, and ``batch``: ranges of doc_id of about one size, null last."""
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else None
+    batch = reduce(lambda a, c: a + F.coalesce((F.col("doc_id") > c).cast("int"), F.lit(1)), cuts or [], F.lit(0))
+    rows = rows if "row" in rows.columns else rows.withColumn("row", F.monotonically_increasing_id())
+    return rows.withColumn("batch", batch)
+
+
+def _verdict(rows: DataFrame, index: DigestIndex, batches: int) -> DataFrame:
+    """One row for each digest of ``rows`` (doc_id, digest, row, batch): keep_id, group_size, and the row that stays, if one of these does."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least")
+    fresh = []
+    for k in range(batches):
+        groups = rows.filter(F.col("batch") == k).groupBy("digest").agg(least)
+        fresh.append(index.add(groups.select("digest", F.col("least.doc_id").alias("keep_id"), F.col("least.row").alias("keep_row"))))
+    stays = reduce(DataFrame.unionByName, fresh).select("digest", "keep_row")
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
+    return stored(sizes.join(index.table().hint("merge"), "digest").join(stays.hint("merge"), "digest", "left"), "known")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size (in this batch), kept, text_sha256.
+def deduplicate(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size (among ``docs``), kept, text_sha256.
 
-    A digest that an earlier batch brought in keeps the document of that batch.
+    ``docs`` enter the index in ``batches`` ranges of rising doc_id.  A digest that the index holds already keeps
+    the document that brought it in.
     """
-    rows = stored(digests(docs), "digests")
-    groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    index.add(groups)
-    known = stored(groups.drop("keep_id").join(index.table().hint("merge"), "digest"), "known")
+    rows = stored(_numbered(digests(docs), batches), "digests")
+    known = _verdict(rows, index, batches)
     return rows.join(known.hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
-def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows that repeat a kept doc_id with one text, one."""
-    verdict = deduplicate(docs, index).filter("kept").select("doc_id", F.col("text_sha256").alias("__digest")).distinct()
-    rows = docs.withColumn("__digest", F.sha2(normalised(F.col("text")), 256))
-    same = rows["doc_id"].eqNullSafe(verdict["doc_id"]) & (rows["__digest"] == verdict["__digest"])
-    return rows.join(verdict, same, "left_semi").drop("__digest")
+def keep_first(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns."""
+    row = unused(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keys = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.col(row).alias("row"))
+    stays = _verdict(stored(_numbered(keys, batches), "digests"), index, batches).select(F.col("keep_row").alias(row))
+    return rows.join(stays.filter(F.col(row).isNotNull()).hint("merge"), row, "left_semi").drop(row)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir), DigestIndex(spark))
+    """Two batches, so that the second one meets the digests of the first."""
+    return deduplicate(documents(spark, sf_dir), DigestIndex(spark), batches=2)
 
 
 SQL = r"""

@@ -2,23 +2,28 @@
 
 For each language the text of a bounded sample of labelled rows becomes a suffix automaton.  A text is parsed
 against each automaton into phrases, each the longest piece, from where the last one ended, that occurs in the
-sample; phrases times log2 of the sample's length, over the text's length, estimates the bits for each character
-that the language needs.  The language that needs fewest wins.  A letter that the sample lacks costs ``LITERAL`` bits in every language.
+sample, across words and white space; phrases times log2 of the sample's length, over the text's length, estimates
+the bits for each character that the language needs.  The language that needs fewest wins.  A letter that the sample
+lacks costs ``LITERAL`` bits in every language.
 
-Phrases do not cross white space, so a word's phrase count is the same wherever it stands.  Each batch of rows is
-reduced to its distinct words, all of which walk the automata together, one character a step, as NumPy arrays;
-the counts are then summed for each text.  Whole texts are read; words over ``PIECE`` characters walk in pieces.
+Parses run as NumPy arrays, one character of many chunks and all languages a step.  A chunk of a text is first parsed
+as if a phrase began at its start.  Then the phrase that really reaches into it is followed until one of its
+phrases begins where a phrase of the guess does; from there on both are the same.  A chunk in which that does not
+happen hands its new state to the next one, until nothing changes, so the count is that of one parse of the whole text.
 
-The automata are bounded by ``ROWS`` rows and ``CHARS`` characters for each language and ``ALL_CHARS`` in all, so
-shipping them to the executors is safe at any corpus size.
+The sample of a language is whole texts of at most ``ROWS`` rows, as many of them as have ``CHARS`` characters
+together (one row at least).  One task for each language builds its automaton; what the driver gets and ships is
+bounded by these and the number of languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in
 code-point order; an empty training set makes everything ``und``; repeated rows each get a row; further columns
-pass through ``identify`` unread.
+pass through ``identify`` unread, those named like a result give way to it.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,19 +33,21 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import byte_slices, documents, folded
 
-ROWS = 400
-CHARS = 120_000
-ALL_CHARS = 4_000_000
-PIECE = 48
-#: Bytes of text whose distinct words walk together.
-BATCH = 8_000_000
+ROWS = 200
+CHARS = 60_000
+#: Bytes of text that are parsed together, and characters of a chunk; neither changes results.
+BATCH = 3_000_000
+CHUNK = 512
 UNKNOWN = "und"
 #: Bits of one letter out of all code points.
 LITERAL = float(np.log2(0x110000))
+#: Bits of a state's number in the table of arcs.
+TARGET = 24
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Automaton:
-    """Suffix automaton of a text as sorted (state, letter) -> state arrays."""
+    """Suffix automaton of a text as arrays of arcs (state, letter, state); state 0 is the root."""
 
     def __init__(self, text: str):
         nxt, link, length, last = [{}], [-1], [0], 0
@@ -67,111 +74,205 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
-        self.letters = np.array(sorted(nxt[0]), np.uint32)
-        self.base = len(self.letters) + 1
-        number = {c: i for i, c in enumerate(self.letters.tolist())}
-        arcs = np.array([(s * self.base + number[c], t) for s, own in enumerate(nxt) for c, t in own.items()], np.int64).reshape(-1, 2)
-        arcs = arcs[np.argsort(arcs[:, 0])]
-        self.keys, self.to = np.append(arcs[:, 0], np.iinfo(np.int64).max), np.append(arcs[:, 1], 0).astype(np.int32)
-        self.root = np.zeros(self.base, np.int32)
-        self.root[: self.base - 1] = [nxt[0][c] for c in self.letters.tolist()]
+        arcs = np.array([(s, c, t) for s, own in enumerate(nxt) for c, t in own.items()], np.int64).reshape(-1, 3)
+        self.source, self.letter, self.target = arcs[:, 0], arcs[:, 1], arcs[:, 2]
+        self.states = len(nxt)
         self.bits = float(np.log2(max(2, len(text))))
 
-    def number(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.letters, codes), max(0, len(self.letters) - 1))
-        return np.where(self.letters[at] == codes, at, self.base - 1) if len(self.letters) else np.zeros(len(codes), np.int64)
-
-    def phrases(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of codes[start : start + size] for all pieces at once; pieces are sorted by falling size."""
-        letters = self.number(codes)
-        state, count = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
-        for step in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size, -step))  # sizes over step
-            a = letters[start[:live] + step]
-            key = state[:live] * self.base + a
-            at = np.searchsorted(self.keys, key)
-            hit = self.keys[at] == key
-            # a letter that the sample lacks is a phrase of its own, so the next one begins another
-            count[:live] += (~hit | (state[:live] == 0)) & (step > 0)
-            state[:live] = np.where(hit, self.to[at], self.root[a])
-        return count
+
+class Parser:
+    """All languages' automata in one hashed table of arcs over one alphabet; arcs of the roots are in ``begin``."""
+
+    def __init__(self, models: list[Automaton]):
+        self.bits = np.array([m.bits for m in models])
+        self.letters = np.unique(np.concatenate([m.letter for m in models])) if models else np.zeros(0, np.int64)
+        self.base = len(self.letters) + 1  # the last number is for letters that no sample has
+        self.roots = np.cumsum([0, *[m.states for m in models]])[:-1].astype(np.int64)
+        self.begin = np.repeat(self.roots, self.base).reshape(len(models), self.base)  # state after the first letter of a phrase
+        keys, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, m in enumerate(models):
+            a, first = np.searchsorted(self.letters, m.letter), m.source == 0
+            self.begin[k, a[first]] = self.roots[k] + m.target[first]
+            keys.append((self.roots[k] + m.source[~first]) * self.base + a[~first])
+            to.append(self.roots[k] + m.target[~first])
+        self._hash(np.concatenate(keys), np.concatenate(to))
+        self._numbers: np.ndarray | None = None
+
+    def _hash(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """Open addressing; an entry is its key over ``TARGET`` bits of target, so that a look-up touches one place."""
+        if len(keys) and (keys.max() >> (62 - TARGET) or to.max() >> TARGET):
+            raise ValueError("the samples are too large together: lower chars or rows")
+        keys = keys << TARGET
+        power = max(4, int(3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - power), (1 << power) - 1
+        self.table = np.full(1 << power, -1, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.table[slot] < 0)
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.table[slot[put]] = keys[put] | to[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, to, slot = keys[left], to[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _MULTIPLIER) >> self.shift).view(np.int64)
+
+    def _step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each state has an arc with the letter (numbers shifted by ``TARGET``), and where it leads."""
+        key = state * (self.base << TARGET)
+        key += letter
+        slot = self._slot(key)
+        got = self.table[slot]
+        got ^= key  # a target where the key is the same, less than 0 at a free place
+        more = np.flatnonzero(got >> TARGET > 0)
+        if len(more):
+            flat, keys, slots = got.reshape(-1), key.reshape(-1)[more], slot.reshape(-1)[more]
+            while len(more):
+                slots = (slots + 1) & self.mask
+                own = self.table[slots] ^ keys
+                flat[more] = own
+                on = own >> TARGET > 0
+                more, keys, slots = more[on], keys[on], slots[on]
+        return got >= 0, got
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        if self._numbers is None:
+            self._numbers = np.full(0x110000, self.base - 1, np.int32)
+            self._numbers[self.letters] = np.arange(self.base - 1)
+        return self._numbers[codes]
+
+    def phrases(self, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(language x text) phrases of texts of ``size`` letters that lie one after the other."""
+        k, texts = len(self.bits), len(size)
+        chunks = np.maximum(1, -(-size // CHUNK))
+        owner, head = np.repeat(np.arange(texts), chunks), np.cumsum(chunks) - chunks
+        many, nth = len(owner), np.arange(len(owner)) - head[owner]
+        length = np.minimum(CHUNK, size[owner] - nth * CHUNK)
+        # (place x chunk) letters; what lies beyond a text is letters that no sample has
+        lines = np.full(many * CHUNK, self.base - 1, np.int32)
+        lines[np.arange(len(letters)) + np.repeat(head * CHUNK - np.cumsum(size) + size, size)] = letters
+        grid = np.ascontiguousarray(lines.reshape(many, CHUNK).T)
+        starts = np.zeros((CHUNK, k, many), bool)
+        state = np.repeat(self.roots, many).reshape(k, many)
+        for at, a in enumerate(grid):
+            hit, state = self._step(state, a.astype(np.int64) << TARGET)
+            new = ~hit
+            starts[at] = new
+            np.copyto(state, self.begin[:, a], where=new)
+        count = starts.sum(axis=0, dtype=np.int64) - (CHUNK - length)
+        count, starts, guess = count.reshape(-1), starts.reshape(CHUNK, k * many), state.reshape(-1)
+        # follow the phrases that reach into a chunk until one begins where one of the guess does
+        language, last, change = np.repeat(np.arange(k), many), guess.copy(), np.zeros(k * many, np.int64)
+        tail = np.tile(nth > 0, k)
+        todo = np.flatnonzero(tail)
+        while len(todo):
+            own, change[todo] = self._follow(grid, starts, todo, last[todo - 1], language[todo], length[todo % many])
+            own = np.where(own < 0, guess[todo], own)
+            changed = own != last[todo]
+            last[todo] = own
+            todo = todo[changed] + 1
+            todo = todo[tail[np.minimum(todo, k * many - 1)] & (todo < k * many)]
+        return np.add.reduceat((count + change).reshape(k, many), head, axis=1) if texts else np.zeros((k, 0), np.int64)
+
+    def _follow(self, grid, starts, lane, state, language, length) -> tuple[np.ndarray, np.ndarray]:
+        """Each lane's last state (-1 where it met the guess) and how many more phrases it has than the guess up to there."""
+        last, change = state.copy(), np.zeros(len(lane), np.int64)
+        live = np.arange(len(lane))
+        chunk = lane % grid.shape[1]
+        for at in range(CHUNK):
+            if not len(live):
+                break
+            a = grid[at, chunk].astype(np.int64)
+            hit, state = self._step(state, a << TARGET)
+            new = np.flatnonzero(~hit)
+            state[new] = self.begin[language[new], a[new]]
+            guessed = starts[at, lane]
+            change[live] += ~hit
+            change[live] -= guessed
+            met, over = ~hit & guessed, length == at + 1
+            if met.any() or over.any():
+                last[live[over]] = state[over]
+                last[live[met]] = -1
+                on = ~(met | over)
+                live, lane, chunk, state, language, length = (x[on] for x in (live, lane, chunk, state, language, length))
+        return last, change
+
+
+def normalised(texts: pa.Array) -> pa.Array:
+    """Lower-case texts, each run of white space one space, with a space at both ends."""
+    words = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("").cast(pa.string())))
+    return pc.binary_join_element_wise("", pc.binary_join(words, " "), "", " ")
+
+
+def costs(texts: pa.Array, parser: Parser) -> tuple[np.ndarray, np.ndarray]:
+    """(language x text) bits, and whether each text has a letter."""
+    plain = normalised(texts)
+    has = pc.match_substring_regex(plain, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+    size = pc.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    letters = parser.numbers(np.frombuffer("".join(plain.to_pylist()).encode("utf-32-le"), np.uint32))
+    count = parser.phrases(letters, size).astype(float)
+    stop = np.cumsum(size)
+    out = np.zeros_like(count)
+    for i, bits in enumerate(parser.bits):
+        lacks = parser.begin[i] == parser.roots[i]
+        spelt = np.append(0, np.cumsum(lacks[letters]))
+        spelt = spelt[stop] - spelt[stop - size]  # each was counted as a phrase
+        out[i] = (count[i] - spelt) * bits + spelt * LITERAL
+    return out, has
 
 
 def automata(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> dict[str, Automaton]:
-    """Learn from rows with lang and a letter in their text: a sample, drawn by a hash of the text, of ``rows`` a language."""
+    """Learn from rows with lang and a letter in their text: distinct texts, drawn by a hash, of each language.
+
+    Texts are drawn whole while they have ``chars`` characters together, those that are longer on their own last.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
+    space = 1_000_003
     chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * rows / r["n"]))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    drawn = labelled.withColumn("draw", draw).filter(F.col("draw") < F.get(F.array(chance), F.lit(0))[F.col("lang")] * 1_000_003)
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw", F.xxhash64("text", F.lit(1))))
-    most = min(chars, ALL_CHARS // len(counts))
-    drawn = drawn.withColumn("nth", nth).filter(F.col("nth") <= rows)
-    got: dict[str, list[str]] = {}
-    for r in drawn.select("lang", "nth", F.substring("text", 1, most).alias("text")).orderBy("lang", "nth").toLocalIterator():
-        own = got.setdefault(r["lang"], [])
-        if sum(map(len, own)) < most:
-            own.append(" ".join(r["text"].lower().split()))
-    return {k: Automaton(f" {' '.join(v)[:most]} ") for k, v in sorted(got.items())}
-
-
-def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-32 of " word " for each word, and their sizes."""
-    padded = pc.binary_join_element_wise("", words.cast(pa.string()), "", " ")
-    codes = np.frombuffer("".join(padded.to_pylist()).encode("utf-32-le"), np.uint32)
-    return codes, pc.utf8_length(padded).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _costs(texts: pa.Array, models: list[Automaton]) -> tuple[np.ndarray, np.ndarray]:
-    """(language x text) bits, and whether each text has a letter."""
-    n = len(texts)
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())))
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    words, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(n), sizes)
-    lettered = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
-    has = np.bincount(owner, weights=lettered[which], minlength=n) > 0
-    codes, size = _codes(words)
-    ends = np.cumsum(size)
-    pieces = -(-size // PIECE)
-    word = np.repeat(np.arange(len(size)), pieces)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = (ends - size)[word] + nth * PIECE
-    length = np.minimum(PIECE, ends[word] - start)
-    order = np.argsort(-length, kind="stable")
-    out = np.zeros((len(models), n))
-    for i, m in enumerate(models):
-        count = np.bincount(word[order], weights=m.phrases(codes, start[order], length[order]), minlength=len(size))
-        lacks = np.append(0, np.cumsum(m.number(codes) == m.base - 1))
-        spelt = lacks[ends] - lacks[ends - size]  # each was counted as a phrase
-        out[i] = np.bincount(owner, weights=((count - spelt) * m.bits + spelt * LITERAL)[which], minlength=n)
-    return out, has
+    drawn = labelled.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(space)))
+    drawn = drawn.filter(F.col("draw") < F.get(F.array(chance), F.lit(0))[F.col("lang")] * space)
+    drawn = drawn.groupBy("lang", "draw", F.xxhash64("text", F.lit(1)).alias("tie")).agg(F.first("text").alias("text"))
+    drawn = drawn.withColumn("size", F.length("text"))
+    order = W.partitionBy("lang").orderBy(F.col("size") > chars, "draw", "tie")
+    drawn = drawn.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    total = F.sum("size").over(W.partitionBy("lang").orderBy("nth"))
+    drawn = drawn.withColumn("total", total).filter((F.col("total") <= chars) | (F.col("nth") == 1))
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("nth")
+        text = "".join(normalised(table.column("text").combine_chunks()).to_pylist())
+        return pa.table({"lang": table.column("lang").slice(0, 1), "model": pa.array([pickle.dumps(Automaton(text))], pa.binary())})
+
+    models = drawn.select("lang", "nth", "text").groupBy("lang").applyInArrow(build, "lang string, model binary").collect()
+    return {r["lang"]: pickle.loads(r["model"]) for r in sorted(models, key=lambda r: r["lang"])}
 
 
-def identify(docs: DataFrame, models: dict[str, Automaton]) -> DataFrame:
-    """``docs`` without text, with lang_pred and score (the runner-up's share of bits against the winner's)."""
-    spark, names = docs.sparkSession, list(models)
-    shared = spark.sparkContext.broadcast(list(models.values()))
-    keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+def identify(docs: DataFrame, models: dict[str, Automaton], told: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the columns ``told`` and ``score`` (the runner-up's share of bits against the winner's), without text unless asked for."""
+    names = list(models)
+    shared = docs.sparkSession.sparkContext.broadcast(Parser(list(models.values())))
+    keep = [c for c in docs.columns if c not in (told, score) and (keep_text or c != "text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 
     def run(batches):
-        for b in byte_slices(batches, "text", BATCH):
-            costs, has = _costs(b.column("text"), shared.value)
+        for b in byte_slices(batches, "text", 4 * BATCH // max(4, len(names))):
             if names:
-                best = np.argmin(costs, axis=0)
-                two = np.sort(costs, axis=0)[:2]
-                score = two[-1] / np.maximum(two[0] + two[-1], 1e-9) if len(names) > 1 else np.ones(b.num_rows)
-                told = [names[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist())]
+                bits, has = costs(b.column("text"), shared.value)
+                best = np.argmin(bits, axis=0)
+                two = np.sort(bits, axis=0)[:2]
+                share = two[-1] / np.maximum(two[0] + two[-1], 1e-9) if len(names) > 1 else np.ones(b.num_rows)
+                said = [names[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist())]
+                share = np.where(has, share, 0.0)
             else:
-                score, told = np.zeros(b.num_rows), [UNKNOWN] * b.num_rows
-            columns = [b.column(c) for c in keep] + [pa.array(told, pa.string()), pa.array(np.where(has, score, 0.0))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+                share, said = np.zeros(b.num_rows), [UNKNOWN] * b.num_rows
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(said, pa.string()), pa.array(share)], [*keep, told, score])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double")
+    columns = keep if keep_text else [*keep, "text"]
+    return docs.select(*columns).mapInArrow(run, f"{schema}, `{told}` string, `{score}` double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

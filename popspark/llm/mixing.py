@@ -12,10 +12,10 @@ So the tree runs twice: over the documents longer than their source's mean, whos
 random, and then over the shorter ones, whose fractions take up what that rounding gained or lost.  What a source
 misses is then about half a short document.
 
-Random numbers are hashes of seed, level and document, so reruns agree on any partitioning.
+Random numbers are hashes of seed, level and what a row holds, so reruns agree on any partitioning.
 
 Defined results: null text has size 0; documents of size 0 take nothing; a null source is a source, last in
-order; rows that repeat a doc_id are told apart by source, size and text, equal ones are interchangeable; an
+order; rows that repeat a doc_id are told apart by source and text, equal ones are interchangeable; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from popspark.llm.common import WORD, documents, stored
+from popspark.llm.common import WORD, documents, stored, unused
 
 GROUP = 64
 WEIGHTS = (3, 1, 2)
@@ -35,11 +35,13 @@ SHARE = 1.5
 CAP = 2.0
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` in words and ``dup``, which tells rows with one doc_id apart."""
+def numbered(docs: DataFrame, identity: str = "doc_id") -> DataFrame:
+    """doc_id (of the column ``identity``), source, size in words and ``dup``, a hash that no two rows share, equal ones neither."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    order = W.partitionBy("doc_id").orderBy("source", "size", F.xxhash64("text"))
-    return docs.withColumn("size", size).withColumn("dup", F.row_number().over(order))
+    same = F.xxhash64("doc_id", "source", "text")
+    rows = docs.select(F.col(identity).alias("doc_id"), "source", size.alias("size"), same.alias("same"))
+    nth = F.row_number().over(W.partitionBy("same").orderBy("same"))
+    return rows.select("doc_id", "source", "size", F.xxhash64("same", nth).alias("dup"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -71,7 +73,7 @@ def _unit(*cols) -> F.Column:
 def _fold(items: F.Column) -> F.Column:
     """Fold structs (u, doc_id, dup, size, p) to a struct of the last fractional one and the decided ones."""
     first = F.element_at(items, 1)
-    start = F.struct(*[first[c].alias(c) for c in ("doc_id", "dup", "size", "p")], F.array().cast("array<struct<doc_id:bigint,dup:int,size:bigint,up:int>>").alias("done"))
+    start = F.struct(*[first[c].alias(c) for c in ("doc_id", "dup", "size", "p")], F.array().cast("array<struct<doc_id:bigint,dup:bigint,size:bigint,up:int>>").alias("done"))
 
     def step(a, b):
         ratio = b["size"].cast("double") / a["size"]
@@ -103,13 +105,13 @@ def pivotal(items: DataFrame, seed: int, nearest: bool) -> DataFrame:
         level += 1
         groups = -(-groups // GROUP)
         buckets = F.ceil(F.col("n") / F.lit(float(GROUP) ** level))
-        bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "dup"), buckets)
-        member = F.struct(_unit(F.lit(-seed), F.lit(level), "doc_id", "dup").alias("u"), "doc_id", "dup", "size", "p")
+        bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "dup"), buckets)
+        member = F.struct(_unit(F.lit(-seed), F.lit(level), "dup").alias("u"), "doc_id", "dup", "size", "p")
         folded = rest.groupBy("source", "n", bucket.alias("bucket")).agg(_fold(F.array_sort(F.collect_list(member))).alias("x"))
         folded = stored(folded.select("source", "n", "x.*"), "folded")
         decided.append(folded.select("source", F.explode("done").alias("d")).select("source", "d.*"))
         rest = folded.drop("done")
-    coin = F.lit(0.5) if nearest else _unit(F.lit(seed), F.lit("last"), "doc_id", "dup")
+    coin = F.lit(0.5) if nearest else _unit(F.lit(seed), F.lit("last"), "dup")
     decided.append(rest.select("source", "doc_id", "dup", "size", (coin < F.col("p")).cast("int").alias("up")))
     return reduce(DataFrame.unionByName, decided)
 
@@ -125,9 +127,9 @@ def _rounded(items: DataFrame, seed: int, nearest: bool) -> DataFrame:
     return stored(done.unionByName(up.select("source", "doc_id", "dup", "size", (F.col("base") + F.col("up")).alias("copies"))), "copies")
 
 
-def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """doc_id, dup, source, size, source_size, target, copies, taken for each row of ``docs``."""
-    rows = stored(numbered(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, identity: str = "doc_id") -> DataFrame:
+    """doc_id, dup, source, size, source_size, target, copies, taken for each row of ``docs``; ``identity`` names the column that is handed back as doc_id."""
+    rows = stored(numbered(docs, identity), "sizes")
     goal = stored(targets(rows, weights, share, cap), "targets")
     split = rows.groupBy("source").agg(F.avg("size").alias("mean"))
     on = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -148,12 +150,13 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
 
 def repeated(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its copies say, columns unchanged."""
-    copies = mix(docs, seed).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("dup").alias("__dup"), F.col("copies").cast("int").alias("__copies"))
-    order = W.partitionBy("doc_id").orderBy("source", F.col("__size"), F.xxhash64("text"))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(order))
-    rows = rows.join(copies, rows["doc_id"].eqNullSafe(copies["__id"]) & (rows["__nth"] == copies["__dup"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key, copies = unused(docs, "key"), unused(docs, "copies_taken")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    # random numbers come from what a row holds, the row's number only leads back to it
+    taken = mix(rows, seed, identity=key).filter("copies > 0")
+    taken = stored(taken.select(F.col("doc_id").alias(key), F.col("copies").cast("int").alias(copies)), "taken")
+    rows = rows.join(taken.hint("merge"), key)
+    return rows.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

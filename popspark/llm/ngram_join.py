@@ -9,47 +9,62 @@ Links only matter for components, so pairs inside a large bucket are not all mad
 
 1. star: in each bucket of a prefix shingle every group head meets the bucket's least peculiar head, and every
    member its own head; pairs are verified on the texts and linked into components;
-2. stars again around other pivots, for buckets that still hold more than one component;
-3. whatever pairs of documents of different components in one bucket are left are all verified.  Throughout, pairs
-   whose places in the order leave too few shingles to be common are no candidates.  After this no link between two components can have been missed.
+2. stars of documents, around the least peculiar one and then around others, in buckets that still hold more than
+   one component;
+3. whatever pairs of groups with different components in one bucket are left are filtered, expanded to their
+   members and verified.
+
+Throughout, pairs whose places in the order leave too few shingles to be common are no candidates.  In step 3 members
+also need parity sketches close enough for the similarity asked for, which is exact too: a shingle that only one of
+two sets holds flips one bit, so sketches differ in no more bits than the sets in shingles.  After this no link between two
+components can have been missed.
 
 Defined results: null text and texts without words have no shingles and link with nothing; fewer words than a
-shingle count as one shingle; exact copies share a class; rows with a repeated doc_id each get a row (they share
-a class and a component where their texts do); null doc_ids are least in no component; empty tables give empty results;
-further columns are ignored.
+shingle count as one shingle; exact copies share a class; rows with a repeated doc_id each get a row and a component by
+their own text; a null doc_id is never the least of a component unless all are null, and then the component is null;
+empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm.common import Words, byte_slices, documents, signed, stored, text_bytes
+from popspark.llm.common import Words, byte_slices, documents, signed, stored, text_bytes, unused
 from popspark.llm.components import components
-from popspark.llm.exchange import buckets_for, exchange, unit_column, units_for
+from popspark.llm.exchange import buckets_for, exchange, units_for
 
 WORDS = 5
 PERCENT = 80
-#: Star rounds before all remaining pairs are made; only how work is spread depends on it.
+#: Star rounds of documents before what remains is paired; only how work is spread depends on it.
 ROUNDS = 2
+#: 64-bit parts of a sketch.
+SKETCH = 8
+
+CLASS = "doc_id long, deal long, h1 long, h2 long, n_words long"
+
 
-CLASS = "doc_id long, h1 long, h2 long, n_words long"
+def _dealt(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64(F.lit(41), "doc_id", "text").alias("deal"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id with a 128-bit hash of its lower-cased word sequence."""
+    """doc_id with a 128-bit hash of its lower-cased word sequence; ``deal`` is the hash that units are dealt by."""
 
     def run(batches):
         for b in byte_slices(batches, "text", 8_000_000):
             w = Words(b.column("text"), lower=True)
             h = w.hashes()
-            columns = [b.column("doc_id"), *(pa.array(signed(w.whole(h, k))) for k in (0, 1)), pa.array(w.count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n_words"])
+            columns = [b.column("doc_id"), b.column("deal"), *(pa.array(signed(w.whole(h, k))) for k in (0, 1)), pa.array(w.count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "deal", "h1", "h2", "n_words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, CLASS)
+    return _dealt(docs).mapInArrow(run, CLASS)
 
 
 class Shingles:
@@ -72,28 +87,41 @@ class Shingles:
         self.first = np.append(0, np.cumsum(self.count))
 
 
-REP = "doc_id long, n long, uniq long, t1 long, t2 long, tokens array<long>, words string"
-_REP = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("uniq", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("words", pa.string())])
+def sketches(s: Shingles, docs: int) -> np.ndarray:
+    """(document x SKETCH) parity sketches: each shingle flips one bit."""
+    bits = 64 * SKETCH
+    at = s.doc * bits + ((s.value >> np.uint64(11)) % np.uint64(bits)).astype(np.int64)
+    flips = np.bincount(at, minlength=docs * bits).astype(np.uint8) & 1
+    return np.packbits(flips.reshape(docs, bits), axis=1).view(np.int64)
+
+
+REP = "id long, n long, uniq long, typical long, t1 long, t2 long, tokens array<long>, sketch array<long>, words string"
+_LONGS = pa.list_(pa.int64())
+_REP = pa.schema([*((c, pa.int64()) for c in ("id", "n", "uniq", "typical", "t1", "t2")), ("tokens", _LONGS), ("sketch", _LONGS), ("words", pa.string())])
 
 
 def _representatives(docs: DataFrame, reps: DataFrame, n_bytes: int, size: int, percent: int) -> DataFrame:
-    """REP for each representative; tokens and words only where a prefix shingle is in other documents too."""
-    unit = unit_column(units_for(n_bytes), "doc_id").alias("unit")
-    rows = docs.select(unit, "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("long").alias("h1"))
-    marks = reps.select(unit, "doc_id", F.lit(None).cast("string").alias("text"), "h1")
+    """REP for each of ``reps`` (id, deal, h1, h2); all but id and n only where a prefix shingle is in other documents too.
+
+    ``typical`` is the sum of the document frequencies of all shingles.
+    """
+    unit = F.pmod("deal", F.lit(units_for(n_bytes))).alias("unit")
+    none = [F.lit(None).cast("long").alias(c) for c in ("id", "h1", "h2")]
+    rows = _dealt(docs).select(unit, F.coalesce("text", F.lit("")).alias("text"), *none)
+    marks = reps.select(unit, F.lit(None).cast("string").alias("text"), "id", "h1", "h2")
 
     def unpack(table):
         marked = pc.is_null(table.column("text"))
         want = table.filter(marked)
-        want = set(zip(want.column("doc_id").to_pylist(), want.column("h1").to_pylist()))
-        own = table.filter(pc.invert(marked)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        want = dict(zip(zip(want.column("h1").to_pylist(), want.column("h2").to_pylist()), want.column("id").to_pylist()))
+        own = table.filter(pc.invert(marked)).sort_by([("text", "ascending")])
         w = Words(own.column("text"), lower=True)
         h = w.hashes()
-        rows, ids = [], own.column("doc_id").to_pylist()
-        for i, key in enumerate(zip(ids, signed(w.whole(h)).tolist())):
+        rows, ids = [], []
+        for i, key in enumerate(zip(*(signed(w.whole(h, k)).tolist() for k in (0, 1)))):
             if key in want:
-                want.discard(key)
                 rows.append(i)
+                ids.append(want.pop(key))
         return ids, w, Shingles(w, h, np.array(rows, np.int64), size), rows
 
     def items(table):
@@ -105,19 +133,23 @@ def _representatives(docs: DataFrame, reps: DataFrame, n_bytes: int, size: int,
         df = totals[np.searchsorted(keys, s.value >> np.uint64(32))] if len(s.value) else np.zeros(0, np.int64)
         order = np.lexsort((s.value, df, s.doc))
         value, df = s.value[order], df[order]
-        uniq = np.bincount(s.doc, weights=df == 1, minlength=len(w.count)).astype(np.int64)
+        docs = len(w.count)
+        uniq = np.bincount(s.doc, weights=df == 1, minlength=docs).astype(np.int64)
+        typical = np.bincount(s.doc, weights=df, minlength=docs).astype(np.int64)
+        sketch = sketches(s, docs)
         out = {c: [] for c in _REP.names}
-        for i in rows:
+        for i, key in zip(rows, ids):
             n, at = int(s.count[i]), int(s.first[i])
             prefix = slice(at, at + n - -(-percent * n // 100) + 1)
             tokens = value[prefix][df[prefix] > 1]
-            mark = [int(x) for x in signed(np.array([np.bitwise_xor.reduce(tokens * np.uint64(k)) if len(tokens) else 0 for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)], np.uint64))]
-            text = None
+            row = [key, n, *[None] * 7]
             if len(tokens):
+                mark = [int(x) for x in signed(np.array([np.bitwise_xor.reduce(tokens * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)], np.uint64))]
                 spans = zip(w.start[w.first[i] : w.first[i + 1]].tolist(), w.end[w.first[i] : w.first[i + 1]].tolist())
                 data = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
                 text = b" ".join([data[a - w.offsets[i] : b - w.offsets[i]] for a, b in spans]).decode()
-            for c, v in zip(_REP.names, (ids[i], n, int(uniq[i]), *mark, signed(tokens), text)):
+                row = [key, n, int(uniq[i]), int(typical[i]), *mark, signed(tokens), sketch[i], text]
+            for c, v in zip(_REP.names, row):
                 out[c].append(v)
         return pa.Table.from_pydict(out, schema=_REP)
 
@@ -125,9 +157,9 @@ def _representatives(docs: DataFrame, reps: DataFrame, n_bytes: int, size: int,
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets reach the similarity; ``texts`` has doc_id and words."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("words").alias("x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
+    """Those of ``pairs`` (a, b) whose shingle sets reach the similarity; ``texts`` has id and words."""
+    left = texts.select(F.col("id").alias("a"), F.col("words").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("words").alias("y"))
     rows = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches):
@@ -157,78 +189,113 @@ def _may_link(n1: str, at1: str, n2: str, at2: str, percent: int) -> F.Column:
     return F.lit(100 + percent) * most >= F.lit(percent) * (F.col(n1) + F.col(n2))
 
 
+def _sketches_allow(n1: str, s1: str, n2: str, s2: str, percent: int) -> F.Column:
+    """Whether two sets can be as similar as asked for: no more than (100 - p) / (100 + p) of n1 + n2 in only one of them."""
+    apart = reduce(add, [F.bit_count(F.get(s1, F.lit(k)).bitwiseXOR(F.get(s2, F.lit(k)))) for k in range(SKETCH)])
+    return F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col(n1) + F.col(n2))
+
+
+GROUP = ["n", "t1", "t2"]
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     members = stored(classes(docs), "classes")
-    firsts = stored(members.filter("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    reps = stored(_representatives(docs, firsts.select("doc_id", "h1"), text_bytes(docs), size, percent), "representatives")
+    firsts = members.filter("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.min("deal").alias("deal"))
+    # numbers are settled once they are written
+    firsts = stored(firsts.withColumn("id", F.monotonically_increasing_id()), "firsts")
+    reps = stored(_representatives(docs, firsts.select("id", "deal", "h1", "h2"), text_bytes(docs), size, percent), "representatives")
     texts = reps.filter("words IS NOT NULL")
 
-    # groups of one prefix and size; the head has the fewest shingles of its own
-    keys = ["n", "t1", "t2"]
-    groups = stored(texts.groupBy(*keys).agg(F.min(F.struct("uniq", "doc_id")).alias("h"), F.count("*").alias("m"), F.first("tokens").alias("tokens")).select(*keys, F.col("h.uniq").alias("uniq"), F.col("h.doc_id").alias("head"), "m", "tokens"), "groups")
-    grouped = stored(texts.select("doc_id", "uniq", *keys).join(groups.select(*keys, "head").hint("merge"), keys), "grouped")
+    # groups of one prefix and size; the head is the least peculiar: fewest shingles of its own, then the most typical
+    least = F.struct("uniq", (-F.col("typical")).alias("odd"), "id")
+    groups = texts.groupBy(*GROUP).agg(F.min(least).alias("h"), F.first("tokens").alias("tokens"))
+    groups = groups.select(F.monotonically_increasing_id().alias("group"), *GROUP, "h.uniq", "h.odd", F.col("h.id").alias("head"), "tokens")
+    groups = stored(groups, "groups")
+    grouped = texts.select("id", "typical", "sketch", *GROUP).join(groups.select(*GROUP, "group", "uniq", "head").hint("merge"), GROUP)
+    grouped = stored(grouped.select("id", "group", "head", "n", "uniq", (-F.col("typical")).alias("odd"), "sketch"), "grouped")
     # shingles of no other text come first in the order, so the k-th shared one is at place uniq + k
-    entries = groups.select(F.posexplode("tokens").alias("k", "token"), F.col("head").alias("doc"), "n", "uniq")
-    entries = entries.select("token", "doc", "n", "uniq", (F.col("uniq") + F.col("k")).alias("at"))
+    tokens = groups.select(F.posexplode("tokens").alias("k", "token"), "group", "n", "uniq", "odd", F.col("head").alias("id"))
+    tokens = stored(tokens.withColumn("at", F.col("uniq") + F.col("k")).drop("k"), "tokens")
 
-    pairs = _stars(entries, F.struct("uniq", "doc", "n", "at"), percent).unionByName(grouped.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
-    tried = stored(_ordered(pairs), "pairs")
+    inside = grouped.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    tried = stored(_ordered(_stars(tokens, ["uniq", "odd", "id"], percent).unionByName(inside)), "pairs")
     links = stored(verified(tried, texts, size, percent), "links")
     labels = stored(components(links), "labels")
-    for k in range(ROUNDS):
-        mixed = _mixed(groups, grouped, labels)
-        if mixed.isEmpty():
-            break
-        if k + 1 < ROUNDS:
-            pivot = F.struct(F.xxhash64("doc", F.lit(k)).alias("u"), "doc", "n", "component_id", "at")
-            pairs = _stars(mixed, pivot, percent)
+    for k in range(ROUNDS + 1):
+        labelled = grouped.join(labels.hint("merge"), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        labelled = stored(labelled, "labelled")
+        mixed = _mixed(tokens.drop("id", "odd"), labelled)
+        if k < ROUNDS:
+            rows = mixed.select("token", "group", "at").join(labelled.drop("sketch").hint("merge"), "group")
+            order = ["uniq", "odd", "id"] if k == 0 else [f"xxhash64(id, {k})"]
+            pairs = _stars(stored(rows, "entries"), order, percent)
         else:
-            one, two = (mixed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "component_id", "at")]) for i in (1, 2))
-            cross = (F.col("component_id1") < F.col("component_id2")) & _may_link("n1", "at1", "n2", "at2", percent)
-            pairs = one.join(two.hint("merge"), "token").filter(cross).select(F.col("doc1").alias("a"), F.col("doc2").alias("b"))
+            pairs = _remaining(mixed, labelled, percent)
         fresh = stored(_ordered(pairs).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(fresh)
         found = stored(verified(fresh, texts, size, percent), "links")
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        labels = stored(components(links), "labels")
-
-    reached = firsts.select("h1", "h2", F.col("doc_id").alias("rep"))
-    found = labels.select(F.col("id").alias("rep"), "component_id")
-    counts = reps.select(F.col("doc_id").alias("rep"), "n")
-    reached = stored(reached.join(counts, "rep", "left").join(found, "rep", "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id")), "reached")
+        tried = tried.unionByName(fresh)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = stored(components(links), "labels")
+
+    linked = labels.join(firsts.select("id", "first").hint("merge"), "id")
+    least = linked.groupBy("component_id").agg(F.min("first").alias("least"))
+    linked = stored(linked.join(least.hint("merge"), "component_id").select("id", "least"), "linked")
+    reached = firsts.join(reps.select("id", "n").hint("merge"), "id").join(linked.hint("merge"), "id", "left")
+    reached = stored(reached.select("h1", "h2", "n", F.coalesce("least", "first").alias("component_id")), "reached")
     # texts without words share one hash: they stay apart
     out = members.withColumn("h1", F.when(F.col("n_words") > 0, F.col("h1")))
     out = out.join(reached.hint("merge"), ["h1", "h2"], "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _stars(entries: DataFrame, pivot: F.Column, percent: int) -> DataFrame:
-    """(a, b): each document of a bucket with the bucket's pivot, where they can link and components differ."""
-    centre = entries.groupBy("token").agg(F.min(pivot).alias("p"), F.count("*").alias("m")).filter("m > 1").select("token", "p")
+def _stars(entries: DataFrame, order: list[str], percent: int) -> DataFrame:
+    """(a, b): each document of a bucket with the bucket's least by the expressions ``order``, where they can link and components differ."""
+    own = [c for c in ("id", "n", "at", "component_id") if c in entries.columns]
+    least = F.struct(*[F.expr(x).alias(f"by{k}") for k, x in enumerate(order)], *own)
+    centre = entries.groupBy("token").agg(F.min(least).alias("p"), F.count("*").alias("m")).filter("m > 1").select("token", "p")
     rows = entries.join(stored(centre, "pivots").hint("merge"), "token")
     apart = F.col("component_id") != F.col("p.component_id") if "component_id" in entries.columns else F.lit(True)
-    return rows.filter((F.col("doc") != F.col("p.doc")) & _may_link("n", "at", "p.n", "p.at", percent) & apart).select(F.col("p.doc").alias("a"), F.col("doc").alias("b"))
-
-
-def _mixed(groups: DataFrame, grouped: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (token, doc, n, component_id, at) of the buckets that hold more than one component."""
-    docs = grouped.join(labels.select(F.col("id").alias("doc_id"), "component_id").hint("merge"), "doc_id", "left")
-    docs = docs.select("n", "t1", "t2", F.col("doc_id").alias("doc"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    docs = stored(docs, "labelled")
-    parts = docs.groupBy("n", "t1", "t2").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-    tokens = parts.join(groups.select("n", "t1", "t2", "uniq", "tokens"), ["n", "t1", "t2"]).select(F.posexplode("tokens").alias("k", "token"), "n", "t1", "t2", "uniq", "lo", "hi")
-    tokens = tokens.withColumn("at", F.col("uniq") + F.col("k")).drop("k", "uniq")
-    tokens = stored(tokens, "tokens")
-    bad = stored(tokens.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("token"), "mixed")
-    left = tokens.join(bad.hint("merge"), "token", "left_semi").select("token", "n", "t1", "t2", "at")
-    return stored(left.join(docs.hint("merge"), ["n", "t1", "t2"]).select("token", "doc", "n", "component_id", "at"), "entries")
+    return rows.filter((F.col("id") != F.col("p.id")) & _may_link("n", "at", "p.n", "p.at", percent) & apart).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
+
+
+def _mixed(tokens: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``tokens`` of the buckets that hold more than one component, with the least and greatest component of each group."""
+    parts = stored(labelled.groupBy("group").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")), "parts")
+    rows = stored(tokens.join(parts.hint("merge"), "group"), "tokens")
+    bad = stored(rows.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("token"), "mixed")
+    return stored(rows.join(bad.hint("merge"), "token", "left_semi"), "mixed")
+
+
+def _remaining(mixed: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of documents that share a bucket, are of different components and pass all filters."""
+    one, two = (mixed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("group", "n", "at", "lo", "hi")]) for i in (1, 2))
+    apart = (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")) & _may_link("n1", "at1", "n2", "at2", percent)
+    pairs = one.join(two.hint("merge"), (one["token"] == two["token"]) & (F.col("group1") <= F.col("group2")) & apart)
+    pairs = stored(pairs.select("group1", "group2").distinct(), "groups")
+    one, two = (labelled.select(*[F.col(c).alias(f"{c}{i}") for c in ("group", "id", "n", "component_id", "sketch")]) for i in (1, 2))
+    rows = pairs.join(one.hint("merge"), "group1")
+    allowed = (F.col("component_id1") != F.col("component_id2")) & _sketches_allow("n1", "sketch1", "n2", "sketch2", percent)
+    rows = rows.join(two.hint("merge"), (rows["group2"] == two["group2"]) & allowed)
+    return rows.select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+
+
+def keep_first(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component the row with the least doc_id, null last; rows without words all stay."""
+    row = unused(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    # the row's number takes the place of its doc_id, so that it alone can stay
+    found = stored(near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), size, percent), "components")
+    ids = rows.select(F.col(row).alias("own"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
+    linked = found.join(ids.hint("merge"), found["doc_id"] == ids["own"]).groupBy("component_id")
+    stays = stored(linked.agg(F.min(F.struct("last", ids["doc_id"], "own")).alias("least")).select(F.col("least.own").alias(row)), "stays")
+    return rows.join(stays.hint("merge"), row, "left_semi").drop(row)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ counted over the corpus; only places where all of them repeat are looked at with
 so on up to ``size``.  Documents without a place left are done and leave; after the first level little text moves.
 Below the last length 32-bit hashes are enough, as a collision only lets a candidate through; at the last length
 128 bits decide.  There each unit of documents names the first document that holds a window, the bucket finds the
-first of all, and every other occurrence removes the words it covers.
+first of all, and every other occurrence removes the words it covers.  Documents are in order of doc_id, then of a
+hash of their texts.
 
 Defined results: null text counts as empty; documents with fewer words than a window stay as they are (their
-words joined by one space); null doc_ids come last; rows that share a doc_id count as documents of their own, in
-the order of their texts; an empty table gives an empty result; further columns are ignored.
+words joined by one space); null doc_ids come last; rows that share a doc_id, or have none, count as documents of their own,
+in the order of xxhash64(5, text), so that it does not matter how rows are dealt; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ from popspark.llm.exchange import buckets_for, exchange, unit_column, units_for
 SIZE = 20
 FIRST = 5
 
-ROW = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, starts binary"
-_ROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("starts", pa.binary())])
+ROW = "doc_id long, n_words long, n_removed long, kept_sha256 string, tie long, text string, starts binary"
+_ROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("tie", pa.int64()), ("text", pa.string()), ("starts", pa.binary())])
 
 
 class Places:
     """The documents of a unit in order, their words, and where windows of ``size`` words may still repeat."""
 
     def __init__(self, table: pa.Table, size: int):
-        self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.table = table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")])
         self.words = w = Words(table.column("text"))
         total = len(w.start)
         starts = table.column("starts").to_pylist()
@@ -91,7 +92,7 @@ class Places:
             texts = pc.if_else(pa.array(pending), self.table.column("text").combine_chunks().cast(pa.string()), pa.scalar(None, pa.string()))
             for i in np.flatnonzero(pending).tolist():
                 starts[i] = np.packbits(left[w.first[i] : w.first[i + 1]]).tobytes()
-        return pa.Table.from_arrays([self.table.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array(gone), pa.array(sha, pa.string()), texts, pa.array(starts, pa.binary())], schema=_ROW)
+        return pa.Table.from_arrays([self.table.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array(gone), pa.array(sha, pa.string()), self.table.column("tie"), texts, pa.array(starts, pa.binary())], schema=_ROW)
 
 
 def _level(rows: DataFrame, n_bytes: int, length: int, size: int) -> DataFrame:
@@ -111,7 +112,7 @@ def _level(rows: DataFrame, n_bytes: int, length: int, size: int) -> DataFrame:
     return exchange(rows.withColumn("unit", unit_column(units_for(n_bytes), "doc_id", "text")), buckets_for(n_bytes), items, answer, ROW, key_type=np.uint32, total_type=np.uint8)
 
 
-_FIRST = np.dtype([("second", np.uint64), ("doc", np.int64)])
+_FIRST = np.dtype([("second", np.uint64), ("doc", np.int64), ("tie", np.int64)])
 
 
 def _last_keys(p: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,11 +129,11 @@ def _last_keys(p: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _earliest(keys, values, units):
-    """1 where a unit holds the first document of a window: least doc, then least unit."""
+    """1 where a unit holds the first document of a window: least doc, then least tie."""
     sizes = [len(k) for k in keys]
     flat, val = np.concatenate(keys), np.concatenate(values)
     unit = np.repeat(units, sizes)
-    order = np.lexsort((unit, val["doc"], val["second"], flat))
+    order = np.lexsort((unit, val["tie"], val["doc"], val["second"], flat))
     f, v = flat[order], val["second"][order]
     out = np.zeros(len(flat), np.int64)
     out[order[np.append(True, (f[1:] != f[:-1]) | (v[1:] != v[:-1]))]] = 1
@@ -147,6 +148,7 @@ def _final(rows: DataFrame, n_bytes: int, size: int) -> DataFrame:
         values["second"] = keys["b"]
         ids = pc.fill_null(p.table.column("doc_id"), np.iinfo(np.int64).max).to_numpy()
         values["doc"] = ids[p.words.doc[at[first]]] if len(at) else 0
+        values["tie"] = p.table.column("tie").to_numpy()[p.words.doc[at[first]]] if len(at) else 0
         return keys["a"], values
 
     def answer(table, keys, totals):
@@ -167,12 +169,13 @@ def _final(rows: DataFrame, n_bytes: int, size: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, size: int = SIZE, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs`` (doc_id, text); ``size`` is ``first`` times a power of 2."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("starts"))
+    rows = rows.withColumn("tie", F.xxhash64(F.lit(5), "text"))
     done, length = [], first
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     while length < size:
         level = stored(_level(rows, text_bytes(rows), length, size), f"windows-{length}")
         done.append(level.filter("text IS NULL").select(columns))
-        rows = level.filter("text IS NOT NULL").select("doc_id", "text", "starts")
+        rows = level.filter("text IS NOT NULL").select("doc_id", "tie", "text", "starts")
         length *= 2
     done.append(_final(rows, text_bytes(rows), size).select(columns))
     return reduce(DataFrame.unionByName, done)
@@ -180,5 +183,3 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, first: int = FIRST) -> Dat
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
-
-

@@ -43,5 +43,5 @@ def test_blank_and_tiny_samples_do_not_win(spark):
 
 def test_letters_outside_a_sample_cost_the_same_everywhere():
     small, large = language_id.Automaton(" ab "), language_id.Automaton(" " + "ab cd " * 500)
-    costs, _ = language_id._costs(pa.array(["\u0416", "\u0416\u0416\u0416"]), [small, large])
+    costs, _ = language_id.costs(pa.array(["\u0416", "\u0416\u0416\u0416"]), language_id.Parser([small, large]))
     assert np.allclose(costs[:, 1] - costs[:, 0], 2 * language_id.LITERAL)
