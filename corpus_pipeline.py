@@ -1,7 +1,11 @@
 """A corpus pipeline: language, exact and near duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next stage's ``docs``.  All but the last return the columns they got.
+next stage's ``docs``.  All but the last return the columns they got, whatever their names, as they were.
+
+Defined results, stage by stage: rows with null text or no letter leave at the first; null doc_ids are documents, they
+are never learned from, and sort after others; of repeated rows one stays after exact deduplication; texts without words never
+reach the join; an empty table passes through all stages empty.
 """
 
 from __future__ import annotations
@@ -10,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.llm import bpe, exact_dedup, language_id, mixing, ngram_join
-from popspark.llm.common import folded, stored
+from popspark.llm.common import folded, stored, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told stay; ``lang`` is learned from three quarters of the labelled rows."""
     known = F.coalesce(folded() % 4 != 2, F.lit(False))
     models = language_id.automata(docs.filter(known))
-    told = language_id.identify(docs.withColumn("__text", F.col("text")), models)
-    return told.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumnRenamed("__text", "text").select(*docs.columns)
+    told, score = unused(docs, "lang_told"), unused(docs, "lang_score")
+    rows = language_id.identify(docs, models, told, score, keep_text=True)
+    return rows.filter(F.col(told) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the least doc_id."""
-    kept = ngram_join.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = stored(kept.withColumnRenamed("doc_id", "__kept"), "kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """One document of each component of near duplicates stays, that with the least doc_id; of null doc_ids one for each component."""
+    return ngram_join.keep_first(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
