@@ -168,7 +168,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 
 def training(docs: DataFrame) -> DataFrame:
-    """Vote pattern, shape features and condensed words of each row's whole text."""
+    """Vote pattern, shape features and condensed words of each row's whole text; ``rank`` and ``tie`` pass through."""
 
     def run(batches):
         for b in byte_slices(batches, "text", 4_000_000):
@@ -177,12 +177,12 @@ def training(docs: DataFrame) -> DataFrame:
             doc, feature, share = condensed(w)
             at = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)), pa.int32())
             columns = [
-                pa.array(pattern_of(votes(x))), pa.array(list(x), pa.list_(pa.float64())),
+                b.column("rank"), b.column("tie"), pa.array(pattern_of(votes(x))), pa.array(list(x), pa.list_(pa.float64())),
                 pa.ListArray.from_arrays(at, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(at, pa.array(share)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["pattern", "x", "feature", "share"])
+            yield pa.RecordBatch.from_arrays(columns, ["rank", "tie", "pattern", "x", "feature", "share"])
 
-    return docs.select("text").mapInArrow(run, "pattern long, x array<double>, feature array<int>, share array<double>")
+    return docs.select("rank", "tie", "text").mapInArrow(run, "rank long, tie long, pattern long, x array<double>, feature array<int>, share array<double>")
 
 
 def classify(docs: DataFrame, rows: int = ROWS, threshold: float = 0.5) -> DataFrame:
@@ -191,10 +191,10 @@ def classify(docs: DataFrame, rows: int = ROWS, threshold: float = 0.5) -> DataF
     counts = vote_patterns(docs).groupBy("pattern").count().toPandas()
     patterns, n = counts["pattern"].to_numpy(np.int64), counts["count"].to_numpy(float)
     post = dict(zip(patterns.tolist(), weak_labels(patterns, n).tolist())) if len(counts) else {}
-    # a bounded number of training rows, drawn by a hash of the text
+    # a bounded number of training rows, those with the least hashes of their texts, so that reruns agree
     share = min(1.0, 0.95 * rows / max(1.0, n.sum()))
-    drawn = docs.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
-    t = training(drawn).limit(rows).toArrow().combine_chunks()
+    drawn = docs.select("text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)).alias("rank"), F.xxhash64("text").alias("tie"))
+    t = training(drawn.filter(F.col("rank") < share * 1_000_000)).orderBy("rank", "tie").limit(rows).toArrow().combine_chunks()
     flat = lambda name: pc.list_flatten(t[name]).combine_chunks().to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(t.num_rows), pc.list_value_length(t["feature"]).to_numpy())
     target = np.array([post[p] for p in t["pattern"].to_pylist()])

@@ -458,20 +458,27 @@ def test_ctw_awkward_rows(spark):
 # -- embeddings -----------------------------------------------------------------------------------------------------
 
 
-def test_embedding_recall(spark):
-    sf = "/root/testdata/sf0.1"
-    e = table(spark.read.parquet(f"{sf}/embeddings.parquet"))
-    got = table(QUERIES["op8_embedding_dedup"](spark, sf)).set_index("vec_id")
-    true = found = 0
-    for _, g in e.groupby("label"):
-        x = np.stack(g.embedding).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = x @ x.T >= 0.98
-        np.fill_diagonal(near, False)
-        links = got.loc[g.vec_id].n_links.to_numpy()
-        assert (links <= near.sum(axis=1)).all()
-        true, found = true + near.sum(), found + links.sum()
-    assert true > 0 and found >= 0.9 * true
+@pytest.mark.parametrize("dim", [16, 64])
+def test_embedding_recall(spark, dim):
+    """Planted pairs with cosines from 0.98 to 1 among many far vectors, against brute force."""
+    rng = np.random.default_rng(dim)
+    far = rng.normal(size=(4000, dim))
+    some = far[rng.permutation(4000)[:600]]
+    some /= np.linalg.norm(some, axis=1, keepdims=True)
+    side = rng.normal(size=some.shape)
+    side -= (side * some).sum(axis=1, keepdims=True) * some
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.9999, (600, 1))
+    x = np.float32(np.concatenate([far, cosine * some + np.sqrt(1 - cosine**2) * side]))
+    label = np.concatenate([np.zeros(4000, int), rng.integers(0, 8, 600) // 7])
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
+    got = table(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).set_index("vec_id").sort_index()
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    true, found = near.sum(axis=1), got.n_links.to_numpy()
+    assert true.sum() > 800 and (found <= true).all() and found.sum() >= 0.9 * true.sum()
     assert (got.kept == (got.index == got.component_id)).all()
 
 
@@ -587,6 +594,47 @@ def test_quality_against_labels(spark):
     assert ((got.quality == 1) == got.kept).mean() > 0.95 and got[got.quality == 1].kept.mean() > 0.98
 
 
+def brute_em(patterns, counts, rounds):
+    """The estimation written out with dictionaries."""
+    votes = {p: [p // 3**k % 3 - 1 for k in range(len(quality.VOTES))] for p in patterns}
+    post = {p: 1 / (1 + math.exp(-(sum(x > 0 for x in v) - quality.CAUTION * sum(x < 0 for x in v)))) for p, v in votes.items()}
+    for _ in range(rounds):
+        good = {p: counts[p] * post[p] for p in patterns}
+        bad = {p: counts[p] * (1 - post[p]) for p in patterns}
+        prior = min(0.98, max(0.02, sum(good.values()) / sum(counts.values())))
+        chance = []
+        for mass in (good, bad):
+            rows = [[1 + sum(mass[p] for p in patterns if votes[p][k] == s) for s in (-1, 0, 1)] for k in range(len(quality.VOTES))]
+            chance.append([[x / sum(r) for x in r] for r in rows])
+        for p, v in votes.items():
+            odds = math.log(prior / (1 - prior)) + sum(math.log(chance[0][k][x + 1] / chance[1][k][x + 1]) for k, x in enumerate(v))
+            post[p] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
+    return post
+
+
+def test_quality_estimation_against_brute_force():
+    rng = np.random.default_rng(9)
+    good = rng.random(2000) < 0.7
+    v = np.zeros((2000, len(quality.VOTES)), int)
+    for k, (*_, under, over) in enumerate(quality.VOTES):
+        says = sorted({0, under, over})
+        right = rng.random(2000) < 0.8
+        v[:, k] = np.where(good == right, max(says), min(says))
+    patterns, counts = np.unique(quality.pattern_of(v), return_counts=True)
+    got = quality.weak_labels(patterns, counts.astype(float), rounds=12)
+    want = brute_em(patterns.tolist(), dict(zip(patterns.tolist(), counts.tolist())), 12)
+    assert np.allclose(got, [want[p] for p in patterns.tolist()])
+
+
+def test_quality_scorer_learns_its_targets():
+    """Loss falls to what the features allow, and the gradient at the end is small beside the start's."""
+    texts = [f"good plain words number {i}. and more of them." for i in range(60)] + [f"$$ ## {i} | | ~ ^" for i in range(60)]
+    w, target = Words(pa.array(texts)), np.repeat([0.9, 0.1], 60)
+    x = quality.features(w)
+    scorer = quality.Scorer(x, *quality.condensed(w), target)
+    assert np.abs(scorer.score(w) - target).max() < 0.1
+
+
 def test_quality_awkward_rows(spark):
     d = awkward(spark)
     got = table(quality.classify(d))
