@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands for the end-of-word marker inside the trie.
 END = "\ue000"
 #: Words that a worker remembers between batches; beyond it the memory is emptied, results do not change.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -263,7 +263,7 @@ class WordBpe:
 
 
 #: Bytes of text that are encoded together; memory does not depend on how rows were batched.
-BATCH = 4_000_000
+BATCH = 1_000_000
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _LOADED: dict[str, WordBpe] = {}
 

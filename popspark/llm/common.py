@@ -104,17 +104,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+KEPT = 6 * 262_144
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, one pair of arrays for each base, which only grows."""
-    if base not in _POWERS or len(_POWERS[base][0]) < size:
-        up = np.full(-(-size // 262_144) * 262_144, base, _U)
-        down = np.full(len(up), pow(base, -1, 2**64), _U)
-        up[0] = down[0] = 1
-        _POWERS[base] = np.cumprod(up, out=up), np.cumprod(down, out=down)
-    return _POWERS[base]
+    """Powers of an odd base and of its inverse; a worker keeps one pair of arrays for each base, of no more than ``KEPT`` powers."""
+    if base in _POWERS and len(_POWERS[base][0]) >= size:
+        return _POWERS[base]
+    up = np.full(-(-size // 262_144) * 262_144, base, _U)
+    down = np.full(len(up), pow(base, -1, 2**64), _U)
+    up[0] = down[0] = 1
+    made = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    if len(up) <= KEPT:
+        _POWERS[base] = made
+    return made
 
 
 def _windows(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:

@@ -36,7 +36,7 @@ from popspark.llm.common import byte_slices, documents, folded
 ROWS = 200
 CHARS = 60_000
 #: Bytes of text that are parsed together, and characters of a chunk; neither changes results.
-BATCH = 3_000_000
+BATCH = 1_500_000
 CHUNK = 512
 UNKNOWN = "und"
 #: Bits of one letter out of all code points.

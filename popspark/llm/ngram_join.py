@@ -58,7 +58,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id with a 128-bit hash of its lower-cased word sequence; ``deal`` is the hash that units are dealt by."""
 
     def run(batches):
-        for b in byte_slices(batches, "text", 8_000_000):
+        for b in byte_slices(batches, "text", 1_000_000):
             w = Words(b.column("text"), lower=True)
             h = w.hashes()
             columns = [b.column("doc_id"), b.column("deal"), *(pa.array(signed(w.whole(h, k))) for k in (0, 1)), pa.array(w.count.astype(np.int64))]
@@ -164,7 +164,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     def run(batches):
         for whole in batches:
-            for b in byte_slices([whole], "x", 2_000_000):
+            for b in byte_slices([whole], "x", 1_000_000):
                 n = b.num_rows
                 w = Words(pa.concat_arrays([b.column("x").cast(pa.large_string()), b.column("y").cast(pa.large_string())]))
                 s = Shingles(w, w.hashes(), np.arange(2 * n), size)
