@@ -17,4 +17,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 #: Queries whose rows SQL cannot express are tested in tests/llm.
-ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op7_ngram_join": ngram_join.SQL,
+    "op8_embedding_dedup": embedding_dedup.SQL,
+}
