@@ -56,10 +56,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def parts_for(rows: int) -> int:
+    """Tasks for a step over so many narrow rows, where the session's number of shuffle partitions is meant for wide ones."""
+    return max(16, -(-rows // 100_000))
+
+
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, by ``parts`` tasks at most, and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import stored
+from popspark.llm.common import parts_for, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,19 +24,20 @@ def components(links: DataFrame) -> DataFrame:
     Links of an id with itself are kept as an id of its own.
     """
     one = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = stored(links.select(*one).distinct(), "edges")
+    parts = parts_for(links.count())
+    edges = stored(links.select(*one).distinct(), "edges", parts)
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     edges = edges.filter("a <> b")
     now = _state(edges)
     while now[0]:
         # large star: greater neighbours of a node move to its least neighbour
-        both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = stored(_star(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", parts)
+        large = stored(_star(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large", parts)
         # small star: a node and its lesser neighbours move to the least of them
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least", parts)
         small = _star(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.filter("a <> b").distinct(), "edges")
+        edges = stored(small.filter("a <> b").distinct(), "edges", parts)
         was, now = now, _state(edges)
         if was == now:
             break

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm.common import Words, byte_slices, documents, signed, stored, text_bytes, unused
+from popspark.llm.common import Words, byte_slices, documents, parts_for, signed, stored, text_bytes, unused
 from popspark.llm.components import components
 from popspark.llm.exchange import buckets_for, exchange, units_for
 
@@ -206,42 +206,43 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     firsts = stored(firsts.withColumn("id", F.monotonically_increasing_id()), "firsts")
     reps = stored(_representatives(docs, firsts.select("id", "deal", "h1", "h2"), text_bytes(docs), size, percent), "representatives")
     texts = reps.filter("words IS NOT NULL")
+    parts = parts_for(texts.agg(F.sum(F.size("tokens"))).first()[0] or 0)
 
     # groups of one prefix and size; the head is the least peculiar: fewest shingles of its own, then the most typical
     least = F.struct("uniq", (-F.col("typical")).alias("odd"), "id")
     groups = texts.groupBy(*GROUP).agg(F.min(least).alias("h"), F.first("tokens").alias("tokens"))
     groups = groups.select(F.monotonically_increasing_id().alias("group"), *GROUP, "h.uniq", "h.odd", F.col("h.id").alias("head"), "tokens")
-    groups = stored(groups, "groups")
+    groups = stored(groups, "groups", parts)
     grouped = texts.select("id", "typical", "sketch", *GROUP).join(groups.select(*GROUP, "group", "uniq", "head").hint("merge"), GROUP)
-    grouped = stored(grouped.select("id", "group", "head", "n", "uniq", (-F.col("typical")).alias("odd"), "sketch"), "grouped")
+    grouped = stored(grouped.select("id", "group", "head", "n", "uniq", (-F.col("typical")).alias("odd"), "sketch"), "grouped", parts)
     # shingles of no other text come first in the order, so the k-th shared one is at place uniq + k
     tokens = groups.select(F.posexplode("tokens").alias("k", "token"), "group", "n", "uniq", "odd", F.col("head").alias("id"))
-    tokens = stored(tokens.withColumn("at", F.col("uniq") + F.col("k")).drop("k"), "tokens")
+    tokens = stored(tokens.withColumn("at", F.col("uniq") + F.col("k")).drop("k"), "tokens", parts)
 
     inside = grouped.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    tried = stored(_ordered(_stars(tokens, ["uniq", "odd", "id"], percent).unionByName(inside)), "pairs")
-    links = stored(verified(tried, texts, size, percent), "links")
-    labels = stored(components(links), "labels")
+    tried = stored(_ordered(_stars(tokens, ["uniq", "odd", "id"], percent, parts).unionByName(inside)), "pairs", parts)
+    links = stored(verified(tried, texts, size, percent), "links", parts)
+    labels = stored(components(links), "labels", parts)
     for k in range(ROUNDS + 1):
         labelled = grouped.join(labels.hint("merge"), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-        labelled = stored(labelled, "labelled")
-        mixed = _mixed(tokens.drop("id", "odd"), labelled)
+        labelled = stored(labelled, "labelled", parts)
+        mixed = _mixed(tokens.drop("id", "odd"), labelled, parts)
         if k < ROUNDS:
             rows = mixed.select("token", "group", "at").join(labelled.drop("sketch").hint("merge"), "group")
             order = ["uniq", "odd", "id"] if k == 0 else [f"xxhash64(id, {k})"]
-            pairs = _stars(stored(rows, "entries"), order, percent)
+            pairs = _stars(stored(rows, "entries", parts), order, percent, parts)
         else:
-            pairs = _remaining(mixed, labelled, percent)
-        fresh = stored(_ordered(pairs).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        found = stored(verified(fresh, texts, size, percent), "links")
+            pairs = _remaining(mixed, labelled, percent, parts)
+        fresh = stored(_ordered(pairs).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs", parts)
+        found = stored(verified(fresh, texts, size, percent), "links", parts)
         tried = tried.unionByName(fresh)
         if not found.isEmpty():
             links = links.unionByName(found)
-            labels = stored(components(links), "labels")
+            labels = stored(components(links), "labels", parts)
 
     linked = labels.join(firsts.select("id", "first").hint("merge"), "id")
     least = linked.groupBy("component_id").agg(F.min("first").alias("least"))
-    linked = stored(linked.join(least.hint("merge"), "component_id").select("id", "least"), "linked")
+    linked = stored(linked.join(least.hint("merge"), "component_id").select("id", "least"), "linked", parts)
     reached = firsts.join(reps.select("id", "n").hint("merge"), "id").join(linked.hint("merge"), "id", "left")
     reached = stored(reached.select("h1", "h2", "n", F.coalesce("least", "first").alias("component_id")), "reached")
     # texts without words share one hash: they stay apart
@@ -255,30 +256,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _stars(entries: DataFrame, order: list[str], percent: int) -> DataFrame:
+def _stars(entries: DataFrame, order: list[str], percent: int, tasks: int) -> DataFrame:
     """(a, b): each document of a bucket with the bucket's least by the expressions ``order``, where they can link and components differ."""
     own = [c for c in ("id", "n", "at", "component_id") if c in entries.columns]
     least = F.struct(*[F.expr(x).alias(f"by{k}") for k, x in enumerate(order)], *own)
     centre = entries.groupBy("token").agg(F.min(least).alias("p"), F.count("*").alias("m")).filter("m > 1").select("token", "p")
-    rows = entries.join(stored(centre, "pivots").hint("merge"), "token")
+    rows = entries.join(stored(centre, "pivots", tasks).hint("merge"), "token")
     apart = F.col("component_id") != F.col("p.component_id") if "component_id" in entries.columns else F.lit(True)
     return rows.filter((F.col("id") != F.col("p.id")) & _may_link("n", "at", "p.n", "p.at", percent) & apart).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
 
 
-def _mixed(tokens: DataFrame, labelled: DataFrame) -> DataFrame:
+def _mixed(tokens: DataFrame, labelled: DataFrame, tasks: int) -> DataFrame:
     """``tokens`` of the buckets that hold more than one component, with the least and greatest component of each group."""
-    parts = stored(labelled.groupBy("group").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")), "parts")
-    rows = stored(tokens.join(parts.hint("merge"), "group"), "tokens")
-    bad = stored(rows.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("token"), "mixed")
-    return stored(rows.join(bad.hint("merge"), "token", "left_semi"), "mixed")
+    parts = stored(labelled.groupBy("group").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")), "parts", tasks)
+    rows = stored(tokens.join(parts.hint("merge"), "group"), "tokens", tasks)
+    bad = stored(rows.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("token"), "mixed", tasks)
+    return stored(rows.join(bad.hint("merge"), "token", "left_semi"), "mixed", tasks)
 
 
-def _remaining(mixed: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
+def _remaining(mixed: DataFrame, labelled: DataFrame, percent: int, tasks: int) -> DataFrame:
     """(a, b): every pair of documents that share a bucket, are of different components and pass all filters."""
     one, two = (mixed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("group", "n", "at", "lo", "hi")]) for i in (1, 2))
     apart = (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")) & _may_link("n1", "at1", "n2", "at2", percent)
     pairs = one.join(two.hint("merge"), (one["token"] == two["token"]) & (F.col("group1") <= F.col("group2")) & apart)
-    pairs = stored(pairs.select("group1", "group2").distinct(), "groups")
+    pairs = stored(pairs.select("group1", "group2").distinct(), "groups", tasks)
     one, two = (labelled.select(*[F.col(c).alias(f"{c}{i}") for c in ("group", "id", "n", "component_id", "sketch")]) for i in (1, 2))
     rows = pairs.join(one.hint("merge"), "group1")
     allowed = (F.col("component_id1") != F.col("component_id2")) & _sketches_allow("n1", "sketch1", "n2", "sketch2", percent)
