@@ -67,11 +67,11 @@ def contigs(spark: SparkSession, path) -> DataFrame:
 
 
 def genotypes(spark: SparkSession, path, samples: DataFrame | None = None, zero_based: bool = True) -> DataFrame:
-    """(chrom, pos, ref, alt, qual, filter, sample, gt, gq): one row for each site and sample."""
-    t = spark.read.text(path)
-    names = t.filter(F.col("value").startswith("#CHROM")).select(F.split("value", "\t").alias("h")).limit(1)
+    """(chrom, pos, ref, alt, qual, filter, sample, gt, gq): one row for each site and sample; sample names are those of the row's own file, null where it names none."""
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    names = t.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.split(F.first("value"), "\t").alias("h"))
     x = F.split("value", "\t")
-    rows = t.filter(~F.col("value").startswith("#")).select(x.alias("x")).crossJoin(F.broadcast(names))
+    rows = t.filter(~F.col("value").startswith("#")).select("file", x.alias("x")).join(names, "file", "left")
     rows = rows.select(
         F.col("x")[0].alias("chrom"), (F.col("x")[1].cast("long") - (1 if zero_based else 0)).alias("pos"), F.col("x")[3].alias("ref"), F.col("x")[4].alias("alt"),
         F.expr("try_cast(x[5] as double)").alias("qual"), F.col("x")[6].alias("filter"), F.split(F.col("x")[8], ":").alias("format"),

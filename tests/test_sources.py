@@ -158,3 +158,11 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("sums").select("bin", F.col("n_diff"))) == [(0, 4.0), (1, 1.0)]
+
+
+def test_genotypes_of_files_with_other_samples(spark, tmp_path):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    put(tmp_path, "a.vcf", f"{head}A\tB\nchr1\t5\t.\tA\tG\t60\tPASS\t.\tGT:GQ\t0/1:40\t1|1:50\n")
+    put(tmp_path, "b.vcf", f"{head}C\nchr2\t5\t.\tA\tG\t60\tPASS\t.\tGT:GQ\t0/0:40\n")
+    got = X.genotypes(spark, f"{tmp_path}/*.vcf").select("chrom", "sample", "gt")
+    assert sorted(map(tuple, got.collect())) == [("chr1", "A", "0/1"), ("chr1", "B", "1/1"), ("chr2", "C", "0/0")]
