@@ -159,7 +159,10 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def split(features: DataFrame, recmap: DataFrame, length: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Features cut where the rate changes and into chunks of ``length`` from the left, with rate and map positions."""
+    """Features cut where the rate changes and into chunks of ``length`` from the left, with rate and map positions.
+
+    Parts that the map does not cover are left out; ``uncovered`` has them.
+    """
     f = features
     if length:
         at = F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(length))).alias("__at")
@@ -170,6 +173,12 @@ def split(features: DataFrame, recmap: DataFrame, length: int | None = None, buc
     return cut.select("chrom", F.col("lo").alias("start"), F.col("hi").alias("end"), *rest, "rate", where("lo").alias("map_start"), where("hi").alias("map_end"))
 
 
+def uncovered(features: DataFrame, recmap: DataFrame) -> DataFrame:
+    """(chrom, start, end): the parts of features, merged, that have no rate; a caller that needs all of them has an error where there are any."""
+    rated = recmap.filter(F.col("rate").isNotNull())
+    return subtract(merge(features), merge(rated), features.groupBy("chrom").agg(F.max("end").alias("length")))
+
+
 def rate_track(ranges: DataFrame, seqlens: DataFrame, rate: float) -> DataFrame:
     """A map without gaps: ``rate`` inside the intervals, 0 elsewhere."""
     inside = merge(ranges).withColumn("rate", F.lit(float(rate)))

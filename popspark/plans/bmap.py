@@ -172,11 +172,17 @@ def ratchet_map(points: DataFrame, segments: DataFrame, w: list[float], t: list[
     return _long(sums, names)
 
 
-def rescaled(segments: DataFrame, bmap: DataFrame, wi: int, ti: int, bucket: int = BUCKET) -> DataFrame:
-    """Segments with ``n_scale``: B of an earlier map, all features together, at their midpoints, in (0, 1]."""
+def rescaled(segments: DataFrame, bmap: DataFrame, wi: int, ti: int, bucket: int = BUCKET, strict: bool = False) -> DataFrame:
+    """Segments with ``n_scale``: B of an earlier map, all features together, at their midpoints, in (0, 1].
+
+    Values outside are drawn to 1e-6 or 1; with ``strict`` the first one ends the job with an error instead.
+    """
     total = bmap.filter((F.col("wi") == wi) & (F.col("ti") == ti)).groupBy("chrom", "pos").agg(F.exp(F.sum("log_b")).alias("b"))
     mid = segments.withColumn("__mid", (F.col("start") + F.col("end")) / 2)
     out = interpolate(mid, total, pos="__mid", x="pos", y="b", out="n_scale", bucket=bucket)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("B outside (0, 1]: "), F.col("n_scale").cast("string"))).cast("double")
+        out = out.withColumn("n_scale", F.when((F.col("n_scale") <= 0) | (F.col("n_scale") > 1), wrong).otherwise(F.col("n_scale")))
     return out.withColumn("n_scale", F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.col("n_scale")))).drop("__mid")
 
 

@@ -56,3 +56,20 @@ def test_selection_formulas(spark):
     assert row["q"] == pytest.approx(sum(0.675**k for k in range(8))) and row["q_none"] == 1 and row["q_all"] == pytest.approx(1 / 0.325)
     assert row["v"] == pytest.approx(2 / 9 * 0.64 / 3) and row["v_large"] == pytest.approx(2 / 9 * 0.64, rel=1e-5)
     assert row["v_finite"] == pytest.approx((11 / 27 * 0.8 / 2000 + 226 / 810 * 0.64) / 3)
+
+
+def test_uncovered_parts_and_strict_rescaling(spark):
+    from pyspark.sql import functions as F
+
+    from popspark.operators import intervals as I
+    from popspark.plans import bmap as B
+
+    features = spark.createDataFrame([("c", 0, 10), ("c", 8, 30), ("d", 5, 6)], "chrom string, start long, end long")
+    recmap = spark.createDataFrame([("c", 4, 20, 1e-8), ("c", 20, 25, None)], "chrom string, start long, end long, rate double")
+    assert sorted(map(tuple, I.uncovered(features, recmap).select("chrom", "start", "end").collect())) == [("c", 0, 4), ("c", 20, 30), ("d", 5, 6)]
+    bmap = spark.createDataFrame([("c", x, 0, 0, "f", v) for x, v in ((0, -0.5), (40, 0.5))], "chrom string, pos long, wi int, ti int, feature string, log_b double")
+    high, low = features.filter("end = 30").withColumn("start", F.lit(28).cast("long")), features.filter("end = 10")
+    assert B.rescaled(high, bmap, 0, 0).first()["n_scale"] == 1 and 0 < B.rescaled(low, bmap, 0, 0, strict=True).first()["n_scale"] < 1
+    with pytest.raises(Exception, match="outside"):
+        B.rescaled(high, bmap, 0, 0, strict=True).collect()
+
