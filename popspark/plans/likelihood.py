@@ -89,6 +89,55 @@ def parametric_bootstrap(theta: DataFrame, errors: DataFrame, replicates: int, s
 # -- fitting ------------------------------------------------------------------------------------------------------
 
 
+def least_quadratic(g: np.ndarray, h: np.ndarray, theta: np.ndarray, equal: np.ndarray, value: np.ndarray, side: np.ndarray, most: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Least points z of g (z - theta) + (z - theta) h (z - theta) / 2 where equal z = value and side z <= most, a row for each problem.
+
+    An interior-point method with coordinates scaled to a unit Hessian diagonal; it ends when all are within ``gap``.
+    """
+    k, n = g.shape
+    diagonal = np.einsum("kii->ki", h)
+    scale = 1 / np.sqrt(np.maximum(diagonal, 1e-8 * diagonal[:, 1:].max(axis=1, keepdims=True) + 1e-300))
+    scale[:, 0] = 1 / np.sqrt(np.maximum(diagonal[:, 0], 1e-300))
+    q = h * scale[:, :, None] * scale[:, None, :] + 1e-12 * np.eye(n)
+    c = scale * (g - np.einsum("kij,kj->ki", h, theta))
+    # rows of the conditions are scaled to length 1
+    a, s = equal[None] * scale[:, None, :], side[None] * scale[:, None, :]
+    la, ls = np.linalg.norm(a, axis=2, keepdims=True), np.linalg.norm(s, axis=2, keepdims=True)
+    a, b, s, m = a / la, value / la[..., 0], s / ls, most / ls[..., 0]
+    y = theta / scale
+    slack = np.maximum(m - np.einsum("kij,kj->ki", s, y), 1e-3)
+    lam, nu = np.ones_like(slack) * np.maximum(1, np.abs(c).max(axis=1, keepdims=True)), np.zeros((k, a.shape[1]))
+    zero = np.zeros((k, a.shape[1], a.shape[1])) - 1e-14 * np.eye(a.shape[1])
+
+    def longest(v: np.ndarray, dv: np.ndarray) -> np.ndarray:
+        return np.minimum(1, np.where(dv < 0, -v / np.where(dv < 0, dv, -1), np.inf).min(axis=1, keepdims=True))
+
+    for _ in range(100):
+        dual = np.einsum("kij,kj->ki", q, y) + c + np.einsum("kji,kj->ki", a, nu) + np.einsum("kji,kj->ki", s, lam)
+        off, over = np.einsum("kij,kj->ki", a, y) - b, np.einsum("kij,kj->ki", s, y) + slack - m
+        product = (slack * lam).sum(axis=1)
+        if np.all((product <= gap) & (np.abs(dual).max(axis=1) <= 1e-9 * (1 + np.abs(c).max(axis=1))) & (np.abs(over).max(axis=1) <= 1e-9 * (1 + np.abs(m).max(axis=1)))):
+            break
+        kkt = np.block([[q + np.einsum("kri,kr,krj->kij", s, lam / slack, s), a.transpose(0, 2, 1)], [a, zero]])
+        inverse = np.linalg.inv(kkt)
+
+        def solve(target, inverse=inverse, dual=dual, off=off, over=over):
+            right = np.concatenate([-dual - np.einsum("kji,kj->ki", s, (lam * over - target) / slack), -off], axis=1)
+            d = np.einsum("kij,kj->ki", inverse, right)
+            ds = -over - np.einsum("kij,kj->ki", s, d[:, :n])
+            return d[:, :n], d[:, n:], ds, -(target + lam * ds) / slack
+
+        _, _, ds, dl = solve(slack * lam)
+        t = np.minimum(longest(slack, ds), longest(lam, dl))
+        mean = product[:, None] / slack.shape[1]
+        centre = (((slack + t * ds) * (lam + t * dl)).mean(axis=1, keepdims=True) / mean) ** 3
+        dy, dn, ds, dl = solve(slack * lam + ds * dl - centre * mean)
+        t = 0.995 * np.minimum(longest(slack, ds), longest(lam, dl))
+        t = np.where((product <= gap)[:, None], np.minimum(t, 0.9), t)
+        y, nu, slack, lam = y + t * dy, nu + t * dn, np.maximum(slack + t * ds, 1e-200), np.maximum(lam + t * dl, 1e-200)
+    return y * scale
+
+
 class Fit:
     """Maximum likelihood from many starts at once, optionally leaving out each group of windows in turn.
 
@@ -123,12 +172,11 @@ class Fit:
             weight[:, self.of == k] = e / e.sum(axis=1, keepdims=True)
         return box[:, 0], box[:, 1], weight
 
-    def sums(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sums(self, theta: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """nll, gradient and Hessian in (log pi0, mu * weights), over windows outside each set's left-out group.
 
         nll is convex in these coordinates, and so is the set of those allowed.
         """
-        theta = self.natural(x)
         out = np.array([g if g is not None else "\0" for g in left_out], object)  # fixed-width strings would lose the null character
         size = theta.shape[1]
         upper = np.triu_indices(size)
@@ -159,32 +207,40 @@ class Fit:
         pi0, mu, weight = self.unpack(x)
         return np.column_stack([np.log(pi0), mu[:, None] * weight])
 
-    def free(self, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and Hessian in free coordinates from those of ``sums``."""
+    def free(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Gradient in free coordinates from that of ``sums``."""
         _, _, weight = self.unpack(x)
-        theta = self.natural(x)[:, 1:]
         inner = 1 / (1 + np.exp(-x[:, :2]))
-        d1 = self.span * inner * (1 - inner)
+        d = self.span * inner * (1 - inner)
         if self.fixed_mu is not None:
-            d1[:, 1] = 0
-        d2 = d1 * (1 - 2 * inner)
+            d[:, 1] = 0
+        part = g[:, 1:] * self.natural(x)[:, 1:]
         same = self.of[:, None] == self.of[None, :]
-        e = np.eye(len(self.of)) - weight[:, None, :] * same
-        jac = np.zeros((len(x), 1 + len(self.of), x.shape[1]))
-        jac[:, 0, 0], jac[:, 1:, 1], jac[:, 1:, 2:] = d1[:, 0], theta * d1[:, 1:], theta[:, :, None] * e
-        grad = np.einsum("kci,kc->ki", jac, g)
-        hess = jac.transpose(0, 2, 1) @ h @ jac
-        part = g[:, 1:] * theta
-        hess[:, 0, 0] += g[:, 0] * d2[:, 0]
-        hess[:, 1, 1] += part.sum(axis=1) * (d1[:, 1] ** 2 + d2[:, 1])
-        hess[:, 1, 2:] += d1[:, 1:] * grad[:, 2:]
-        hess[:, 2:, 1] += d1[:, 1:] * grad[:, 2:]
-        hess[:, 2:, 2:] += np.einsum("kc,kci,kcj->kij", part, e, e) - ((part @ same) * weight)[:, :, None] * e
-        return grad, hess
-
-    def gap(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return np.column_stack([d[:, 0] * g[:, 0], d[:, 1] * part.sum(axis=1), part - weight * (part @ same)])
+
+    def allowed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A, b, G, h of the set allowed in the coordinates of ``sums``: A theta = b and G theta <= h."""
+        member = np.array([[0.0, *(self.of == k)] for k in range(len(self.features))])
+        one = np.eye(1, 1 + len(self.cells))
+        ends = np.exp([self.low[1], self.low[1] + self.span[1]])
+        sides = [(-one, -self.low[0]), (one, self.low[0] + self.span[0]), (-np.eye(1 + len(self.cells))[1:], 0.0)]
+        if self.fixed_mu is not None:
+            equal, value = member, np.full(len(member), self.fixed_mu)
+        else:
+            equal, value = member[1:] - member[0], np.zeros(len(member) - 1)
+            sides += [(-member[:1], -ends[0]), (member[:1], ends[1])]
+        return equal, value, np.concatenate([g for g, _ in sides]), np.concatenate([np.full(len(g), v) for g, v in sides])
+
+    def inside(self, theta: np.ndarray) -> np.ndarray:
+        """The rounding of a solver taken off: bounds met, and each feature's weights summing to one mu."""
+        theta = np.clip(theta, [self.low[0], *[0.0] * len(self.cells)], [self.low[0] + self.span[0], *[np.inf] * len(self.cells)])
+        sums = np.column_stack([theta[:, 1:][:, self.of == k].sum(axis=1) for k in range(len(self.features))])
+        mu = np.clip(sums[:, :1], *np.exp([self.low[1], self.low[1] + self.span[1]])) if self.fixed_mu is None else np.full((len(theta), 1), self.fixed_mu)
+        theta[:, 1:] *= (mu / np.maximum(sums, 1e-300))[:, self.of]
+        return theta
+
+    def gap(self, theta: np.ndarray, g: np.ndarray) -> np.ndarray:
         """A bound on how far nll is above its least value: the fall of its tangent plane over the convex set allowed."""
-        theta = self.natural(x)
         ends = np.array([self.low, self.low + self.span])
         mu = np.exp(ends[:, 1]) if self.fixed_mu is None else np.array([self.fixed_mu])
         least = sum(g[:, 1:][:, self.of == k].min(axis=1) for k in range(len(self.features)))
@@ -192,29 +248,30 @@ class Fit:
 
     def evaluate(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """nll and its gradient in free coordinates for each parameter set, over windows outside its left-out group."""
-        nll, g, h = self.sums(x, left_out)
-        return nll, self.free(x, g, h)[0]
-
-    def minimise(self, x: np.ndarray, left_out: list[str | None], iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """x, nll, converged and passes of Newton steps with backtracking; a set that has converged takes no further pass."""
-
-        def direction(x, g, h):
-            grad, hess = self.free(x, g, h)
-            value, vector = np.linalg.eigh(hess)
-            value = np.maximum(np.abs(value), 1e-13 * np.abs(value).max(axis=1, keepdims=True) + 1e-300)
-            p = -np.einsum("kij,kj->ki", vector, np.einsum("kij,ki->kj", vector, grad) / value)
-            return p * np.minimum(1, 4 / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300))
-
-        x = x.copy()
-        nll, g, h = self.sums(x, left_out)
-        move, step, passes = direction(x, g, h), np.ones(len(x)), np.ones(len(x), int)
-        gap = self.gap(x, g)
+        nll, g, _ = self.sums(self.natural(x), left_out)
+        return nll, self.free(x, g)
+
+    def minimise(self, theta: np.ndarray, left_out: list[str | None], iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """theta, nll, converged and passes.
+
+        A step goes towards the least point of the second-order expansion over the set allowed, and is shortened until
+        nll falls.  A set that has converged takes no further pass.
+        """
+        bounds = self.allowed()
+
+        def direction(theta, g, h, nll):
+            return self.inside(least_quadratic(g, h, theta, *bounds, 1e-2 * tolerance * np.maximum(1, np.abs(nll)))) - theta
+
+        theta = theta.copy()
+        nll, g, h = self.sums(theta, left_out)
+        move, step, passes = direction(theta, g, h, nll), np.ones(len(theta)), np.ones(len(theta), int)
+        gap = self.gap(theta, g)
         done = gap <= tolerance * np.maximum(1, np.abs(nll))
         for _ in range(iterations):
             at = np.flatnonzero(~done & (step > 1e-9))
             if not len(at):
                 break
-            trial = x[at] + step[at, None] * move[at]
+            trial = theta[at] + step[at, None] * move[at]
             new, g, h = self.sums(trial, [left_out[i] for i in at])
             passes[at] += 1
             left = self.gap(trial, g)
@@ -222,9 +279,9 @@ class Fit:
             better = (new < nll[at]) | ((new <= nll[at] + 1e-12 * np.abs(nll[at])) & (left < gap[at]))
             step[at] = np.where(better, 1.0, step[at] * 0.25)
             b = at[better]
-            x[b], nll[b], gap[b], move[b] = trial[better], new[better], left[better], direction(trial[better], g[better], h[better])
+            theta[b], nll[b], gap[b], move[b] = trial[better], new[better], left[better], direction(trial[better], g[better], h[better], new[better])
             done[b] = gap[b] <= tolerance * np.maximum(1, np.abs(nll[b]))
-        return x, nll, done, passes
+        return theta, nll, done, passes
 
     def run(self, starts: int, iterations: int = 500, seed: int = 1, leave_out: bool = False, tolerance: float = 1e-10) -> list[dict]:
         """Parameter set of every start, or of every left-out group, which starts from the best of the full fits.
@@ -234,16 +291,12 @@ class Fit:
         """
         x = np.random.default_rng(seed).normal(0, 1, (starts, 2 + len(self.cells)))
         left_out: list[str | None] = [None] * starts
-        x, nll, converged, passes = self.minimise(x, left_out, iterations, tolerance)
+        theta, nll, converged, passes = self.minimise(self.natural(x), left_out, iterations, tolerance)
         if leave_out:
-            best = x[[np.argmin(nll)]]
-            # inside the bounds, from where each weight can still grow
-            _, _, weight = self.unpack(best)
-            count = np.bincount(self.of)[self.of]
-            best[:, :2], best[:, 2:] = np.clip(best[:, :2], -7, 7), np.log(0.999 * weight + 0.001 / count)
             left_out = [*self.groups]
-            x, nll, converged, passes = self.minimise(np.repeat(best, len(left_out), axis=0), left_out, iterations, tolerance)
-        pi0, mu, weight = self.unpack(x)
+            theta, nll, converged, passes = self.minimise(np.repeat(theta[[np.argmin(nll)]], len(left_out), axis=0), left_out, iterations, tolerance)
+        pi0, mu = np.exp(theta[:, 0]), theta[:, 1:][:, self.of == 0].sum(axis=1)
+        weight = theta[:, 1:] / mu[:, None]
         return [
             {"theta_id": i, "left_out": g, "nll": float(nll[i]), "pi0": float(pi0[i]), "mu": float(mu[i]), "weights": weight[i].tolist(), "converged": bool(converged[i]), "iterations": int(passes[i])}
             for i, g in enumerate(left_out)

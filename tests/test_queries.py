@@ -6,7 +6,6 @@ from compare import same
 from popspark.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"mod13_leave_one_chromosome_out", "mod14_block_jackknife", "mod10_fit", "mod11_fit_fixed_mu"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -14,7 +13,7 @@ def test_oracle(spark, name):
     same(spark, QUERIES[name], ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
