@@ -58,7 +58,8 @@ class DigestIndex:
     def add(self, groups: DataFrame) -> DataFrame:
         """Append the digests of ``groups`` (digest, keep_id, ...) that the index does not hold; returns their rows."""
         fresh = stored(self.unknown(groups), "fresh")  # a table cannot be read and appended to in one go
-        fresh.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(self.name)
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))  # as Spark numbers them: one file for each, however many tasks write
+        fresh.select("digest", "keep_id").repartition(bucket).write.insertInto(self.name)
         return fresh
 
 
