@@ -72,16 +72,44 @@ def collect_runs(runs: DataFrame, code: str, value: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("code", "n", (F.col("n") / F.col("t")).alias("fraction"), "best")
 
 
-def jackknife_error(estimates: DataFrame, by: list[str], column: str, trim: float | None = None) -> DataFrame:
-    """Delete-one standard error sqrt((n - 1) / n * sum (x - mean)^2); ``trim``: quantile cut from both tails."""
+def jackknife_error(estimates: DataFrame, by: list[str], column: str, trim: float | None = None, iqr: float | None = None) -> DataFrame:
+    """Delete-one standard error sqrt((n - 1) / n * sum (x - mean)^2).
+
+    ``trim``: quantile cut from both tails; ``iqr``: values further from the median than so many interquartile
+    ranges are left out.
+    """
     e = estimates
     if trim:
         q = e.groupBy(*by).agg(F.percentile(column, F.lit(trim)).alias("__lo"), F.percentile(column, F.lit(1 - trim)).alias("__hi"))
         e = e.join(q, by).filter(F.col(column).between(F.col("__lo"), F.col("__hi")))
+    if iqr:
+        q = e.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+        e = e.join(q, by).filter(F.abs(F.col(column) - F.col("__q")[1]) <= iqr * (F.col("__q")[2] - F.col("__q")[0]))
     n = F.count(column)
     return e.groupBy(*by).agg(F.avg(column).alias("mean"), F.sqrt((n - 1) * F.var_pop(column)).alias("stderr"), n.alias("n"))
 
 
+def sigma_interval(rows: DataFrame, estimate: str, stderr: str = "stderr", factor: float = 1.0) -> DataFrame:
+    """``rows`` with the ends of estimate +- factor * stderr."""
+    half = factor * F.col(stderr)
+    return rows.withColumns({"lower": F.col(estimate) - half, "upper": F.col(estimate) + half})
+
+
+def bands(draws: DataFrame, by: list[str], column: str, alpha: float = 0.05) -> DataFrame:
+    """Percentile band, mean and median over the replicates at each point ``by``."""
+    q = F.percentile(column, F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2)))
+    out = draws.groupBy(*by).agg(q.alias("q"), F.avg(column).alias("mean"))
+    return out.select(*by, "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"))
+
+
+def regression_band(rows: DataFrame, targets: DataFrame, x: str, y: str, replicates: int = 200, seed: int = 1, alpha: float = 0.05) -> DataFrame:
+    """Percentile band of the regression line at each target ``at``, from lines through bootstrapped rows."""
+    pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    lines = row_bootstrap(pairs, replicates, seed).groupBy("replicate").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    fits = targets.join(F.broadcast(lines)).withColumn("fit", F.col("intercept") + F.col("slope") * F.col("at"))  # a line for each replicate
+    return bands(fits, ["at"], "fit", alpha)
+
+
 def bias_corrected(draws: DataFrame, column: str, estimate: DataFrame) -> DataFrame:
     """Bias of an estimate (one row, column estimate) by its replicates, their deviation, and the estimate less the bias."""
     s = draws.agg(F.avg(column).alias("__m"), F.stddev_samp(column).alias("stderr"))

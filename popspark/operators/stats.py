@@ -38,17 +38,32 @@ def binned(rows: DataFrame, x: str, y: str, edges: list[float], stats: dict[str,
     return out.select("bin", e[F.col("bin")].alias("start"), e[F.col("bin") + 1].alias("end"), *stats)
 
 
+def cut_tails(rows: DataFrame, x: str, share: float) -> DataFrame:
+    """Rows without ``share`` of the values of ``x`` at either end."""
+    lo, hi = rows.agg(F.percentile(x, F.array(F.lit(share), F.lit(1 - share)))).first()[0] or (None, None)
+    return rows.filter(F.col(x).between(lo, hi))
+
+
 def mid_rank(column: str, by: list[str] | None = None) -> Column:
     """Rank with ties at their mean, from counts of equal values, for Spearman's correlation."""
     w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     return F.rank().over(w.orderBy(column)) + (F.count("*").over((W.partitionBy(*by, column) if by else W.partitionBy(column))) - 1) / 2
 
 
-def ranked(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """Mid ranks by way of one row for each distinct value, so that no window sorts all rows."""
+def ranked(rows: DataFrame, column: str, out: str, blocks: int = 256) -> DataFrame:
+    """Mid ranks of a numeric column.
+
+    Distinct values are cut into about ``blocks`` ranges; a window sorts one range, and what lies before it comes
+    from the counts of the ranges, so no task sees all values.
+    """
     n = rows.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = n.select(F.col(column).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(out))
+    cuts = n.agg(F.percentile_approx(column, [k / blocks for k in range(1, blocks)])).first()[0] or []
+    block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+    n = n.withColumn("__b", block)
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = n.groupBy("__b").agg(F.sum("__n").alias("__m")).select("__b", earlier("__m", W.orderBy("__b")).alias("__first"))
+    before = F.col("__first") + earlier("__n", W.partitionBy("__b").orderBy(column))
+    r = n.join(F.broadcast(first), "__b").select(F.col(column).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(out))
     return rows.join(r, rows[column] == r["__v"]).drop("__v")
 
 
@@ -203,6 +218,11 @@ def cv_bins(rows: DataFrame, x: str, y: str, choices: list[int], folds: int = 5)
     return per.select("nbins", sse.alias("e"), F.when(other_n > 0, F.col("n")).alias("n")).groupBy("nbins").agg((F.sum("e") / F.sum("n")).alias("mse"))
 
 
+def best_bins(errors_by_bins: DataFrame) -> DataFrame:
+    """The row of least error of ``cv_bins``; of equal ones that with fewest bins."""
+    return errors_by_bins.orderBy("mse", "nbins").limit(1)
+
+
 def softmax(rows: DataFrame, x: str, by: list[str], out: str = "weight") -> DataFrame:
     w = W.partitionBy(*by)
     e = F.exp(F.col(x) - F.max(x).over(w))
@@ -220,6 +240,12 @@ def long_form(rows: DataFrame, ids: list[str], columns: list[str], name: str = "
     return rows.unpivot(ids, columns, name, value)
 
 
+def wide_form(rows: DataFrame, ids: list[str], values: list[str], name: str = "feature", value: str = "value", error: str | None = None) -> DataFrame:
+    """Back from the long form: a column for each of ``values`` of ``name``; with ``error`` also ``<name>_<error>``."""
+    columns = [F.first(F.when(F.col(name) == v, F.col(c)), ignorenulls=True).alias(v if c == value else f"{v}_{c}") for v in values for c in (value, error) if c]
+    return rows.groupBy(*ids).agg(*columns)
+
+
 def midpoints(rows: DataFrame, x: str, by: str, order: str) -> DataFrame:
     """Midpoint of each value and the next."""
     nxt = F.lead(x).over(W.partitionBy(by).orderBy(order))

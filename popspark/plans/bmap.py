@@ -209,13 +209,20 @@ def bin_map(bmap: DataFrame, width: int) -> DataFrame:
     return m.filter("x IS NOT NULL").groupBy(*KEYS, F.floor(F.col("x") / width).cast("int").alias("bin")).agg(F.avg("y").alias("log_b"))
 
 
-def collapse_w(binned: DataFrame, w: list[float]) -> DataFrame:
-    """Slope a of log B = -a w for each window, t and feature, and the mean squared residual on B."""
+def collapse_w(binned: DataFrame, w: list[float], most: float | None = None) -> DataFrame:
+    """Slope a of log B = -a w for each window, t and feature, and the mean squared residual on B.
+
+    With ``most`` a residual above it ends the job with an error.
+    """
     ws = F.array(*[F.lit(float(x)) for x in w])
     b = binned.withColumn("w", ws[F.col("wi")])
     a = b.groupBy("chrom", "bin", "ti", "feature").agg((-F.regr_slope("log_b", "w")).alias("a"), F.collect_list(F.struct("w", "log_b")).alias("x"))
     e = F.transform("x", lambda s: F.pow(F.exp(s["log_b"]) - F.exp(-s["w"] * F.col("a")), F.lit(2)))
-    return a.withColumn("residual", F.aggregate(e, F.lit(0.0), lambda s, v: s + v) / F.size("x")).drop("x")
+    out = a.withColumn("residual", F.aggregate(e, F.lit(0.0), lambda s, v: s + v) / F.size("x")).drop("x")
+    if most is not None:
+        wrong = F.raise_error(F.concat(F.lit("residual of the mutation axis: "), F.col("residual").cast("string"))).cast("double")
+        out = out.withColumn("residual", F.when(F.col("residual") > most, wrong).otherwise(F.col("residual")))
+    return out
 
 
 def on_step(external: DataFrame, seqlens: DataFrame, step: int, keys: list[str], bucket: int = BUCKET) -> DataFrame:

@@ -53,6 +53,16 @@ def best(likelihoods: DataFrame) -> DataFrame:
     return likelihoods.orderBy("nll", "theta_id").limit(1)
 
 
+def profile(slopes: DataFrame, windows: DataFrame, theta: DataFrame, **values: list[float]) -> DataFrame:
+    """nll over all combinations of ``values`` of pi0 and mu, every other parameter as in the one set ``theta``."""
+    mesh = theta.drop("theta_id", *values)
+    for name, v in values.items():
+        mesh = mesh.withColumn(name, F.explode(F.array(*[F.lit(float(x)) for x in v])))
+    mesh = mesh.withColumn("theta_id", F.to_json(F.struct("pi0", "mu")))
+    got = negative_log_likelihood(predict(slopes, mesh), windows)
+    return got.join(F.broadcast(mesh.select("theta_id", "pi0", "mu").distinct()), "theta_id").select("pi0", "mu", "nll")
+
+
 def residuals(predicted: DataFrame, windows: DataFrame) -> DataFrame:
     """Observed less predicted pi and its z score in the chromosome."""
     j = predicted.join(windows.select("chrom", "bin", F.col("pi").alias("observed")), ["chrom", "bin"]).filter("observed IS NOT NULL")
@@ -71,7 +81,7 @@ def likelihood_ratio(predicted: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def average_selection(theta: DataFrame, t: list[float]) -> DataFrame:
-    """Sum of t * weight by theta and feature, and the share of each t."""
+    """Mean t of each theta and feature: the sum of t * weight, weights summing to 1."""
     ts = F.array(*[F.lit(float(x)) for x in t])
     return theta.groupBy("theta_id", "feature").agg(F.sum(ts[F.col("ti")] * F.col("weight")).alias("mean_t"))
 
@@ -332,3 +342,12 @@ def parameter_labels(theta: DataFrame, t: list[float]) -> DataFrame:
     w = theta.select("theta_id", F.concat(F.lit("W["), ts[F.col("ti")], F.lit(","), F.col("feature"), F.lit("]")).alias("name"), F.col("weight").alias("value"))
     two = theta.select("theta_id", "pi0", "mu").distinct().unpivot(["theta_id"], ["pi0", "mu"], "name", "value")
     return two.unionByName(w)
+
+
+def labelled_parameters(labels: DataFrame, t: list[float]) -> DataFrame:
+    """Theta rows (theta_id, pi0, mu, ti, feature, weight) back from ``parameter_labels``."""
+    ts = F.array(*[F.lit(f"{np.log10(x):g}") for x in t])
+    part = lambda k: F.regexp_extract("name", r"^W\[([^,]*),(.*)\]$", k)
+    w = labels.filter(F.col("name").startswith("W[")).select("theta_id", (F.array_position(ts, part(1)) - 1).cast("int").alias("ti"), part(2).alias("feature"), F.col("value").alias("weight"))
+    two = labels.groupBy("theta_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("pi0", "mu")])
+    return w.join(two, "theta_id").select("theta_id", "pi0", "mu", "ti", "feature", "weight")

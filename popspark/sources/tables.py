@@ -74,6 +74,16 @@ def cumulative_map(spark: SparkSession, path, seqlens: DataFrame) -> DataFrame:
     return m.unionByName(head).unionByName(tail)
 
 
+def cumulative_bed(spark: SparkSession, path) -> DataFrame:
+    """Markers (chrom, pos, cum) of intervals (chrom, start, end, cum) that reach the chromosome's end.
+
+    An interval's value stands at its start; the last value stands at the end too.
+    """
+    m = _tsv(spark, path, "chrom string, start long, end long, cum double")
+    last = m.groupBy("chrom").agg(F.max("end").alias("pos"), F.max_by("cum", "end").alias("cum"))
+    return m.select("chrom", F.col("start").alias("pos"), "cum").unionByName(last)
+
+
 def maps_by_file(spark: SparkSession, paths, pattern: str = r"(chr[^_./]+)") -> DataFrame:
     """Markers (chrom, pos, rate, cum) of files without a chromosome column; the name of the file has it."""
     m = spark.read.csv(paths, sep="\t", comment="#", schema="pos string, rate double, cum double")
@@ -82,9 +92,16 @@ def maps_by_file(spark: SparkSession, paths, pattern: str = r"(chr[^_./]+)") ->
 
 
 def gff(spark: SparkSession, path, features=None, renames: dict | None = None) -> DataFrame:
-    """GFF3 rows with 0-based half-open coordinates and attributes as a map; features selected and renamed."""
+    """GFF3 or GTF rows with 0-based half-open coordinates and attributes as a map; features selected and renamed.
+
+    Of an attribute that a GTF row repeats the first value counts.
+    """
     g = _tsv(spark, path, "chrom string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string")
-    g = g.withColumns({"start": F.col("start") - 1, "attributes": F.str_to_map(F.rtrim(F.col("attributes"), F.lit(";")), F.lit(";"), F.lit("="))})
+    pair = F.lit(r'(\w+) "([^"]*)"')
+    names, values = (F.regexp_extract_all("attributes", pair, F.lit(k)) for k in (1, 2))
+    gtf = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda k: F.get(values, F.array_position(names, k) - 1)))
+    gff3 = F.str_to_map(F.rtrim(F.col("attributes"), F.lit(";")), F.lit(";"), F.lit("="))
+    g = g.withColumns({"start": F.col("start") - 1, "attributes": F.when(F.col("attributes").rlike(r'^\s*\w+ "'), gtf).otherwise(gff3)})
     if features:
         g = g.filter(F.col("feature").isin(*features))
     for old, new in (renames or {}).items():
