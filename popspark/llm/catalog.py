@@ -1,7 +1,7 @@
 """Queries of the corpus operators and, where SQL can express them, the SQL that checks them."""
 
 import corpus_pipeline
-from popspark.llm import bpe, ctw, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup, token_counts
+from popspark.llm import bpe, conversations, ctw, embedding_dedup, exact_dedup, fingerprints, language_id, mixing, ngram_join, quality, substring_dedup, token_counts, vector_codes
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 #: Queries whose rows SQL cannot express are tested in tests/llm.
@@ -22,4 +25,6 @@ ORACLES = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op7_ngram_join": ngram_join.SQL,
     "op8_embedding_dedup": embedding_dedup.SQL,
+    "op11_conversation_repair": conversations.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
