@@ -41,8 +41,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _foreign(normal, every: str) -> set[str]:
+    """Characters that Python's NFC reorders or composes and the library's ``normal`` does not, or otherwise."""
+    mine = lambda x: unicodedata.normalize("NFC", x)
+
+    def told_apart(pairs: list[str]) -> list[bool]:
+        """All at once, between line ends, which nothing composes with."""
+        return [a != b for a, b in zip(normal("\n".join(pairs)).split("\n"), mine("\n".join(pairs)).split("\n"))]
+
+    made = [unicodedata.normalize("NFD", c) for c in every if unicodedata.decomposition(c) and unicodedata.normalize("NFD", c) != c]
+    made = [m for m in made if len(m) > 1]
+    found = {c for m, apart in zip(made, told_apart(made)) if apart for c in m[1:]}
+    marks = [c for c in every if unicodedata.combining(c)]
+    least = {unicodedata.combining(c): c for c in reversed(marks)}
+    # marks against old ones of the most usual classes, then against one of each class that passes
+    for known in ((1, 220, 230, 240), [k for k, c in least.items() if c not in found]):
+        known = [least[k] for k in known if k in least and least[k] not in found]
+        pairs = [(m, p) for m in marks if m not in found for r in known for p in (m + r, r + m)]
+        found |= {m for (m, _), apart in zip(pairs, told_apart([p for _, p in pairs])) if apart}
+    return found
+
+
 class Recent:
-    """Characters that Python's Unicode tables lack: how the public library lowers, composes and classes them."""
+    """Characters that Python's Unicode tables lack, or the library's: how the public library lowers, composes and classes them."""
 
     def __init__(self):
         from tokenizers import Regex, normalizers
@@ -50,7 +71,8 @@ class Recent:
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         mine = [c for c in regex.findall(r"[\p{L}\p{N}\p{M}]", every) if unicodedata.category(c) == "Cn"]
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
-        self.any = regex.compile(f"[{_ranges(mine)}]") if mine else regex.compile("(?!)")
+        rare = sorted({*mine, *_foreign(normalizers.NFC().normalize_str, every)})
+        self.any = regex.compile(f"[{_ranges(rare)}]") if rare else regex.compile("(?!)")
         # those that this module takes for letters or numbers but the library does not
         other = normalizers.Replace(Regex(r"[\p{L}\p{N}]"), "").normalize_str("".join(mine))
         other = regex.findall(r"[\p{L}\p{N}]", other)

@@ -1,4 +1,4 @@
-"""Pieces that the corpus operators share: scratch tables, session limits and vectorised hashing of words.
+"""Pieces that the corpus operators share: scratch tables, vectorised hashing of words modulo a prime.
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``.  All hashing works on the UTF-8 bytes of an
 Arrow column at once with NumPy, so that Python never loops over words.
@@ -109,33 +109,108 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-KEPT = 6 * 262_144
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Hashes are polynomials modulo this prime; the bases are fixed random residues.
+PRIME = 2**61 - 1
+_P, _LOW30, _LOW31, _LOW32 = _U(PRIME), _U(2**30 - 1), _U(2**31 - 1), _U(2**32 - 1)
+_BASES = (0x0C6F3A3D8E1B59D7, 0x15D2B7461F9C08EB)
+_WHOLE = (0x0A91E5C73B604DF3, 0x1B47C02D96F5E8A1)
 
 
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse; a worker keeps one pair of arrays for each base, of no more than ``KEPT`` powers."""
-    if base in _POWERS and len(_POWERS[base][0]) >= size:
-        return _POWERS[base]
-    up = np.full(-(-size // 262_144) * 262_144, base, _U)
-    down = np.full(len(up), pow(base, -1, 2**64), _U)
-    up[0] = down[0] = 1
-    made = np.cumprod(up, out=up), np.cumprod(down, out=down)
-    if len(up) <= KEPT:
-        _POWERS[base] = made
-    return made
+def fold(x: np.ndarray) -> np.ndarray:
+    """Residues of numbers below 2**64."""
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
 
 
-def _windows(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Position-free polynomial hash modulo 2**64 of values[start:end] for each pair."""
-    up, down = _powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+#: Numbers handled at once, so that what is in between stays in a core's cache.
+CACHED = 1 << 14
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """Products of residues."""
+    b = np.broadcast_to(np.asarray(b, _U), a.shape)
+    if len(a) > CACHED:
+        out = np.empty(len(a), _U)
+        for at in range(0, len(a), CACHED):
+            out[at : at + CACHED] = times(a[at : at + CACHED], b[at : at + CACHED])
+        return out
+    ah, al, bh, bl = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    mid, low = ah * bl + al * bh, al * bl
+    return fold(_U(2) * ah * bh + (mid >> _U(30)) + ((mid & _LOW30) << _U(31)) + (low & _P) + (low >> _U(61)))
+
+
+def turned(x: np.ndarray, bits: int) -> np.ndarray:
+    """Residues times 2**bits."""
+    return ((x & _U(2 ** (61 - bits) - 1)) << _U(bits)) | (x >> _U(61 - bits))
+
+
+KEPT = 1 << 20
+_POWERS: dict[int, np.ndarray] = {}
 
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+def powers(base: int, n: int) -> np.ndarray:
+    """``n`` powers from 1 on; a worker keeps up to ``KEPT`` of each base."""
+    kept = _POWERS.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, pow(base, len(out), PRIME))])
+    if len(out) <= KEPT:
+        _POWERS[base] = out
+    return out[:n]
+
+
+def running(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the upper and lower halves of residues, for ``between``."""
+    high, low = np.zeros(len(terms) + 1, _U), np.zeros(len(terms) + 1, _U)
+    np.cumsum(terms >> _U(32), out=high[1:])
+    np.cumsum(terms & _LOW32, out=low[1:])
+    return high, low
+
+
+def between(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Residue of the terms from ``start`` up to ``end``; running sums may have wrapped meanwhile."""
+    high, low = (x[end] - x[start] for x in sums)
+    return fold(turned(fold(high), 32) + fold(low))
+
+
+def _windows(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hash of values[start:end] for each pair, the same at every place; spans may overlap."""
+    sums = running(times(fold(values), powers(base, len(values))))
+    down = powers(pow(base, -1, PRIME), len(values) + 1)
+    out = np.empty(len(start), _U)
+    for at in range(0, len(start), CACHED):
+        own = slice(at, at + CACHED)
+        out[own] = mix(times(between(sums, start[own], end[own]), down[start[own]]))
+    return out
+
+
+def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """The same for ascending spans that do not overlap: exponents count from each span's start."""
+    size = end - start
+    ends = np.cumsum(size)
+    most = int(size.max(initial=0))
+    up = powers(base, most + 1)
+    parts = up >> _U(31), up & _LOW31
+    out, k = np.empty(len(start), _U), 0
+    while k < len(start):  # some thousand values at a time, one span at least
+        j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4 * CACHED, "right")))
+        n, first = size[k:j], start[k]
+        stop = np.cumsum(n)
+        begin = stop - n
+        at = np.arange(stop[-1]) - np.repeat(begin, n)
+        x = values[first : end[j - 1]]
+        if len(x) > len(at):
+            x = x[at + np.repeat(start[k:j] - first, n)]
+        x = x.astype(_U) + _U(1) if values.dtype == np.uint8 else fold(x)
+        if values.dtype == np.uint8 and most < 1 << 22:  # a span's sum of 9 + 31 + 22 bits fits
+            high, low = (np.append(_U(0), np.cumsum(x * part[at])) for part in parts)
+            out[k:j] = mix(fold(turned(fold(high[stop] - high[begin]), 31) + fold(low[stop] - low[begin])))
+        else:
+            out[k:j] = mix(between(running(times(x, up[at])), begin, stop))
+        k = j
+    return out
 
 
 class Words:
@@ -164,7 +239,8 @@ class Words:
         self.doc = np.repeat(np.arange(n), self.count)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return _windows(_BYTE[self.data], self.start, self.end, _BASES[which])
+        """64-bit hash of each word; ``which`` chooses one of two independent ones."""
+        return _spans(self.data, self.start, self.end, _BASES[which])
 
     def joined(self, hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
         """Hash of the ``size`` words from each word on; where fewer follow, of those that are left."""
@@ -175,9 +251,9 @@ class Words:
         """Hash of the words from ``at`` up to ``end``."""
         return _windows(hashes, at, end, _BASES[1])
 
-    def whole(self, hashes: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hash of each document's word sequence."""
-        return _windows(hashes, self.first[:-1], self.first[1:], _BASES[1 - which] ^ 0x5A5A0)
+    def whole(self, which: int = 0) -> np.ndarray:
+        """Hash of each document's word sequence, over words hashed by ``which`` too."""
+        return _spans(self.hashes(which), self.first[:-1], self.first[1:], _WHOLE[which])
 
 
 def signed(x: np.ndarray) -> np.ndarray:

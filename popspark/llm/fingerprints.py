@@ -27,47 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm.common import documents, mix
+from popspark.llm.common import PRIME, between, documents, mix, powers, running, times
 
-PRIME = 2**61 - 1
 #: Fixed for all time, as fingerprints are compared across runs.
 BASE = 0x12D4B39D5A1C6F7B
 WINDOW, SAMPLE = 16, 32
 #: Code points that a task works on at once, UTF-8 bytes of a block of the order, and rows drawn for each block (most blocks in all: ``BLOCKS``).
 HELD, BLOCK_BYTES, DRAWN, BLOCKS = 500_000, 16_000_000, 20, 50_000
 
-_P, _U = np.uint64(PRIME), np.uint64
-_LOW31, _LOW30, _LOW32, _LOW29 = (_U(2**k - 1) for k in (31, 30, 32, 29))
-
-
-def _fold(x: np.ndarray) -> np.ndarray:
-    """Residues of numbers below 2**64."""
-    x = (x & _P) + (x >> _U(61))
-    return np.where(x >= _P, x - _P, x)
-
-
-def times(a: np.ndarray, b) -> np.ndarray:
-    """Products of residues."""
-    b = np.asarray(b, _U)
-    ah, al, bh, bl = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
-    mid, low = ah * bl + al * bh, al * bl
-    return _fold(_U(2) * ah * bh + (mid >> _U(30)) + ((mid & _LOW30) << _U(31)) + (low & _P) + (low >> _U(61)))
-
-
-_KEPT = 1 << 21
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """``n`` powers from 1 on; a worker keeps up to ``_KEPT`` of each base."""
-    if base in _POWERS and len(_POWERS[base]) >= n:
-        return _POWERS[base][:n]
-    out = np.ones(1, _U)
-    while len(out) < n:
-        out = np.concatenate([out, times(out, pow(base, len(out), PRIME))])
-    if len(out) <= _KEPT:
-        _POWERS[base] = out
-    return out[:n]
+_U = np.uint64
 
 
 class Prefixes:
@@ -76,24 +44,17 @@ class Prefixes:
     def __init__(self, texts: list[str]):
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(_U) + _U(1)
         self.at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-        terms = times(codes, powers(BASE, len(codes)))
-        self.sums = np.zeros(len(codes) + 1, _U)
-        high = _fold(np.cumsum(terms >> _U(32), dtype=_U))
-        turned = ((high & _LOW29) << _U(32)) | (high >> _U(29))  # times 2**32
-        self.sums[1:] = _fold(turned + _fold(np.cumsum(terms & _LOW32, dtype=_U)))
-
-    def _between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _fold(self.sums[end] + (_P - self.sums[start]))
+        self.sums = running(times(codes, powers(BASE, len(codes))))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each span [start, end), the same wherever it stands."""
         start = np.asarray(start, np.int64)
-        return times(self._between(start, end), powers(pow(BASE, -1, PRIME), int(start.max(initial=0)) + 1)[start])
+        return times(between(self.sums, start, end), powers(pow(BASE, -1, PRIME), int(start.max(initial=0)) + 1)[start])
 
     def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether the spans of ``size`` code points from ``a`` and from ``b`` on are equal."""
         a, b = np.minimum(a, b), np.maximum(a, b)
-        return times(self._between(a, a + size), powers(BASE, int((b - a).max(initial=0)) + 1)[b - a]) == self._between(b, b + size)
+        return times(between(self.sums, a, a + size), powers(BASE, int((b - a).max(initial=0)) + 1)[b - a]) == between(self.sums, b, b + size)
 
     def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of ``a`` and ``b``, ``most`` at most, by binary search."""
@@ -129,7 +90,7 @@ def _least(values: np.ndarray) -> np.ndarray:
 def prints(p: Prefixes) -> list[str]:
     """The fingerprint of each text of ``p``."""
     start, end = p.at[:-1], p.at[1:]
-    n = len(p.sums) - 1
+    n = int(p.at[-1])
     first = np.arange(max(0, n - WINDOW + 1))
     windows = (mix(p.spans(first, first + WINDOW)) >> _U(32)).astype(np.uint32)
     whole = p.spans(start, end)

@@ -228,13 +228,14 @@ def automata(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> dict[str,
     Texts are drawn whole while they have ``chars`` characters together, those that are longer on their own last.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    space = 1_000_003
+    labelled = labelled.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(space)))
+    # the number of distinct texts sets the share that is drawn; the least draw is in it whatever the estimate says
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return {}
-    space = 1_000_003
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * rows / r["n"]))])
-    drawn = labelled.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(space)))
-    drawn = drawn.filter(F.col("draw") < F.get(F.array(chance), F.lit(0))[F.col("lang")] * space)
+    most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"], int(space * min(1.0, 2.0 * rows / r["n"]))))])
+    drawn = labelled.filter(F.col("draw") <= F.get(F.array(most), F.lit(0))[F.col("lang")])
     drawn = drawn.groupBy("lang", "draw", F.xxhash64("text", F.lit(1)).alias("tie")).agg(F.first("text").alias("text"))
     drawn = drawn.withColumn("size", F.length("text"))
     order = W.partitionBy("lang").orderBy(F.col("size") > chars, "draw", "tie")

@@ -60,8 +60,7 @@ def classes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in byte_slices(batches, "text", 1_000_000):
             w = Words(b.column("text"), lower=True)
-            h = w.hashes()
-            columns = [b.column("doc_id"), b.column("deal"), *(pa.array(signed(w.whole(h, k))) for k in (0, 1)), pa.array(w.count.astype(np.int64))]
+            columns = [b.column("doc_id"), b.column("deal"), *(pa.array(signed(w.whole(k))) for k in (0, 1)), pa.array(w.count.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "deal", "h1", "h2", "n_words"])
 
     return _dealt(docs).mapInArrow(run, CLASS)
@@ -118,7 +117,7 @@ def _representatives(docs: DataFrame, reps: DataFrame, n_bytes: int, size: int,
         w = Words(own.column("text"), lower=True)
         h = w.hashes()
         rows, ids = [], []
-        for i, key in enumerate(zip(*(signed(w.whole(h, k)).tolist() for k in (0, 1)))):
+        for i, key in enumerate(zip(*(signed(w.whole(k)).tolist() for k in (0, 1)))):
             if key in want:
                 rows.append(i)
                 ids.append(want.pop(key))

@@ -3,7 +3,7 @@
 Overlapping heuristics vote good, bad or nothing on each text.  Expectation-maximisation over the table of vote
 patterns (at most 3 ** 8 rows, whatever the corpus) estimates how accurate each heuristic is and what share of
 texts is good, which gives every pattern a posterior.  A logistic scorer over hashed words and a few shape
-features then learns the posteriors from a sample of at most ``ROWS`` rows, so that it also judges texts on which
+features then learns the posteriors from a sample of at most ``ROWS`` distinct texts, so that it also judges texts on which
 the heuristics are silent.  Votes, patterns and scores cover whole texts of all rows, and so does training: sampled
 rows reach the driver as shape features and shares of hashed words, at most ``2 ** BITS`` of them, however long.
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import Words, byte_slices, documents, mix
 
-#: Rows of the training sample.
-ROWS = 3_000
+#: Distinct texts of the training sample, and their UTF-8 bytes together.
+ROWS, SIZE = 3_000, 64_000_000
 #: Hashed word features.
 BITS = 16
 #: Heuristics (name, feature, low, high, vote under low, vote over high; 1 good, -1 bad, 0 none); the first group
@@ -185,16 +185,32 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.select("rank", "tie", "text").mapInArrow(run, "rank long, tie long, pattern long, x array<double>, feature array<int>, share array<double>")
 
 
+def sample(docs: DataFrame, rows: int = ROWS, size: int = SIZE) -> DataFrame:
+    """(rank, tie, text) of at most ``rows`` distinct texts of ``size`` bytes together: those with the least hashes, so that reruns agree.
+
+    A text counts once however often it occurs; one that is longer than what is left of ``size`` is left out whole.
+    """
+    space = 1_000_000
+    drawn = docs.select("text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(space)).alias("rank"), F.xxhash64("text").alias("tie"))
+    n = drawn.agg(F.approx_count_distinct("tie")).first()[0]
+    drawn = drawn.filter(F.col("rank") <= space * min(1.0, 1.25 * rows / max(1, n)))
+    sizes = drawn.groupBy("rank", "tie").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).filter(F.col("size") <= size).orderBy("rank", "tie").limit(rows)
+    chosen = []
+    for r in sizes.collect():  # at most ``rows`` numbers
+        if r["size"] <= size:
+            chosen.append((r["rank"], r["tie"]))
+            size -= r["size"]
+    few = docs.sparkSession.createDataFrame(chosen, "rank long, tie long")
+    return drawn.join(F.broadcast(few), ["rank", "tie"]).groupBy("rank", "tie").agg(F.first("text").alias("text"))
+
+
 def classify(docs: DataFrame, rows: int = ROWS, threshold: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1) and kept for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     counts = vote_patterns(docs).groupBy("pattern").count().toPandas()
     patterns, n = counts["pattern"].to_numpy(np.int64), counts["count"].to_numpy(float)
     post = dict(zip(patterns.tolist(), weak_labels(patterns, n).tolist())) if len(counts) else {}
-    # a bounded number of training rows, those with the least hashes of their texts, so that reruns agree
-    share = min(1.0, 0.95 * rows / max(1.0, n.sum()))
-    drawn = docs.select("text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)).alias("rank"), F.xxhash64("text").alias("tie"))
-    t = training(drawn.filter(F.col("rank") < share * 1_000_000)).orderBy("rank", "tie").limit(rows).toArrow().combine_chunks()
+    t = training(sample(docs, rows)).orderBy("rank", "tie").toArrow().combine_chunks()
     flat = lambda name: pc.list_flatten(t[name]).combine_chunks().to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(t.num_rows), pc.list_value_length(t["feature"]).to_numpy())
     target = np.array([post[p] for p in t["pattern"].to_pylist()])
