@@ -192,3 +192,10 @@ def b_variance_limit(b, r=1.0, n_pop=None, n=None) -> Column:
     linear, quadratic = pairwise_variance(n)
     drift = 0.0 if n_pop is None else linear / (4 * n_pop)
     return _c(b) * (quadratic * _c(b) + drift) / _c(r)
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation of complete pairs as an aggregate; null where either column does not vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    return F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0))

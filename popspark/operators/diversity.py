@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popspark.functions import scalars as S
-from popspark.operators import intervals
+from popspark.operators import intervals, quantiles, scans
 from popspark.operators.rangejoin import BUCKET, within
 
 
@@ -59,9 +59,9 @@ def flag_accessible(windows: DataFrame, accessible: DataFrame, most_masked: floa
 def flag_outliers(windows: DataFrame, low: float, high: float, combine: str = "replace") -> DataFrame:
     """``keep``: pi strictly between its quantiles over the kept windows; ``and`` adds this to an earlier flag."""
     kept = F.col("keep") if "keep" in windows.columns else F.lit(True)
-    q = windows.agg(F.percentile(F.when(kept, F.col("pi")), F.array(F.lit(low), F.lit(high))).alias("q"))
-    ok = F.coalesce((F.col("pi") > F.col("q")[0]) & (F.col("pi") < F.col("q")[1]), F.lit(False))
-    return windows.crossJoin(F.broadcast(q)).withColumn("keep", ok & kept if combine == "and" else ok).drop("q")
+    lower, upper = quantiles.exact(windows.filter(kept), "pi", [low, high])
+    ok = F.coalesce((F.col("pi") > F.lit(lower)) & (F.col("pi") < F.lit(upper)), F.lit(False))
+    return windows.withColumn("keep", ok & kept if combine == "and" else ok)
 
 
 def chromosome_pi(sites: DataFrame, by_pairs: bool = True) -> DataFrame:
@@ -116,15 +116,13 @@ def lagged(windows: DataFrame, lags: int, column: str = "pi", where: str | None
 
 def blocks(windows: DataFrame, k: int) -> DataFrame:
     """``block``: consecutive groups of ``k`` windows of a chromosome."""
-    nth = F.row_number().over(W.partitionBy("chrom").orderBy("bin")) - 1
-    return windows.withColumn("block", F.floor(nth / k).cast("int"))
+    return scans.numbered(windows, ["chrom"], "bin", "__nth").withColumn("block", F.floor(F.col("__nth") / k).cast("int")).drop("__nth")
 
 
 def moving_blocks(windows: DataFrame, k: int) -> DataFrame:
     """Each window once for every block of ``k`` consecutive windows that holds it; ``block``: the block's first."""
-    w = W.partitionBy("chrom")
-    nth = F.row_number().over(w.orderBy("bin")) - 1
-    r = windows.withColumns({"__nth": nth, "__n": F.count("*").over(w)})
+    sizes = windows.groupBy("chrom").agg(F.count("*").alias("__n"))
+    r = scans.numbered(windows, ["chrom"], "bin", "__nth").join(sizes, "chrom")
     first, last = F.greatest(F.lit(0), F.col("__nth") - k + 1), F.least(F.col("__nth"), F.col("__n") - k)
     r = r.withColumns({"__first": first, "__last": last}).filter("__first <= __last")
     return r.select("*", F.explode(F.sequence("__first", "__last")).alias("block")).drop("__nth", "__n", "__first", "__last")
@@ -162,7 +160,7 @@ def window_index(windows: DataFrame) -> DataFrame:
     sizes = windows.groupBy("chrom").agg(F.count("*").alias("n"))
     w = W.orderBy(chrom_key(F.col("chrom"))).rowsBetween(W.unboundedPreceding, -1)
     offset = sizes.select("chrom", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__offset"))
-    r = windows.withColumn("index_in_chrom", F.row_number().over(W.partitionBy("chrom").orderBy("bin")) - 1)
+    r = scans.numbered(windows, ["chrom"], "bin", "index_in_chrom").withColumn("index_in_chrom", F.col("index_in_chrom").cast("int"))
     return r.join(offset, "chrom").withColumn("index", F.col("__offset") + F.col("index_in_chrom")).drop("__offset")
 
 

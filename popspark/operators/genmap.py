@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popspark.operators import scans
 from popspark.operators.rangejoin import BUCKET, interpolate
 
 CM_PER_MB = 1e-8
@@ -21,7 +22,8 @@ def recmap(points: DataFrame, seqlens: DataFrame, factor: float = CM_PER_MB) ->
     Before the first marker the rate is 0; a marker at the end of its chromosome adds nothing.
     """
     p = points.join(seqlens, "chrom")
-    end = F.coalesce(F.lead("pos").over(W.partitionBy("chrom").orderBy("pos")), F.col("length"))
+    p = scans.following(p, ["chrom"], "pos", {"pos": "__end"})
+    end = F.coalesce("__end", F.col("length"))
     rows = p.select("chrom", F.col("pos").alias("start"), end.alias("end"), (F.col("rate") * factor).alias("rate"))
     head = points.groupBy("chrom").agg(F.min("pos").alias("end")).join(seqlens.select("chrom"), "chrom", "left_semi")
     head = head.select("chrom", F.lit(0).cast("long").alias("start"), "end", F.lit(0.0).alias("rate"))
@@ -30,16 +32,14 @@ def recmap(points: DataFrame, seqlens: DataFrame, factor: float = CM_PER_MB) ->
 
 def cumulative(rates: DataFrame) -> DataFrame:
     """Add running map positions to (chrom, start, end, rate)."""
-    w = W.partitionBy("chrom").orderBy("start")
     size = (F.col("end") - F.col("start")) * F.col("rate")
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return rates.withColumns({"cum_start": before, "cum_end": F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    return scans.running_sum(rates, ["chrom"], "start", size, "cum_start", "cum_end")
 
 
 def marginal(points: DataFrame, seqlens: DataFrame | None = None) -> DataFrame:
     """Rates in cM/Mb between cumulative markers (chrom, pos, cum in cM); the last marker has none."""
-    w = W.partitionBy("chrom").orderBy("pos")
-    return points.withColumn("rate", (F.lead("cum").over(w) - F.col("cum")) / (F.lead("pos").over(w) - F.col("pos")) * 1e6)
+    p = scans.following(points, ["chrom"], "pos", {"pos": "__pos", "cum": "__cum"})
+    return p.withColumn("rate", (F.col("__cum") - F.col("cum")) / (F.col("__pos") - F.col("pos")) * 1e6).drop("__pos", "__cum")
 
 
 def position(points: DataFrame, m: DataFrame, pos: str = "pos", out: str = "map_pos", bucket: int = BUCKET) -> DataFrame:
@@ -89,20 +89,24 @@ def trim_ends(m: DataFrame, cm: float, lower: str = "first") -> DataFrame:
 
 def clean(points: DataFrame, k: float | None = None) -> DataFrame:
     """Drop markers (chrom, pos, cum) that break monotony, then those whose following rate reaches ``k`` deviations."""
-    up = W.partitionBy("chrom").orderBy("pos")
-    before = F.coalesce(F.max("cum").over(up.rowsBetween(W.unboundedPreceding, -1)), F.col("cum"))
-    after = F.coalesce(F.min("cum").over(up.rowsBetween(1, W.unboundedFollowing)), F.col("cum"))
-    kept = points.withColumns({"__b": before, "__a": after}).filter("cum >= __b AND cum <= __a").drop("__a", "__b")
+    up = scans.inside(["chrom"], "pos")
+    p = scans.carried(scans.blocked(points, "pos"), ["chrom"], __before=(F.max("cum"), F.max, -1), __after=(F.min("cum"), F.min, 1))
+    before = F.coalesce(F.greatest(F.max("cum").over(scans.earlier(up)), F.col("__before")), F.col("cum"))
+    after = F.coalesce(F.least(F.min("cum").over(up.rowsBetween(1, W.unboundedFollowing)), F.col("__after")), F.col("cum"))
+    kept = p.withColumns({"__b": before, "__a": after}).filter("cum >= __b AND cum <= __a").select(*points.columns)
     if k is None:
         return kept
-    sd = F.stddev_pop("rate").over(W.partitionBy("chrom"))
-    return marginal(kept).withColumn("__sd", sd).filter(F.col("rate").isNull() | (F.col("rate") < k * F.col("__sd"))).drop("rate", "__sd")
+    rated = marginal(kept)
+    sd = rated.groupBy("chrom").agg(F.stddev_pop("rate").alias("__sd"))  # a row for each chromosome
+    return rated.join(sd, "chrom").filter(F.col("rate").isNull() | (F.col("rate") < k * F.col("__sd"))).select(*points.columns)
 
 
 def sorted_check(points: DataFrame, pos: str = "pos", order: str = "pos") -> DataFrame:
     """(chrom, is_sorted): whether ``pos`` never falls along ``order``."""
-    fall = F.coalesce(F.lag(pos).over(W.partitionBy("chrom").orderBy(order)) > F.col(pos), F.lit(False))
-    return points.withColumn("__f", fall).groupBy("chrom").agg((~F.max("__f")).alias("is_sorted"))
+    one = F.struct(F.col(order).alias("at"), F.col(pos).alias("pos"))
+    p = scans.carried(scans.blocked(points, order), ["chrom"], __last=(F.max(one), F.max, -1))
+    before = F.coalesce(F.lag(one).over(scans.inside(["chrom"], order)), F.col("__last"))
+    return p.withColumn("__f", F.coalesce(before["pos"] > F.col(pos), F.lit(False))).groupBy("chrom").agg((~F.max("__f")).alias("is_sorted"))
 
 
 def chrom_key(chrom):

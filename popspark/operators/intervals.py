@@ -1,7 +1,7 @@
 """Interval algebra on tables (chrom, start, end), 0-based and half-open.
 
-Windows run over a chromosome's intervals after overlaps inside blocks of ``BLOCK`` bases have been merged, so what
-one task sorts is bounded by a chromosome's disjoint pieces, not by the number of input rows.
+Windows run over blocks of a chromosome (``scans``): what reaches into a block from earlier ones is carried in, so no
+task sorts a chromosome's rows.
 """
 
 from __future__ import annotations
@@ -9,12 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popspark.operators import scans
 from popspark.operators.rangejoin import BUCKET, overlaps, within
 
-BLOCK = 1 << 22
 PIECE = ["chrom", "start", "end"]
 
 
@@ -30,22 +29,18 @@ def drop_empty(ranges: DataFrame) -> DataFrame:
 
 
 def islands(rows: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
-    """``rows`` with ``island``, a number that runs on while intervals touch (or are ``gap`` bases apart) within ``by``."""
-    w = W.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(1))
-    return rows.withColumn("__new", new).withColumn("island", F.sum("__new").over(w)).drop("__new")
+    """``rows`` with ``island``, the first start of the intervals that touch (or are ``gap`` bases apart) within ``by``."""
+    r = scans.carried(scans.blocked(rows, "start"), by, __reach=(F.max("end"), F.max, -1))
+    reach = F.greatest(F.max("end").over(scans.earlier(scans.inside(by, "start", "end"))), F.col("__reach"))
+    r = r.withColumn("__new", F.coalesce(F.col("start") > reach + gap, F.lit(True)))
+    return scans.begun(r, by, F.col("__new"), "start", "island", "start", "end").drop("__new", "__reach", "__block")
 
 
 def merge(ranges: DataFrame, gap: int = 0, by: list[str] | None = None, **aggs: Column) -> DataFrame:
     """Union of overlapping or adjacent intervals; ``aggs`` summarise the members of each (name=Column)."""
     by = by or ["chrom"]
     rows = drop_empty(ranges)
-    if not aggs:  # blocks first: nothing but their unions reaches the window over a chromosome
-        block = F.floor(F.col("start") / BLOCK).alias("__block")
-        rows = islands(rows.select(*by, "start", "end", block), [*by, "__block"], gap)
-        rows = rows.groupBy(*by, "__block", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__block", "island")
-    rows = islands(rows, by, gap)
+    rows = islands(rows if aggs else rows.select(*by, "start", "end"), by, gap)
     out = rows.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *[c.alias(n) for n, c in aggs.items()])
     return out.drop("island")
 
@@ -53,8 +48,9 @@ def merge(ranges: DataFrame, gap: int = 0, by: list[str] | None = None, **aggs:
 def complement(ranges: DataFrame, seqlens: DataFrame) -> DataFrame:
     """What the intervals leave of each chromosome."""
     m = merge(ranges).join(seqlens.select("chrom"), "chrom", "left_semi")
-    w = W.partitionBy("chrom").orderBy("start")
-    inner = m.select("chrom", F.coalesce(F.lag("end").over(w), F.lit(0)).cast("long").alias("start"), F.col("start").alias("end"))
+    m = scans.carried(scans.blocked(m, "start"), ["chrom"], __last=(F.max("end"), F.max, -1))
+    before = F.coalesce(F.lag("end").over(scans.inside(["chrom"], "start")), F.col("__last"), F.lit(0))
+    inner = m.select("chrom", before.cast("long").alias("start"), F.col("start").alias("end"))
     last = m.groupBy("chrom").agg(F.max("end").alias("start"))
     tail = seqlens.join(last, "chrom", "left").select("chrom", F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.col("length").alias("end"))
     return drop_empty(inner.unionByName(tail))
@@ -96,9 +92,11 @@ def shrink(ranges: DataFrame, size: int = 20, mode: str = "shrink") -> DataFrame
 
 def runs(rows: DataFrame, label: str, drop_null: bool = True) -> DataFrame:
     """Adjacent disjoint pieces of one label as one range."""
-    w = W.partitionBy("chrom").orderBy("start")
-    new = ~(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.lag("end").over(w) == F.col("start")))
-    r = rows.select(*PIECE, label).withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(w))
+    one = F.struct("start", "end", F.col(label).alias("label"))
+    r = scans.carried(scans.blocked(rows.select(*PIECE, label), "start"), ["chrom"], __last=(F.max(one), F.max, -1))
+    r = r.withColumn("__last", F.coalesce(F.lag(one).over(scans.inside(["chrom"], "start")), F.col("__last")))
+    new = ~(F.col(label).eqNullSafe(F.col("__last.label")) & (F.col("__last.end") == F.col("start")))
+    r = scans.begun(r.withColumn("__new", F.coalesce(new, F.lit(True))), ["chrom"], F.col("__new"), "start", "__run", "start")
     out = r.groupBy("chrom", "__run", label).agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*PIECE, label)
     return out.filter(F.col(label).isNotNull()) if drop_null else out
 
@@ -109,7 +107,7 @@ def overlay(tracks: DataFrame, priority: list[str], label: str = "feature", buck
     t = drop_empty(tracks).withColumn("__rank", rank).filter("__rank > 0").select(*PIECE, "__rank")
     t = merge(t, by=["chrom", "__rank"])
     edges = t.select("chrom", F.explode(F.array("start", "end")).alias("start")).distinct()
-    pieces = edges.withColumn("end", F.lead("start").over(W.partitionBy("chrom").orderBy("start"))).filter("end IS NOT NULL")
+    pieces = scans.following(edges, ["chrom"], "start", {"start": "end"}).filter("end IS NOT NULL")
     best = overlaps(pieces, t, bucket).groupBy(*PIECE).agg(F.min("__rank").alias("__rank"))
     out = runs(best, "__rank")
     return out.select(*PIECE, F.element_at(F.array(*[F.lit(p) for p in priority]), F.col("__rank")).alias(label))
@@ -140,9 +138,9 @@ def centre_bases(covered: DataFrame) -> DataFrame:
 
 def contains_overlaps(ranges: DataFrame) -> DataFrame:
     """(chrom, overlapping) for each chromosome."""
-    w = W.partitionBy("chrom").orderBy("start", "end")
-    flag = F.coalesce(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)) > F.col("start"), F.lit(False))
-    return drop_empty(ranges).withColumn("__o", flag).groupBy("chrom").agg(F.max("__o").alias("overlapping"))
+    r = scans.carried(scans.blocked(drop_empty(ranges), "start"), ["chrom"], __reach=(F.max("end"), F.max, -1))
+    reach = F.greatest(F.max("end").over(scans.earlier(scans.inside(["chrom"], "start", "end"))), F.col("__reach"))
+    return r.withColumn("__o", F.coalesce(reach > F.col("start"), F.lit(False))).groupBy("chrom").agg(F.max("__o").alias("overlapping"))
 
 
 def classify(sites: DataFrame, ranges: DataFrame, label: str = "feature", missing: str | None = "missing", bucket: int = BUCKET) -> DataFrame:
@@ -158,16 +156,23 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.crossJoin(either).withColumn("jaccard", F.col("common") / F.nullif(F.col("total"), F.lit(0)))
 
 
-def split(features: DataFrame, recmap: DataFrame, length: int | None = None, bucket: int = BUCKET) -> DataFrame:
+def split(features: DataFrame, recmap: DataFrame, length: int | None = None, bucket: int = BUCKET, strict: bool = True) -> DataFrame:
     """Features cut where the rate changes and into chunks of ``length`` from the left, with rate and map positions.
 
-    Parts that the map does not cover are left out; ``uncovered`` has them.
+    A part without a rate ends the job with an error; without ``strict`` such parts are left out (``uncovered`` has
+    them).
     """
-    f = features
+    f, known = features, recmap.filter(F.col("rate").isNotNull()) if strict else recmap
     if length:
         at = F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(length))).alias("__at")
         f = drop_empty(f).select("*", at).withColumns({"end": F.least(F.col("__at") + length, F.col("end")), "start": F.col("__at")}).drop("__at")
-    cut = overlaps(f, recmap.select(*PIECE, "rate", "cum_start"), bucket)
+    if strict:
+        unrated = complement(known, drop_empty(features).groupBy("chrom").agg(F.max("end").alias("length")))
+        place = F.concat(F.lit("no rate at "), "chrom", F.lit(":"), F.col("lo").cast("string"))
+        # no row remains of these: the filter raises for the first one
+        wrong = overlaps(drop_empty(features), unrated, bucket).filter(F.raise_error(place).cast("boolean")).select(*features.columns)
+        f = f.unionByName(wrong)
+    cut = overlaps(f, known.select(*PIECE, "rate", "cum_start"), bucket)
     rest = [c for c in features.columns if c not in PIECE]
     where = lambda x: F.col("cum_start") + (F.col(x) - F.col("b_start")) * F.col("rate")
     return cut.select("chrom", F.col("lo").alias("start"), F.col("hi").alias("end"), *rest, "rate", where("lo").alias("map_start"), where("hi").alias("map_end"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popspark.operators import scans
+
 BUCKET = 4096
 
 
@@ -59,12 +61,9 @@ def interpolate(points: DataFrame, knots: DataFrame, on=("chrom",), pos: str = "
 
     Of knots with one x the least y counts.  Points without knots for their key get null.
     """
-    from pyspark.sql import Window as W
-
     on = list(on)
     k = knots.groupBy(*on, F.col(x).alias("x")).agg(F.min(y).alias("y"))
-    w = W.partitionBy(*on).orderBy("x")
-    spans = k.select(*on, F.col("x").alias("start"), F.col("y").alias("y0"), F.lead("x").over(w).alias("end"), F.lead("y").over(w).alias("y1")).filter(F.col("end").isNotNull())
+    spans = scans.following(k, on, "x", {"x": "end", "y": "y1"}).withColumnsRenamed({"x": "start", "y": "y0"}).filter(F.col("end").isNotNull())
     ends = k.groupBy(*on).agg(F.min("x").alias("__x0"), F.min_by("y", "x").alias("__y0"), F.max("x").alias("__x1"), F.max_by("y", "x").alias("__y1"))
     names = points.columns
     found = within(points, spans.withColumnsRenamed({"y0": "__ya", "y1": "__yb"}), "left", bucket, on, pos)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popspark.functions import scalars as S
+from popspark.operators import quantiles as Q, scans
 
 
 def unit_random(seed: int, *columns) -> Column:
@@ -20,7 +21,7 @@ def block_bootstrap(windows: DataFrame, k: int, replicates: int, seed: int, last
     A chromosome is drawn in proportion to its windows and a start uniformly in it; without ``last_start`` the last
     possible start is never drawn.
     """
-    w = windows.withColumn("__nth", F.row_number().over(W.partitionBy("chrom").orderBy("bin")) - 1)
+    w = scans.numbered(windows, ["chrom"], "bin", "__nth")
     sizes = windows.groupBy("chrom").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     order = W.orderBy("chrom")
     sizes = sizes.withColumns({"hi": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
@@ -54,8 +55,8 @@ def row_bootstrap(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 def interval(draws: DataFrame, column: str, estimate: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Percentile and pivot interval of replicate values around ``estimate`` (one row, column estimate)."""
-    q = draws.agg(F.percentile(column, F.lit(alpha / 2)).alias("lower"), F.percentile(column, F.lit(1 - alpha / 2)).alias("upper"))
-    both = q.crossJoin(F.broadcast(estimate))
+    lower, upper = Q.exact(draws, column, [alpha / 2, 1 - alpha / 2])
+    both = estimate.select(F.lit(lower).cast("double").alias("lower"), F.lit(upper).cast("double").alias("upper"), *estimate.columns)
     return both.withColumns({"pivot_lower": 2 * F.col("estimate") - F.col("upper"), "pivot_upper": 2 * F.col("estimate") - F.col("lower")})
 
 
@@ -80,11 +81,11 @@ def jackknife_error(estimates: DataFrame, by: list[str], column: str, trim: floa
     """
     e = estimates
     if trim:
-        q = e.groupBy(*by).agg(F.percentile(column, F.lit(trim)).alias("__lo"), F.percentile(column, F.lit(1 - trim)).alias("__hi"))
-        e = e.join(q, by).filter(F.col(column).between(F.col("__lo"), F.col("__hi")))
+        q = Q.grouped(e, by, column, [trim, 1 - trim])
+        e = e.join(q, by).filter(F.col(column).between(F.col("q")[0], F.col("q")[1])).drop("q")
     if iqr:
-        q = e.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-        e = e.join(q, by).filter(F.abs(F.col(column) - F.col("__q")[1]) <= iqr * (F.col("__q")[2] - F.col("__q")[0]))
+        q = Q.grouped(e, by, column, [0.25, 0.5, 0.75])
+        e = e.join(q, by).filter(F.abs(F.col(column) - F.col("q")[1]) <= iqr * (F.col("q")[2] - F.col("q")[0])).drop("q")
     n = F.count(column)
     return e.groupBy(*by).agg(F.avg(column).alias("mean"), F.sqrt((n - 1) * F.var_pop(column)).alias("stderr"), n.alias("n"))
 
@@ -97,8 +98,8 @@ def sigma_interval(rows: DataFrame, estimate: str, stderr: str = "stderr", facto
 
 def bands(draws: DataFrame, by: list[str], column: str, alpha: float = 0.05) -> DataFrame:
     """Percentile band, mean and median over the replicates at each point ``by``."""
-    q = F.percentile(column, F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2)))
-    out = draws.groupBy(*by).agg(q.alias("q"), F.avg(column).alias("mean"))
+    q = Q.grouped(draws, by, column, [alpha / 2, 0.5, 1 - alpha / 2])
+    out = draws.groupBy(*by).agg(F.avg(column).alias("mean")).join(q, by)
     return out.select(*by, "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"))
 
 

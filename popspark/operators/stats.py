@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popspark.operators import ordered, quantiles, scans
+
 
 def describe(rows: DataFrame, column: str) -> DataFrame:
     """One row: mean, median, variance (population), extremes, quantiles and total of a column."""
     c = F.col(column)
-    q = lambda p: F.percentile(column, F.lit(p))
+    found = dict(zip((0.1, 0.25, 0.5, 0.9), quantiles.exact(rows, column, [0.1, 0.25, 0.5, 0.9])))
+    q = lambda p: F.lit(found[p]).cast("double")
     return rows.agg(
         F.avg(c).alias("mean"), q(0.5).alias("median"), F.var_pop(c).alias("var"), F.min(c).alias("min"), F.max(c).alias("max"),
         F.min(F.when(c != 0, c)).alias("non_zero_min"), q(0.1).alias("lower10"), q(0.25).alias("q25"), q(0.9).alias("upper10"), F.sum(c).alias("total"),
@@ -25,29 +28,26 @@ def cut_edges(rows: DataFrame, x: str, n: int, method: str = "interval") -> list
         lo, hi = rows.agg(F.min(x), F.max(x)).first()
         return [lo + (hi - lo) * k / n for k in range(n + 1)]
     probs = [k / n for k in range(n + 1)]
-    return list(rows.agg(F.percentile(x, F.array(*[F.lit(p) for p in probs]))).first()[0])
+    return quantiles.exact(rows, x, probs)
 
 
 def binned(rows: DataFrame, x: str, y: str, edges: list[float], stats: dict[str, Column] | None = None) -> DataFrame:
     """Summaries of ``y`` between edges of ``x``; a bin holds its left edge, the last one both."""
     e = F.array(*[F.lit(float(v)) for v in edges])
     k = F.least(F.size(F.filter(e, lambda v: v <= F.col(x))), F.lit(len(edges) - 1)) - 1
-    stats = stats or {"mean": F.avg(y), "median": F.percentile(y, F.lit(0.5)), "sd": F.stddev_pop(y), "n": F.count(y)}
+    names = list(stats or ("mean", "median", "sd", "n"))
+    plain = stats or {"mean": F.avg(y), "sd": F.stddev_pop(y), "n": F.count(y)}
     inside = rows.filter((F.col(x) >= edges[0]) & (F.col(x) <= edges[-1])).withColumn("bin", k)
-    out = inside.groupBy("bin").agg(*[c.alias(n) for n, c in stats.items()])
-    return out.select("bin", e[F.col("bin")].alias("start"), e[F.col("bin") + 1].alias("end"), *stats)
+    out = inside.groupBy("bin").agg(*[c.alias(n) for n, c in plain.items()])
+    if not stats:
+        out = out.join(quantiles.grouped(inside, ["bin"], y, [0.5]).select("bin", F.col("q")[0].alias("median")), "bin", "left")
+    return out.select("bin", e[F.col("bin")].alias("start"), e[F.col("bin") + 1].alias("end"), *names)
 
 
 def cut_tails(rows: DataFrame, x: str, share: float) -> DataFrame:
     """Rows without ``share`` of the values of ``x`` at either end."""
-    lo, hi = rows.agg(F.percentile(x, F.array(F.lit(share), F.lit(1 - share)))).first()[0] or (None, None)
-    return rows.filter(F.col(x).between(lo, hi))
-
-
-def mid_rank(column: str, by: list[str] | None = None) -> Column:
-    """Rank with ties at their mean, from counts of equal values, for Spearman's correlation."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over((W.partitionBy(*by, column) if by else W.partitionBy(column))) - 1) / 2
+    lo, hi = quantiles.exact(rows, x, [share, 1 - share])
+    return rows.filter(F.col(x).between(F.lit(lo), F.lit(hi)))
 
 
 def ranked(rows: DataFrame, column: str, out: str, blocks: int = 256) -> DataFrame:
@@ -130,29 +130,30 @@ def log_edges(lo: float, hi: float, n: int) -> list[float]:
 
 
 def box(rows: DataFrame, by: str, x: str) -> DataFrame:
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    return rows.groupBy(by).agg(q.alias("q"), F.avg(x).alias("mean")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean")
+    q = quantiles.grouped(rows, [by], x, [0.25, 0.5, 0.75])
+    return rows.groupBy(by).agg(F.avg(x).alias("mean")).join(q, by, "left").select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean")
 
 
-def stencil(rows: DataFrame, y: str, weights: list[float], out: str = "smooth", by: str = "chrom", order: str = "bin") -> DataFrame:
-    """Weighted sum of a series and its neighbours; beyond the ends it is mirrored around the end values.
+def stencil(rows: DataFrame, y: str, weights: list[float], out: str = "smooth", by: str = "chrom", order: str = "bin", block: int | None = None) -> DataFrame:
+    """Weighted sum of a series and its neighbours along the integer ``order``; beyond the ends it is mirrored around the end values.
 
-    The mirror image at an end of value v is 2 v minus the value as far inside.
+    With v the end value and y the value as far inside, the image is v - |y - v| before the start and v + |y - v| after
+    the end.  Rows are numbered and cut into blocks that also hold copies of their neighbours' border rows.
     """
     half = len(weights) // 2
-    w = W.partitionBy(by).orderBy(order)
-    n, k = F.count("*").over(W.partitionBy(by)), F.row_number().over(w)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    near = F.collect_list(F.col(y)).over(w.rowsBetween(-2 * half, 2 * half))
-    r = rows.withColumns({"__n": n, "__k": k, "__a": near, "__first": F.first(y).over(whole), "__last": F.last(y).over(whole)})
-    lowest = F.greatest(F.lit(1), F.col("__k") - 2 * half)
-    at = lambda pos: F.col("__a")[(pos - lowest).cast("int")]
+    r = scans.numbered(rows, [by], order, "__k")
+    ends = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"), F.min_by(y, order).alias("__first"), F.max_by(y, order).alias("__last"))
+    r = scans.neighbours(r, [by], "__k", y, half, "__a", block)
+    r = r.join(ends, F.col(by).eqNullSafe(F.col("__by")))
+    lowest = F.greatest(F.lit(0), F.col("__k") - half)
+    at = lambda pos: F.get("__a", (pos - lowest).cast("int"))
     total = F.lit(0.0)
     for d, c in zip(range(-half, half + 1), weights):
         p = F.col("__k") + d
-        value = F.when(p < 1, F.col("__first") - F.abs(at(2 - p) - F.col("__first"))).when(p > F.col("__n"), F.col("__last") + F.abs(at(2 * F.col("__n") - p) - F.col("__last"))).otherwise(at(p))
+        last = F.col("__n") - 1
+        value = F.when(p < 0, F.col("__first") - F.abs(at(-p) - F.col("__first"))).when(p > last, F.col("__last") + F.abs(at(2 * last - p) - F.col("__last"))).otherwise(at(p))
         total = total + value * c
-    return r.withColumn(out, total).drop("__n", "__k", "__a", "__first", "__last")
+    return r.select(*rows.columns, total.alias(out))
 
 
 def savitzky_golay_weights(size: int, order: int, deriv: int = 0) -> list[float]:

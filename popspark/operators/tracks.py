@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popspark.operators import quantiles as Q
+
 
 def bin_track(track: DataFrame, width: int, how: str = "mean") -> DataFrame:
     """(chrom, start, end, value): mean (weighted by bases) or max of a track's scores in bins; bins without scores are absent."""
@@ -20,9 +22,10 @@ def bin_track(track: DataFrame, width: int, how: str = "mean") -> DataFrame:
 
 
 def quantiles(rows: DataFrame, column: str, probs: list[float], exact: bool = True) -> DataFrame:
-    """One row with an array ``q``; ``exact=False`` for columns too large to sort in one place."""
-    q = F.percentile(column, F.array(*[F.lit(p) for p in probs])) if exact else F.percentile_approx(column, probs, 10000)
-    return rows.agg(q.alias("q"))
+    """One row with an array ``q``; ``exact=False`` is one pass less."""
+    if not exact:
+        return rows.agg(F.percentile_approx(column, probs, 10000).alias("q"))
+    return rows.sparkSession.createDataFrame([(Q.exact(rows, column, probs),)], "q array<double>")
 
 
 def quantile_classes(cells: DataFrame, probs: list[float], column: str = "value", exact: bool = True) -> DataFrame:
@@ -34,8 +37,8 @@ def quantile_classes(cells: DataFrame, probs: list[float], column: str = "value"
 
 def censor(rows: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows between two quantiles of a column, both included."""
-    q = F.broadcast(quantiles(rows, column, [low, high]))
-    return rows.crossJoin(q).filter(F.col(column).between(F.col("q")[0], F.col("q")[1])).drop("q")
+    lower, upper = Q.exact(rows, column, [low, high])
+    return rows.filter(F.col(column).between(F.lit(lower), F.lit(upper)))
 
 
 def finite(rows: DataFrame, *columns: str) -> DataFrame:

@@ -11,11 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popspark.functions import scalars as S
-from popspark.operators import genmap
+from popspark.operators import genmap, scans
 from popspark.operators.rangejoin import BUCKET, interpolate
 
 #: Blocks of segments that a chromosome's positions meet separately.
@@ -172,10 +171,10 @@ def ratchet_map(points: DataFrame, segments: DataFrame, w: list[float], t: list[
     return _long(sums, names)
 
 
-def rescaled(segments: DataFrame, bmap: DataFrame, wi: int, ti: int, bucket: int = BUCKET, strict: bool = False) -> DataFrame:
+def rescaled(segments: DataFrame, bmap: DataFrame, wi: int, ti: int, bucket: int = BUCKET, strict: bool = True) -> DataFrame:
     """Segments with ``n_scale``: B of an earlier map, all features together, at their midpoints, in (0, 1].
 
-    Values outside are drawn to 1e-6 or 1; with ``strict`` the first one ends the job with an error instead.
+    A value outside ends the job with an error; without ``strict`` it is drawn to 1e-6 or 1.
     """
     total = bmap.filter((F.col("wi") == wi) & (F.col("ti") == ti)).groupBy("chrom", "pos").agg(F.exp(F.sum("log_b")).alias("b"))
     mid = segments.withColumn("__mid", (F.col("start") + F.col("end")) / 2)
@@ -204,8 +203,8 @@ def one_cell(bmap: DataFrame, wi: int, ti: int) -> DataFrame:
 
 def bin_map(bmap: DataFrame, width: int) -> DataFrame:
     """Mean over each window of the map's midpoints, by the position of the midpoint."""
-    w = W.partitionBy(*KEYS).orderBy("pos")
-    m = bmap.select(*KEYS, ((F.col("pos") + F.lead("pos").over(w)) / 2).alias("x"), ((F.col("log_b") + F.lead("log_b").over(w)) / 2).alias("y"))
+    m = scans.following(bmap.select(*KEYS, "pos", "log_b"), KEYS, "pos", {"pos": "pos1", "log_b": "log_b1"})
+    m = m.select(*KEYS, ((F.col("pos") + F.col("pos1")) / 2).alias("x"), ((F.col("log_b") + F.col("log_b1")) / 2).alias("y"))
     return m.filter("x IS NOT NULL").groupBy(*KEYS, F.floor(F.col("x") / width).cast("int").alias("bin")).agg(F.avg("y").alias("log_b"))
 
 

@@ -6,16 +6,16 @@ Tables: ``slopes`` (chrom, bin, ti, feature, a), ``windows`` (chrom, bin, n_same
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popspark.functions import scalars as S
+from popspark.operators import scans
+from popspark.operators.genmap import chrom_key
 from popspark.operators.resample import unit_random
 
 
@@ -53,22 +53,49 @@ def best(likelihoods: DataFrame) -> DataFrame:
     return likelihoods.orderBy("nll", "theta_id").limit(1)
 
 
-def profile(slopes: DataFrame, windows: DataFrame, theta: DataFrame, **values: list[float]) -> DataFrame:
-    """nll over all combinations of ``values`` of pi0 and mu, every other parameter as in the one set ``theta``."""
+def profile(slopes: DataFrame, windows: DataFrame, theta: DataFrame, weights: dict[tuple[int, str], list[float]] | None = None, rescale: bool = False, **values: list[float]) -> DataFrame:
+    """nll over all combinations of ``values`` of pi0 and mu and of ``weights`` by (ti, feature), every other parameter as in the one set ``theta``.
+
+    Other weights of a feature stay; with ``rescale`` they make up 1 with the given ones, in the proportions they have.
+    """
+    weights = weights or {}
     mesh = theta.drop("theta_id", *values)
     for name, v in values.items():
         mesh = mesh.withColumn(name, F.explode(F.array(*[F.lit(float(x)) for x in v])))
-    mesh = mesh.withColumn("theta_id", F.to_json(F.struct("pi0", "mu")))
+    names = [f"w_{t}_{f}" for t, f in weights]
+    for name, v in zip(names, weights.values()):
+        mesh = mesh.withColumn(name, F.explode(F.array(*[F.lit(float(x)) for x in v])))
+    mesh = mesh.withColumn("theta_id", F.to_json(F.struct("pi0", "mu", *[f"`{n}`" for n in names])))
+    given = F.lit(None).cast("double")
+    for name, (t, f) in zip(names, weights):
+        given = F.when((F.col("ti") == t) & (F.col("feature") == f), F.col(f"`{name}`")).otherwise(given)
+    mesh = mesh.withColumn("__given", given)
+    if rescale:
+        per = W.partitionBy("theta_id", "feature")
+        fixed, free = F.sum("__given").over(per), F.sum(F.when(F.col("__given").isNull(), F.col("weight"))).over(per)
+        other = F.when(fixed.isNull(), F.col("weight")).otherwise(F.col("weight") * (1 - fixed) / F.nullif(free, F.lit(0.0)))
+        mesh = mesh.withColumn("__other", other)
+    else:
+        mesh = mesh.withColumn("__other", F.col("weight"))
+    mesh = mesh.withColumn("weight", F.coalesce("__given", "__other")).drop("__given", "__other")
     got = negative_log_likelihood(predict(slopes, mesh), windows)
-    return got.join(F.broadcast(mesh.select("theta_id", "pi0", "mu").distinct()), "theta_id").select("pi0", "mu", "nll")
+    axes = mesh.select("theta_id", "pi0", "mu", *[f"`{n}`" for n in names]).distinct()
+    return got.join(F.broadcast(axes), "theta_id").select("pi0", "mu", *[f"`{n}`" for n in names], "nll")
 
 
 def residuals(predicted: DataFrame, windows: DataFrame) -> DataFrame:
     """Observed less predicted pi and its z score in the chromosome."""
     j = predicted.join(windows.select("chrom", "bin", F.col("pi").alias("observed")), ["chrom", "bin"]).filter("observed IS NOT NULL")
     r = j.withColumn("resid", F.col("observed") - F.col("pi"))
-    w = W.partitionBy("theta_id", "chrom")
-    return r.withColumn("z", (F.col("resid") - F.avg("resid").over(w)) / F.nullif(F.stddev_pop("resid").over(w), F.lit(0.0)))
+    per = r.groupBy("theta_id", "chrom").agg(F.avg("resid").alias("__m"), F.stddev_pop("resid").alias("__s"))
+    return r.join(per, ["theta_id", "chrom"]).withColumn("z", (F.col("resid") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).drop("__m", "__s")
+
+
+def residuals_in_space(predicted: DataFrame, windows: DataFrame) -> DataFrame:
+    """(theta_id, chrom, bin, midpoint, z) for every window along its chromosome; windows without data have a null z."""
+    r = residuals(predicted, windows).select("theta_id", "chrom", "bin", "z")
+    every = windows.select("chrom", "bin", ((F.col("start") + F.col("end")) / 2).alias("midpoint")).crossJoin(F.broadcast(predicted.select("theta_id").distinct()))
+    return every.join(r, ["theta_id", "chrom", "bin"], "left").select("theta_id", "chrom", "bin", "midpoint", "z")
 
 
 def likelihood_ratio(predicted: DataFrame, windows: DataFrame) -> DataFrame:
@@ -148,25 +175,12 @@ def least_quadratic(g: np.ndarray, h: np.ndarray, theta: np.ndarray, equal: np.n
     return y * scale
 
 
-class Fit:
-    """Maximum likelihood from many starts at once, optionally leaving out each group of windows in turn.
-
-    Windows hold their slopes as one array and stay cached.  An iteration is one pass: every task multiplies its
-    windows with all parameter sets and returns sums of likelihood, gradient and Hessian, a row for each set.  The
-    driver holds the parameter sets: the starts, or one for each left-out group.
-    """
+class Coordinates:
+    """What the coordinates of parameter sets mean: (log pi0, mu * weight of each cell), and the convex set of those allowed."""
 
-    def __init__(self, slopes: DataFrame, windows: DataFrame, group: str | None = None, mu: float | None = None, pi0_bounds=(1e-4, 0.6), mu_bounds=(1e-11, 1e-5)):
-        cells = [tuple(r) for r in slopes.select("ti", "feature").distinct().orderBy("feature", "ti").collect()]
+    def __init__(self, cells: list[tuple], mu: float | None, pi0_bounds, mu_bounds):
         self.cells, self.features = cells, sorted({f for _, f in cells})
         self.of = np.array([self.features.index(f) for _, f in cells])
-        order = F.array_sort(F.collect_list(F.struct("feature", "ti", "a")))
-        a = slopes.groupBy("chrom", "bin").agg(F.transform(order, lambda s: s["a"]).alias("a"))
-        keep = ["chrom", "bin", "n_same", "n_diff"]
-        keep += [group] if group and group not in keep else []
-        w = windows.filter("n_same + n_diff > 0").select(*keep).join(a, ["chrom", "bin"])
-        self.data = w.select("n_same", "n_diff", "a", (F.col(group) if group else F.lit("")).cast("string").alias("group")).persist(StorageLevel.MEMORY_AND_DISK)
-        self.groups = sorted(r[0] for r in self.data.select("group").distinct().collect()) if group else []
         self.fixed_mu, self.low = mu, np.log([pi0_bounds[0], mu_bounds[0]])
         self.span = np.log([pi0_bounds[1], mu_bounds[1]]) - self.low
 
@@ -182,43 +196,12 @@ class Fit:
             weight[:, self.of == k] = e / e.sum(axis=1, keepdims=True)
         return box[:, 0], box[:, 1], weight
 
-    def sums(self, theta: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """nll, gradient and Hessian in (log pi0, mu * weights), over windows outside each set's left-out group.
-
-        nll is convex in these coordinates, and so is the set of those allowed.
-        """
-        out = np.array([g if g is not None else "\0" for g in left_out], object)  # fixed-width strings would lose the null character
-        size = theta.shape[1]
-        upper = np.triu_indices(size)
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(theta), 1 + size + len(upper[0])))
-            for p in parts:
-                v = np.column_stack([np.ones(len(p)), -np.stack(p["a"].to_numpy())])
-                outer = v[:, upper[0]] * v[:, upper[1]]
-                for at in range(0, len(theta), 256):
-                    own = slice(at, at + 256)
-                    pi = np.clip(np.exp(v @ theta[own].T), 1e-12, 1 - 1e-12)
-                    used = p["group"].to_numpy()[:, None] != out[None, own]
-                    d, n = p["n_diff"].to_numpy()[:, None] * used, p["n_same"].to_numpy()[:, None] * used
-                    total[own, 0] += -(d * np.log(pi) + n * np.log1p(-pi)).sum(axis=0)
-                    total[own, 1 : 1 + size] += -(d - n * pi / (1 - pi)).T @ v
-                    total[own, 1 + size :] += (n * pi / (1 - pi) ** 2).T @ outer
-            yield pd.DataFrame({"k": np.arange(len(theta)), "s": list(total)})
-
-        parts = self.data.mapInPandas(run, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v"))
-        rows = parts.groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "i"])
-        total = rows["v"].to_numpy().reshape(len(theta), -1)
-        hess = np.zeros((len(theta), size, size))
-        hess[:, upper[0], upper[1]] = hess[:, upper[1], upper[0]] = total[:, 1 + size :]
-        return total[:, 0], total[:, 1 : 1 + size], hess
-
     def natural(self, x: np.ndarray) -> np.ndarray:
         pi0, mu, weight = self.unpack(x)
         return np.column_stack([np.log(pi0), mu[:, None] * weight])
 
     def free(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """Gradient in free coordinates from that of ``sums``."""
+        """Gradient in free coordinates from that in natural ones."""
         _, _, weight = self.unpack(x)
         inner = 1 / (1 + np.exp(-x[:, :2]))
         d = self.span * inner * (1 - inner)
@@ -229,7 +212,7 @@ class Fit:
         return np.column_stack([d[:, 0] * g[:, 0], d[:, 1] * part.sum(axis=1), part - weight * (part @ same)])
 
     def allowed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A, b, G, h of the set allowed in the coordinates of ``sums``: A theta = b and G theta <= h."""
+        """A, b, G, h of the set allowed: A theta = b and G theta <= h."""
         member = np.array([[0.0, *(self.of == k)] for k in range(len(self.features))])
         one = np.eye(1, 1 + len(self.cells))
         ends = np.exp([self.low[1], self.low[1] + self.span[1]])
@@ -256,71 +239,275 @@ class Fit:
         least = sum(g[:, 1:][:, self.of == k].min(axis=1) for k in range(len(self.features)))
         return (g[:, :1] * (theta[:, :1] - ends[None, :, 0])).max(axis=1) + (g[:, 1:] * theta[:, 1:]).sum(axis=1) - (mu[None, :] * least[:, None]).min(axis=1)
 
-    def evaluate(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """nll and its gradient in free coordinates for each parameter set, over windows outside its left-out group."""
-        nll, g, _ = self.sums(self.natural(x), left_out)
-        return nll, self.free(x, g)
+    def direction(self, theta, g, h, nll, tolerance: float) -> np.ndarray:
+        """From each set towards the least point of its second-order expansion over the set allowed."""
+        if not len(theta):
+            return theta
+        return self.inside(least_quadratic(g, h, theta, *self.allowed(), 1e-2 * tolerance * np.maximum(1, np.abs(nll)))) - theta
 
-    def minimise(self, theta: np.ndarray, left_out: list[str | None], iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """theta, nll, converged and passes.
+    def unfold(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """nll, gradient and Hessian from rows of sums."""
+        size = 1 + len(self.cells)
+        upper = np.triu_indices(size)
+        hess = np.zeros((len(total), size, size))
+        hess[:, upper[0], upper[1]] = hess[:, upper[1], upper[0]] = total[:, 1 + size :]
+        return total[:, 0], total[:, 1 : 1 + size], hess
 
-        A step goes towards the least point of the second-order expansion over the set allowed, and is shortened until
-        nll falls.  A set that has converged takes no further pass.
+
+#: Parameter sets whose sums travel together, and tasks whose sums are added before they meet the others'.
+SETS, FAN = 64, 32
+
+
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of the packed arrays of each key, one array in memory at a time."""
+
+    def run(batches):
+        key, total = None, None
+        for b in batches:
+            for k, packed in zip(zip(*[b.column(c).to_pylist() for c in keys]), b.column("packed").to_pylist()):
+                if k != key:
+                    if key is not None:
+                        yield pa.RecordBatch.from_pydict({"b": [key[0]], "packed": [total.tobytes()]}, schema=_PACKED)
+                    key, total = k, np.frombuffer(packed).copy()
+                else:
+                    total += np.frombuffer(packed)
+        if key is not None:
+            yield pa.RecordBatch.from_pydict({"b": [key[0]], "packed": [total.tobytes()]}, schema=_PACKED)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "b int, packed binary")
+
+
+_PACKED = pa.schema([("b", pa.int32()), ("packed", pa.binary())])
+
+
+class Fit:
+    """Maximum likelihood from many starts at once, optionally leaving out each group of windows in turn.
+
+    Windows hold their slopes as one array and stay cached.  An iteration is one pass: every task multiplies its
+    windows with all parameter sets and returns sums of likelihood, gradient and Hessian, packed for ``SETS`` sets in a row; these rows
+    are added in two levels, and where a block's sums meet, its sets' next steps are found too.  So Hessians stay on
+    executors, and the driver holds some numbers for each parameter of each set: the starts, or one set for each left-out group.
+    """
+
+    def __init__(self, slopes: DataFrame, windows: DataFrame, group: str | None = None, mu: float | None = None, pi0_bounds=(1e-4, 0.6), mu_bounds=(1e-11, 1e-5)):
+        cells = [tuple(r) for r in slopes.select("ti", "feature").distinct().orderBy("feature", "ti").collect()]
+        self.shape = Coordinates(cells, mu, pi0_bounds, mu_bounds)
+        order = F.array_sort(F.collect_list(F.struct("feature", "ti", "a")))
+        a = slopes.groupBy("chrom", "bin").agg(F.transform(order, lambda s: s["a"]).alias("a"))
+        keep = ["chrom", "bin", "n_same", "n_diff"]
+        keep += [group] if group and group not in keep else []
+        w = windows.filter("n_same + n_diff > 0").select(*keep).join(a, ["chrom", "bin"])
+        number = lambda c: F.col(c).cast("double").alias(c)
+        self.data = w.select(number("n_same"), number("n_diff"), "a", (F.col(group) if group else F.lit(None)).cast("string").alias("group")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tasks = self.data.select(F.spark_partition_id().alias("p")).distinct().count()
+        self.groups = sorted(r[0] for r in self.data.select("group").distinct().collect() if r[0] is not None) if group else []
+
+    def _sums(self, theta: np.ndarray, left_out: list[str | None]) -> DataFrame:
+        """(b, packed): nll, gradient and the upper half of the Hessian in (log pi0, mu * weights) of block b of parameter sets, over
+        windows outside each set's left-out group.
+
+        nll is convex in these coordinates, and so is the set of those allowed.
         """
-        bounds = self.allowed()
+        names = {g: i for i, g in enumerate(sorted({g for g in left_out if g is not None}))}
+        out = np.array([-1 if g is None else names[g] for g in left_out])
+        shared = self.data.sparkSession.sparkContext.broadcast((theta, out, names))
+        size = theta.shape[1]
+        upper = np.triu_indices(size)
+
+        def run(batches):
+            theta, out, names = shared.value
+            total = np.zeros((len(theta), 1 + size + len(upper[0])))
+            for b in batches:
+                a = b.column("a").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, size - 1)
+                v = np.column_stack([np.ones(len(a)), -a])
+                outer = v[:, upper[0]] * v[:, upper[1]]
+                code = np.array([names.get(g, -2) for g in b.column("group").to_pylist()])
+                diff, same = (b.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("n_diff", "n_same"))
+                for at in range(0, len(theta), 4 * SETS):
+                    own = slice(at, at + 4 * SETS)
+                    pi = np.clip(np.exp(v @ theta[own].T), 1e-12, 1 - 1e-12)
+                    used = code[:, None] != out[None, own] if (out[own] >= 0).any() else 1.0
+                    d, n = diff * used, same * used
+                    total[own, 0] += -(d * np.log(pi) + n * np.log1p(-pi)).sum(axis=0)
+                    total[own, 1 : 1 + size] += -(d - n * pi / (1 - pi)).T @ v
+                    total[own, 1 + size :] += (n * pi / (1 - pi) ** 2).T @ outer
+            for k, at in enumerate(range(0, len(theta), SETS)):
+                yield pa.RecordBatch.from_pydict({"b": [k], "packed": [total[at : at + SETS].tobytes()]}, schema=_PACKED)
+
+        parts = self.data.mapInArrow(run, "b int, packed binary")
+        if self.tasks > FAN:
+            parts = _added(parts.withColumn("fan", F.spark_partition_id() % (-(-self.tasks // FAN))), "b", "fan")
+        return _added(parts, "b")
+
+    def sums(self, theta: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """nll, gradient and Hessian of a few parameter sets, on the driver."""
+        rows = sorted(self._sums(theta, left_out).collect(), key=lambda r: r["b"])
+        return self.shape.unfold(np.concatenate([np.frombuffer(r["packed"]) for r in rows]).reshape(len(theta), -1))
 
-        def direction(theta, g, h, nll):
-            return self.inside(least_quadratic(g, h, theta, *bounds, 1e-2 * tolerance * np.maximum(1, np.abs(nll)))) - theta
+    def evaluate(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """nll and its gradient in free coordinates for each parameter set, over windows outside its left-out group."""
+        nll, g, _ = self.sums(self.shape.natural(x), left_out)
+        return nll, self.shape.free(x, g)
+
+    def steps(self, theta: np.ndarray, left_out: list[str | None], nll: np.ndarray, gap: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each trial set: nll, gap, whether it is better than the earlier ``nll`` and ``gap``, and where to go from it."""
+        shape, shared = self.shape, self.data.sparkSession.sparkContext.broadcast((theta, nll, gap))
+
+        def run(batches):
+            theta, nll, gap = shared.value
+            for b in batches:
+                for k, packed in zip(b.column("b").to_pylist(), b.column("packed").to_pylist()):
+                    own = slice(k * SETS, (k + 1) * SETS)
+                    new, g, h = shape.unfold(np.frombuffer(packed).reshape(len(theta[own]), -1))
+                    left = shape.gap(theta[own], g)
+                    # where nll falls by less than its rounding, the bound tells
+                    better = (new < nll[own]) | ((new <= nll[own] + 1e-12 * np.abs(nll[own])) & (left < gap[own]))
+                    move = np.zeros_like(theta[own])
+                    move[better] = shape.direction(theta[own][better], g[better], h[better], new[better], tolerance)
+                    out = np.column_stack([new, left, better, move])
+                    yield pa.RecordBatch.from_pydict({"b": [k], "packed": [out.tobytes()]}, schema=_PACKED)
+
+        rows = sorted(self._sums(theta, left_out).mapInArrow(run, "b int, packed binary").collect(), key=lambda r: r["b"])
+        out = np.concatenate([np.frombuffer(r["packed"]) for r in rows]).reshape(len(theta), -1)
+        return out[:, 0], out[:, 1], out[:, 2] > 0, out[:, 3:]
+
+    def minimise(self, theta: np.ndarray, left_out: list[str | None], iterations: int, tolerance: float, survivors: int | None = None) -> tuple:
+        """theta, nll, converged, passes and dropped.
 
-        theta = theta.copy()
-        nll, g, h = self.sums(theta, left_out)
-        move, step, passes = direction(theta, g, h, nll), np.ones(len(theta)), np.ones(len(theta), int)
-        gap = self.gap(theta, g)
+        A step goes towards the least point of the second-order expansion over the set allowed, and is shortened until
+        nll falls.  A set that has converged takes no further pass.  All sets of one left-out group have the same least nll, as nll is
+        convex; with ``survivors`` only so many of least nll go on in each group, and none once one has converged.
+        """
+        theta, many = theta.copy(), len(theta)
+        problem = np.unique([g or "" for g in left_out], return_inverse=True)[1]
+        nll, gap, _, move = self.steps(theta, left_out, np.full(many, np.inf), np.full(many, np.inf), tolerance)
+        step, passes, dropped = np.ones(many), np.ones(many, int), np.zeros(many, bool)
         done = gap <= tolerance * np.maximum(1, np.abs(nll))
         for _ in range(iterations):
-            at = np.flatnonzero(~done & (step > 1e-9))
+            if survivors:
+                order = np.lexsort((nll, ~done, problem))  # converged sets first in each group
+                place = np.empty(many, int)
+                place[order] = np.arange(many) - np.searchsorted(problem[order], problem[order])
+                over = np.isin(problem, problem[done])
+                dropped |= ~done & ((place >= survivors) | over)
+            at = np.flatnonzero(~done & ~dropped & (step > 1e-9))
             if not len(at):
                 break
             trial = theta[at] + step[at, None] * move[at]
-            new, g, h = self.sums(trial, [left_out[i] for i in at])
+            new, left, better, onward = self.steps(trial, [left_out[i] for i in at], nll[at], gap[at], tolerance)
             passes[at] += 1
-            left = self.gap(trial, g)
-            # where nll falls by less than its rounding, the bound tells
-            better = (new < nll[at]) | ((new <= nll[at] + 1e-12 * np.abs(nll[at])) & (left < gap[at]))
             step[at] = np.where(better, 1.0, step[at] * 0.25)
             b = at[better]
-            theta[b], nll[b], gap[b], move[b] = trial[better], new[better], left[better], direction(trial[better], g[better], h[better], new[better])
+            theta[b], nll[b], gap[b], move[b] = trial[better], new[better], left[better], onward[better]
             done[b] = gap[b] <= tolerance * np.maximum(1, np.abs(nll[b]))
-        return theta, nll, done, passes
+            # a set below one that has converged is as near to the least
+            least = np.full(problem.max() + 1, -np.inf)
+            np.maximum.at(least, problem[done], nll[done])
+            done |= nll <= least[problem]
+        return theta, nll, done, passes, dropped
 
-    def run(self, starts: int, iterations: int = 500, seed: int = 1, leave_out: bool = False, tolerance: float = 1e-10) -> list[dict]:
-        """Parameter set of every start, or of every left-out group, which starts from the best of the full fits.
+    def run(self, starts: int, iterations: int = 500, seed: int = 1, leave_out: bool = False, tolerance: float = 1e-10, survivors: int | None = None, groups: list[str] | None = None, full: bool = False) -> list[dict]:
+        """Parameter set of every start, or of every left-out group (of ``groups``, if given), which starts from the best of the full fits.
 
         A fit has converged when nll is within ``tolerance`` of its size from the least; ``iterations`` is only a
-        safety limit, and a fit that meets it says so.
+        safety limit, and a fit that meets it says so.  ``survivors`` is for thousands of starts (see ``minimise``); ``full`` adds the best full fit to the left-out ones.
         """
-        x = np.random.default_rng(seed).normal(0, 1, (starts, 2 + len(self.cells)))
+        x = np.random.default_rng(seed).normal(0, 1, (starts, 2 + len(self.shape.cells)))
         left_out: list[str | None] = [None] * starts
-        theta, nll, converged, passes = self.minimise(self.natural(x), left_out, iterations, tolerance)
+        found = self.minimise(self.shape.natural(x), left_out, iterations, tolerance, survivors)
         if leave_out:
-            left_out = [*self.groups]
-            theta, nll, converged, passes = self.minimise(np.repeat(theta[[np.argmin(nll)]], len(left_out), axis=0), left_out, iterations, tolerance)
-        pi0, mu = np.exp(theta[:, 0]), theta[:, 1:][:, self.of == 0].sum(axis=1)
+            best = int(np.argmin(found[1]))
+            first = [[v[best]] for v in found] if full else None
+            left_out = [*(self.groups if groups is None else groups)]
+            found = self.minimise(np.repeat(found[0][[best]], len(left_out), axis=0), left_out, iterations, tolerance) if left_out else tuple(v[:0] for v in found)
+            if first:
+                left_out, found = [None, *left_out], tuple(np.concatenate([a, b]) for a, b in zip(first, found))
+        theta, nll, converged, passes, dropped = found
+        pi0, mu = np.exp(theta[:, 0]), theta[:, 1:][:, self.shape.of == 0].sum(axis=1)
         weight = theta[:, 1:] / mu[:, None]
         return [
-            {"theta_id": i, "left_out": g, "nll": float(nll[i]), "pi0": float(pi0[i]), "mu": float(mu[i]), "weights": weight[i].tolist(), "converged": bool(converged[i]), "iterations": int(passes[i])}
+            {"theta_id": i, "left_out": g, "nll": float(nll[i]), "pi0": float(pi0[i]), "mu": float(mu[i]), "weights": weight[i].tolist(), "converged": bool(converged[i]), "iterations": int(passes[i]), "dropped": bool(dropped[i])}
             for i, g in enumerate(left_out)
         ]
 
     def table(self, spark, fits: list[dict]) -> DataFrame:
         """Fits as theta rows (theta_id, left_out, nll, pi0, mu, converged, iterations, ti, feature, weight)."""
-        rows = [(f["theta_id"], f["left_out"], f["nll"], f["pi0"], f["mu"], f["converged"], f["iterations"], t, name, w) for f in fits for (t, name), w in zip(self.cells, f["weights"])]
+        rows = [(f["theta_id"], f["left_out"], f["nll"], f["pi0"], f["mu"], f["converged"], f["iterations"], t, name, w) for f in fits for (t, name), w in zip(self.shape.cells, f["weights"])]
         return spark.createDataFrame(rows, "theta_id int, left_out string, nll double, pi0 double, mu double, converged boolean, iterations int, ti int, feature string, weight double")
 
     def close(self) -> None:
         self.data.unpersist()
 
 
+def jackknife_blocks(windows: DataFrame, k: int, moving: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ``k`` consecutive windows of a chromosome, and the windows that some block holds.
+
+    Blocks: (block, chrom, first, size, lost, left_out), where ``block`` numbers them in natural order of chromosomes, ``first`` is the number of
+    the first window in its chromosome, ``lost`` how many windows no other block holds, and ``left_out`` names them (null: none).  Windows: with
+    ``nth``, their number in the chromosome, and ``left_out`` where one block alone holds them.  ``moving``: a block starts at
+    every window, as long as ``k`` windows follow; else blocks are disjoint and the last of a chromosome may be shorter.
+    """
+    sizes = windows.groupBy("chrom").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.lit(0), F.col("n") - k + 1) if moving else F.ceil(F.col("n") / k)).filter("blocks > 0")
+    before = F.coalesce(F.sum("blocks").over(W.orderBy(chrom_key(F.col("chrom"))).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each chromosome
+    sizes = sizes.withColumn("before", before)
+    w = scans.numbered(windows, ["chrom"], "bin", "nth").join(sizes.select("chrom", "n"), "chrom")
+    alone = F.col("nth") - F.col("nth") % k
+    if moving:
+        low, high = F.greatest(F.lit(0), F.col("nth") - k + 1), F.least(F.col("nth"), F.col("n") - k)
+        alone = F.when(low == high, low)
+    name = F.concat("chrom", F.lit(":"), alone.cast("string"))
+    w = w.withColumn("left_out", name).drop("n")
+    lost = w.filter("left_out IS NOT NULL").groupBy("left_out").agg(F.count("*").alias("lost"))
+    each = sizes.select("chrom", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    first = F.col("i") if moving else F.col("i") * k
+    each = each.select((F.col("before") + F.col("i")).alias("block"), "chrom", first.alias("first"), F.least(F.lit(k), F.col("n") - first).cast("int").alias("size"))
+    each = each.withColumn("name", F.concat("chrom", F.lit(":"), F.col("first").cast("string"))).join(lost, F.col("name") == F.col("left_out"), "left")
+    return each.select("block", "chrom", "first", "size", F.coalesce("lost", F.lit(0)).alias("lost"), "left_out"), w
+
+
+def jackknife(slopes: DataFrame, windows: DataFrame, k: int, moving: bool = True, number: int | None = None, fraction: float | None = None, starts: int = 1, **options) -> tuple[DataFrame, DataFrame]:
+    """Delete-one-block fits: blocks with (retained, theta_id, nll, pi0, mu, converged, r), and theta rows by theta_id.
+
+    A block's fit is over the windows that other blocks hold.  With moving blocks hardly any block loses a window, so fits are
+    made for the distinct sets of lost windows only and all other blocks share the full fit: the number of fits follows the chromosomes, not the
+    blocks.  ``number`` or ``fraction`` (of the blocks) asks for one block.  ``r``: correlation of predicted and observed pi over
+    the block's own windows.
+    """
+    blocks, w = jackknife_blocks(windows, k, moving)
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    if fraction is not None:
+        number = int(fraction * blocks.count())
+    if number is not None:
+        blocks = blocks.filter(F.col("block") == number)
+    f = Fit(slopes, w, "left_out", **options)
+    total = f.data.count()
+    names = [r[0] for r in blocks.filter("left_out IS NOT NULL").select("left_out").distinct().collect()]  # a fit for each
+    known = set(f.groups)
+    theta = f.table(windows.sparkSession, f.run(starts, leave_out=True, groups=sorted(x for x in names if x in known), full=True))
+    held = f.data.groupBy("group").agg(F.count("*").alias("gone")).collect()
+    f.close()
+    gone = windows.sparkSession.createDataFrame([(r["group"], r["gone"]) for r in held if r["group"] in set(names)], "left_out string, gone long")
+    fits = theta.select("theta_id", F.col("left_out").alias("fit"), "nll", "pi0", "mu", "converged").distinct()
+    # a block that loses nothing, or only windows without data, has the full fit
+    blocks = blocks.join(F.broadcast(gone), "left_out", "left").withColumn("fit", F.when(F.col("gone") > 0, F.col("left_out")))
+    blocks = blocks.alias("b").join(F.broadcast(fits.alias("f")), F.col("b.fit").eqNullSafe(F.col("f.fit"))).drop("fit")
+    out = blocks.withColumn("retained", F.lit(total) - F.coalesce("gone", F.lit(0))).drop("gone")
+    return out.join(_block_r(slopes, w, out, theta, k, moving), "block", "left"), theta
+
+
+def _block_r(slopes: DataFrame, w: DataFrame, blocks: DataFrame, theta: DataFrame, k: int, moving: bool) -> DataFrame:
+    """(block, r) by predictions of each block's fit for its own windows alone."""
+    at = F.col("nth")
+    starts = F.sequence(F.greatest(F.lit(0), at - k + 1), at) if moving else F.array(at - at % k)
+    one = w.filter("pi IS NOT NULL").select("chrom", "bin", "pi", F.explode(starts).alias("first"))
+    member = one.join(blocks.select("block", "chrom", "first", "theta_id"), ["chrom", "first"]).select("block", "theta_id", "chrom", "bin", F.col("pi").alias("observed"))
+    need = member.select("theta_id", "chrom", "bin").distinct().join(slopes, ["chrom", "bin"]).join(F.broadcast(theta), ["theta_id", "ti", "feature"])
+    x = need.groupBy("theta_id", "pi0", "mu", "chrom", "bin").agg(F.sum(F.col("weight") * F.col("a")).alias("x"))
+    p = x.select("theta_id", "chrom", "bin", (F.col("pi0") * F.exp(-F.col("mu") * F.col("x"))).alias("predicted"))
+    return member.join(p, ["theta_id", "chrom", "bin"]).groupBy("block").agg(S.correlation("predicted", "observed").alias("r"))
+
+
 def best_by_group(theta: DataFrame) -> DataFrame:
     """The best start of each left-out group."""
     w = W.partitionBy("left_out").orderBy("nll", "theta_id")
@@ -333,7 +520,13 @@ def out_of_sample(theta: DataFrame, slopes: DataFrame, windows: DataFrame, group
     p = predict(slopes, theta).join(F.broadcast(theta.select("theta_id", "left_out").distinct()), "theta_id")
     j = p.join(windows.select("chrom", "bin", F.col("pi").alias("observed"), *([] if group == "chrom" else [group])), ["chrom", "bin"])
     j = j.filter((F.col(group).cast("string") == F.col("left_out")) & F.col("observed").isNotNull())
-    return j.groupBy("left_out").agg(F.corr("pi", "observed").alias("r"), F.count("*").alias("n"))
+    return j.groupBy("left_out").agg(S.correlation("pi", "observed").alias("r"), F.count("*").alias("n"))
+
+
+def average_r(by_group: DataFrame) -> DataFrame:
+    """One row: the mean of ``out_of_sample``'s r over groups, each counted by its windows, and the windows."""
+    ok = by_group.filter(F.col("r").isNotNull() & ~F.isnan("r"))
+    return ok.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("r"), F.sum("n").alias("n"))
 
 
 def parameter_labels(theta: DataFrame, t: list[float]) -> DataFrame:

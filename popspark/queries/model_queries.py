@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from popspark.operators import diversity as D, intervals as I, resample as B, stats as T
+from popspark.operators import diversity as D, intervals as I, ordered, resample as B, stats as T
 from popspark.plans import bmap as M, likelihood as L, substitution as S
 from popspark.queries.interval_queries import SEGMENTS, segments
 from popspark.queries.views import RECMAP, query, tiles
@@ -144,20 +144,60 @@ def _(v):
     return rounded(r, resid=9, z=6)
 
 
+def chromosome_fits(v):
+    """Out-of-sample r by left-out chromosome, and the fits; the map is built once."""
+    a, w = ordered.kept(slopes(v)), wide_windows(v)
+    f = L.Fit(a, w, group="chrom")
+    t = f.table(v.spark, f.run(starts=2, leave_out=True))
+    f.close()
+    return L.out_of_sample(t, a, w), t
+
+
 @query("mod13_leave_one_chromosome_out")
 def _(v):
-    t = L.best_by_group(fit(v, group="chrom", starts=2, leave_out=True))
-    return L.out_of_sample(t, slopes(v), wide_windows(v)).join(F.broadcast(t.select("left_out", "converged", "iterations").distinct()), "left_out")
+    r, t = chromosome_fits(v)
+    return r.join(F.broadcast(t.select("left_out", "converged", "iterations").distinct()), "left_out")
+
+
+@query("mod13_average_r", "SELECT count(*) AS n, true AS is_correlation FROM win JOIN (SELECT DISTINCT chrom, bin FROM slopes) USING (chrom, bin) WHERE pi IS NOT NULL", *BINNED, *WIDE)
+def _(v):
+    one = L.average_r(chromosome_fits(v)[0])
+    return one.select("n", F.col("r").between(-1, 1).alias("is_correlation"))
 
 
 @query("mod14_block_jackknife")
 def _(v):
-    w = D.blocks(wide_windows(v), 4)
-    w = w.withColumn("block", F.concat_ws(":", "chrom", F.col("block").cast("string")))
-    f = L.Fit(slopes(v), w, group="block")
-    t = f.table(v.spark, f.run(starts=1, leave_out=True))
+    b, _ = L.jackknife(ordered.kept(slopes(v)), wide_windows(v), 4, moving=False)
+    return b.select("left_out", "pi0", "mu", "nll", "converged", "r")
+
+
+#: Windows with data, their number in the chromosome, and the windows of each chromosome.
+NTH = "nth AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY bin) - 1 AS nth, count(*) OVER (PARTITION BY chrom) AS n FROM win)"
+
+
+@query(
+    "mod14_moving_blocks",
+    """SELECT b.chrom, b."first", 4 AS size, count(*) FILTER (x.chrom IS NOT NULL) AS lost, any_value(t.total) - count(*) FILTER (n_same + n_diff > 0) AS retained, true AS converged
+FROM (SELECT DISTINCT chrom, n, nth AS "first" FROM nth WHERE nth <= n - 4) b CROSS JOIN (SELECT count(*) AS total FROM nth WHERE n_same + n_diff > 0) t
+LEFT JOIN nth x ON x.chrom = b.chrom AND greatest(0, x.nth - 3) = least(x.nth, x.n - 4) AND greatest(0, x.nth - 3) = b."first" GROUP BY 1, 2""",
+    *WIDE,
+    NTH,
+)
+def _(v):
+    b, _ = L.jackknife(ordered.kept(slopes(v)), wide_windows(v), 4)
+    return b.select("chrom", "first", "size", "lost", "retained", "converged")
+
+
+@query("mod10_fit_against_grid", "SELECT theta_id, round(nll, 2) AS nll, true AS fit_is_lower FROM nlls", *PREDICTED, *WIDE, NLL)
+def _(v):
+    """The nll that the fitted parameters give by themselves, from the plain prediction, is no higher than that of any example set."""
+    a, w = ordered.kept(slopes(v)), wide_windows(v)
+    f = L.Fit(a, w)
+    t = f.table(v.spark, f.run(starts=64, survivors=2)).filter("converged")
     f.close()
-    return t.select("left_out", "pi0", "mu", "nll", "converged", "iterations").distinct()
+    fitted = L.negative_log_likelihood(L.predict(a, t), w).agg(F.min("nll").alias("fitted"))
+    grid = L.negative_log_likelihood(L.predict(a, theta(v)), w)
+    return rounded(grid.crossJoin(F.broadcast(fitted)).select("theta_id", "nll", (F.col("fitted") <= F.col("nll")).alias("fit_is_lower")), nll=2)
 
 
 @query("mod15_jackknife_error", "SELECT l_returnflag, round(avg(l_tax), 9) AS mean, round(sqrt((count(*) - 1) * var_pop(l_tax)), 4) AS stderr, count(*) AS n FROM lineitem GROUP BY 1")
