@@ -113,6 +113,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 PRIME = 2**61 - 1
 _P, _LOW30, _LOW31, _LOW32 = _U(PRIME), _U(2**30 - 1), _U(2**31 - 1), _U(2**32 - 1)
 _BASES = (0x0C6F3A3D8E1B59D7, 0x15D2B7461F9C08EB)
+_ODD = 0x9E3779B97F4A7C15
 _WHOLE = (0x0A91E5C73B604DF3, 0x1B47C02D96F5E8A1)
 
 
@@ -247,6 +248,18 @@ class Words:
         at = np.arange(len(hashes))
         return _windows(hashes, at, np.minimum(at + size, len(hashes)), _BASES[1 - which])
 
+    def rough(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Cheaper hash of the ``size`` words from each word on, equal for equal windows; crafted windows may share it, so it may only propose."""
+        n = len(hashes)
+        up, down = np.full(n + 1, _ODD, _U), np.full(n + 1, pow(_ODD, -1, 2**64), _U)
+        up[0] = down[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
+        total = np.zeros(n + 1, _U)
+        np.cumsum(hashes * up[:n], out=total[1:])
+        at = np.arange(n)
+        return mix((total[np.minimum(at + size, n)] - total[at]) * down[at])
+
     def spans(self, hashes: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words from ``at`` up to ``end``."""
         return _windows(hashes, at, end, _BASES[1])

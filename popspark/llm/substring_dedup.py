@@ -70,6 +70,10 @@ class Places:
     def hashes(self, length: int, at: np.ndarray, which: int = 0) -> np.ndarray:
         return self.words.joined(self.words.hashes(which), length, which)[at]
 
+    def proposals(self, length: int, at: np.ndarray) -> np.ndarray:
+        """32-bit keys of windows; equal windows have equal keys, and the last length tells the others apart."""
+        return self.words.rough(self.words.hashes(), length)[at] >> np.uint64(32)
+
     def rows(self, removed: np.ndarray, pending: np.ndarray | None = None, left: np.ndarray | None = None) -> pa.Table:
         """A finished row for each document, or its text and candidates where it is pending."""
         w, n = self.words, len(self.words.count)
@@ -98,13 +102,13 @@ class Places:
 def _level(rows: DataFrame, n_bytes: int, length: int, size: int) -> DataFrame:
     def items(table):
         p = Places(table, size)
-        keys = p.hashes(length, p.needed(length)) >> np.uint64(32)
+        keys = p.proposals(length, p.needed(length))
         return np.unique(keys, return_counts=True)
 
     def answer(table, keys, totals):
         p = Places(table, size)
         at = p.needed(length)
-        mine = np.searchsorted(keys, p.hashes(length, at) >> np.uint64(32))
+        mine = np.searchsorted(keys, p.proposals(length, at))
         left = p.narrow(length, at, totals[mine] > 1 if len(at) else np.zeros(0, bool))
         pending = np.bincount(p.words.doc, weights=left[: len(p.words.doc)], minlength=len(p.words.count)) > 0
         return p.rows(np.zeros(len(p.words.doc), bool), pending, left)
