@@ -45,14 +45,15 @@ def merge(ranges: DataFrame, gap: int = 0, by: list[str] | None = None, **aggs:
     return out.drop("island")
 
 
-def complement(ranges: DataFrame, seqlens: DataFrame) -> DataFrame:
-    """What the intervals leave of each chromosome."""
-    m = merge(ranges).join(seqlens.select("chrom"), "chrom", "left_semi")
-    m = scans.carried(scans.blocked(m, "start"), ["chrom"], __last=(F.max("end"), F.max, -1))
-    before = F.coalesce(F.lag("end").over(scans.inside(["chrom"], "start")), F.col("__last"), F.lit(0))
-    inner = m.select("chrom", before.cast("long").alias("start"), F.col("start").alias("end"))
-    last = m.groupBy("chrom").agg(F.max("end").alias("start"))
-    tail = seqlens.join(last, "chrom", "left").select("chrom", F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.col("length").alias("end"))
+def complement(ranges: DataFrame, seqlens: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What the intervals leave of each chromosome, or of each key ``by`` of ``seqlens`` (by, length)."""
+    by = by or ["chrom"]
+    m = merge(ranges, by=by).join(seqlens.select(*by), by, "left_semi")
+    m = scans.carried(scans.blocked(m, "start"), by, __last=(F.max("end"), F.max, -1))
+    before = F.coalesce(F.lag("end").over(scans.inside(by, "start")), F.col("__last"), F.lit(0))
+    inner = m.select(*by, before.cast("long").alias("start"), F.col("start").alias("end"))
+    last = m.groupBy(*by).agg(F.max("end").alias("start"))
+    tail = seqlens.join(last, by, "left").select(*by, F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.col("length").alias("end"))
     return drop_empty(inner.unionByName(tail))
 
 
@@ -67,6 +68,39 @@ def subtract(a: DataFrame, b: DataFrame, seqlens: DataFrame, bucket: int = BUCKE
     return intersect(a, complement(b, seqlens), bucket)
 
 
+def subtract_within(a: DataFrame, b: DataFrame, by: list[str], bucket: int = BUCKET) -> DataFrame:
+    """What the intervals of ``b`` with the same keys ``by`` (chromosome and gene, say) leave of each interval of ``a``."""
+    lengths = drop_empty(a).groupBy(*by).agg(F.max("end").alias("length"))
+    rest = [c for c in a.columns if c not in ("start", "end")]
+    left = complement(b, lengths, by)
+    return overlaps(a, left, bucket, by).select(*rest, F.col("lo").alias("start"), F.col("hi").alias("end"))
+
+
+def introns(genes: DataFrame, exons: DataFrame, utrs: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """Merged genes less exons and untranslated regions, as merged intervals.
+
+    With ``by``, a column that names the gene, each gene loses its own parts only; without it those of all genes.
+    """
+    keys = ["chrom", by] if by else ["chrom"]
+    pick = lambda d: d.select(*keys, "start", "end")
+    parts = pick(exons).unionByName(pick(utrs)) if utrs is not None else pick(exons)
+    return merge(subtract_within(merge(pick(genes), by=keys), parts, keys), by=keys)
+
+
+def conservative(ranges: DataFrame, buffer: int = 20, mode: str = "shrink") -> DataFrame:
+    """Introns without ``buffer`` bases that splicing may conserve at either end (see ``shrink`` for ``mode``)."""
+    return shrink(ranges, buffer, mode)
+
+
+def label_set(tracks: dict[str, DataFrame], seqlens: DataFrame | None = None, rest: str = "other", label: str = "feature") -> DataFrame:
+    """Disjoint labelled pieces of named tracks; where tracks overlap the earlier name wins.
+
+    With ``seqlens`` the set is full: what is left of the chromosomes is ``rest``.  Without, it is sparse.
+    """
+    rows = reduce(DataFrame.unionByName, [t.select(*PIECE).withColumn(label, F.lit(name)) for name, t in tracks.items()])
+    return full_track(rows, list(tracks), seqlens, rest, label) if seqlens is not None else overlay(rows, list(tracks), label)
+
+
 def slop(ranges: DataFrame, seqlens: DataFrame, size: int) -> DataFrame:
     """Each interval longer by ``size`` on both sides, within its chromosome."""
     j = ranges.join(seqlens, "chrom")

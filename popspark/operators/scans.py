@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popspark.operators.ordered import kept
+
 #: Bases of a block, and rows of a block of a numbered series.
 BLOCK, ROWS = 1 << 22, 1 << 16
+#: A plan that reads its tables more often is computed and kept before it is used twice more, else plans would double with every scan.
+LEAVES = 16
 
 Carry = tuple[Column, Callable[[Column], Column], int]
 
@@ -34,6 +38,8 @@ def carried(rows: DataFrame, by: list[str], **carries: Carry) -> DataFrame:
 
     Side -1 folds all earlier blocks of ``by``, 1 all later ones; where there is none the column is null.
     """
+    if rows._jdf.queryExecution().analyzed().collectLeaves().size() > LEAVES:
+        rows = kept(rows)
     w = W.partitionBy(*by).orderBy("__block")
     side = {-1: w.rowsBetween(W.unboundedPreceding, -1), 1: w.rowsBetween(1, W.unboundedFollowing)}
     per = rows.groupBy(*by, "__block").agg(*[agg.alias(name) for name, (agg, _, _) in carries.items()])
@@ -66,9 +72,9 @@ def begun(rows: DataFrame, by: list[str], new: Column, at: str, out: str, *order
 
 def numbered(rows: DataFrame, by: list[str], order: str, out: str, width: int | None = None) -> DataFrame:
     """``out``: the 0-based number of each row of ``by`` along ``order``, an integer."""
-    r = carried(blocked(rows, order, width or ROWS), by, __n=(F.count(F.lit(1)), F.sum, -1))
-    nth = F.row_number().over(inside(by, order)) - 1 + F.coalesce("__n", F.lit(0))
-    return r.withColumn(out, nth.cast("long")).drop("__block", "__n")
+    r = carried(blocked(rows, order, width or ROWS), by, __count=(F.count(F.lit(1)), F.sum, -1))
+    nth = F.row_number().over(inside(by, order)) - 1 + F.coalesce("__count", F.lit(0))
+    return r.withColumn(out, nth.cast("long")).drop("__block", "__count")
 
 
 def running_sum(rows: DataFrame, by: list[str], order: str, value: Column, before: str, after: str, width: int | None = None) -> DataFrame:

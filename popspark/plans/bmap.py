@@ -17,8 +17,8 @@ from popspark.functions import scalars as S
 from popspark.operators import genmap, scans
 from popspark.operators.rangejoin import BUCKET, interpolate
 
-#: Blocks of segments that a chromosome's positions meet separately.
-BLOCKS = 16
+#: Positions and segments of a tile; a task evaluates the pairs of one tile of each.
+TILE = (512, 4096)
 
 
 def grid(spark: SparkSession, w: list[float], t: list[float]) -> DataFrame:
@@ -47,11 +47,42 @@ def classic_terms(segments: DataFrame, g: DataFrame) -> DataFrame:
     return x.withColumns(S.classic_terms(F.col("rate"), F.col("end") - F.col("start"), F.col("t")))
 
 
-def _pairs(points: DataFrame, segments: DataFrame, blocks: int) -> DataFrame:
-    """Every position with every segment of its chromosome; segments are dealt to blocks, so a chromosome is many tasks."""
-    s = segments.withColumn("__block", F.pmod(F.xxhash64("start", "end", "feature"), F.lit(blocks)))
-    p = points.select("chrom", "pos", "map_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
-    return p.join(s, ["chrom", "__block"]).withColumn("rf", S.segment_distance(F.col("map_pos"), F.col("map_start"), F.col("map_end")))
+def _tiles(points: DataFrame, segments: DataFrame, tile: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positions with ``__p``, segments with ``__s``, and (chrom, __p, __s, gap): tiles of equal counts along the chromosome, and the least map distance between two."""
+    p = scans.numbered(points.select("chrom", "pos", "map_pos"), ["chrom"], "pos", "__nth").withColumn("__p", F.floor(F.col("__nth") / tile[0])).drop("__nth")
+    s = scans.numbered(segments, ["chrom"], "start", "__nth").withColumn("__s", F.floor(F.col("__nth") / tile[1])).drop("__nth")
+    a = p.groupBy("chrom", "__p").agg(F.min("map_pos").alias("lo"), F.max("map_pos").alias("hi"))
+    b = s.groupBy("chrom", "__s").agg(F.min("map_start").alias("first"), F.max("map_end").alias("last"))
+    # a row for each pair of tiles, not of rows
+    return p, s, a.join(b, "chrom").select("chrom", "__p", "__s", F.greatest(F.col("first") - F.col("hi"), F.col("lo") - F.col("last"), F.lit(0.0)).alias("gap"))
+
+
+def _pairs(points: DataFrame, segments: DataFrame, tile: tuple[int, int] | None = None, reach: float | None = None) -> DataFrame:
+    """Every position with every segment of its chromosome, tile by tile, so that the number of tasks follows both tables.
+
+    With ``reach`` pairs of tiles that are further apart on the map are left out.
+    """
+    p, s, pairs = _tiles(points, segments, tile or TILE)
+    if reach is not None:
+        pairs = pairs.filter(F.col("gap") <= reach)
+    p = p.join(pairs.select("chrom", "__p", "__s"), ["chrom", "__p"])
+    s = s.join(pairs.select("chrom", "__p", "__s"), ["chrom", "__s"])
+    joined = p.join(s, ["chrom", "__p", "__s"]).drop("__p", "__s")
+    return joined.withColumn("rf", S.segment_distance(F.col("map_pos"), F.col("map_start"), F.col("map_end")))
+
+
+def left_out(points: DataFrame, segments: DataFrame, w: list[float], t: list[float], reach: float, tile: tuple[int, int] | None = None) -> DataFrame:
+    """(chrom, pos, feature, wi, ti, bound): how far ``classic_map`` with this ``reach`` is from the exact log B at most.
+
+    A segment's effect falls with the distance, so that of a left-out tile is bounded by its segments' effects at the tiles' distance.
+    """
+    p, s, pairs = _tiles(points, segments, tile or TILE)
+    size = F.col("end") - F.col("start")
+    far = s.join(pairs.filter(F.col("gap") > reach), ["chrom", "__s"])
+    sums = far.groupBy("chrom", "__p", "feature").agg(*[F.sum(-S.classic_effect(S.classic_terms(F.col("rate"), size, x), F.col("gap"))).alias(f"t{j}") for j, x in enumerate(t)])
+    every = p.join(segments.select("chrom", "feature").distinct(), "chrom").join(sums, ["chrom", "__p", "feature"], "left")
+    out = every.select("chrom", "pos", "feature", *[(F.coalesce(f"t{j}", F.lit(0.0)) * a).alias(f"{i}_{j}") for i, a in enumerate(w) for j in range(len(t))])
+    return _long(out, [(i, j) for i in range(len(w)) for j in range(len(t))]).withColumnRenamed("log_b", "bound")
 
 
 def _long(sums: DataFrame, names: list[tuple[int, int]]) -> DataFrame:
@@ -59,13 +90,14 @@ def _long(sums: DataFrame, names: list[tuple[int, int]]) -> DataFrame:
     return sums.select("chrom", "pos", "feature", F.explode(one).alias("__cell")).select("chrom", "pos", "feature", "__cell.wi", "__cell.ti", "__cell.log_b")
 
 
-def classic_map(points: DataFrame, segments: DataFrame, w: list[float], t: list[float], blocks: int = BLOCKS) -> DataFrame:
+def classic_map(points: DataFrame, segments: DataFrame, w: list[float], t: list[float], tile: tuple[int, int] | None = None, reach: float | None = None) -> DataFrame:
     """log B = w * sum over segments of a / (b rf^2 + c rf + d), by position, feature, w and t.
 
     The sum does not depend on w, and t is spread over columns of one aggregation, so a pair of position and
-    segment is one row whatever the grid; partial sums leave each block of segments.
+    segment is one row whatever the grid; partial sums leave each pair of tiles.  ``reach`` (in Morgans) leaves out pairs of tiles
+    that are further apart, with an error that ``left_out`` bounds; without it the sum is over all pairs.
     """
-    pairs = _pairs(points, segments, blocks)
+    pairs = _pairs(points, segments, tile, reach)
     size = F.col("end") - F.col("start")
     sums = pairs.groupBy("chrom", "pos", "feature").agg(*[F.sum(S.classic_effect(S.classic_terms(F.col("rate"), size, x), F.col("rf"))).alias(f"t{j}") for j, x in enumerate(t)])
     out = sums.select("chrom", "pos", "feature", *[(F.col(f"t{j}") * a).alias(f"{i}_{j}") for i, a in enumerate(w) for j in range(len(t))])
@@ -153,7 +185,7 @@ def with_terms(segments: DataFrame, w: list[float], t: list[float], n: float) ->
     return s.join(ratchet_terms(segments, w, t, n), ["length", "rate", "n_scale"])
 
 
-def ratchet_map(points: DataFrame, segments: DataFrame, w: list[float], t: list[float], n: float, blocks: int = BLOCKS) -> DataFrame:
+def ratchet_map(points: DataFrame, segments: DataFrame, w: list[float], t: list[float], n: float, tile: tuple[int, int] | None = None) -> DataFrame:
     """log B = sum over segments of -V/2 (1 / (1 - (1 - Vm/V)(1 - rf)))^2 with rf at most 1."""
     terms = with_terms(segments, w, t, n)
     names = [(i, j) for i in range(len(w)) for j in range(len(t))]
@@ -167,21 +199,34 @@ def ratchet_map(points: DataFrame, segments: DataFrame, w: list[float], t: list[
         q = 1 / (1 - (1 - vm / v) * (1 - rf))
         return F.when(v > 0, -v / 2 * q * q).otherwise(0.0)
 
-    sums = _pairs(points, wide, blocks).groupBy("chrom", "pos", "feature").agg(*[F.sum(effect(i, j)).alias(f"{i}_{j}") for i, j in names])
+    sums = _pairs(points, wide, tile).groupBy("chrom", "pos", "feature").agg(*[F.sum(effect(i, j)).alias(f"{i}_{j}") for i, j in names])
     return _long(sums, names)
 
 
 def rescaled(segments: DataFrame, bmap: DataFrame, wi: int, ti: int, bucket: int = BUCKET, strict: bool = True) -> DataFrame:
     """Segments with ``n_scale``: B of an earlier map, all features together, at their midpoints, in (0, 1].
 
-    A value outside ends the job with an error; without ``strict`` it is drawn to 1e-6 or 1.
+    A value outside, or a chromosome without values, ends the job with an error; without ``strict`` values are drawn to 1e-6 or 1.
     """
     total = bmap.filter((F.col("wi") == wi) & (F.col("ti") == ti)).groupBy("chrom", "pos").agg(F.exp(F.sum("log_b")).alias("b"))
+    return _scaled(segments, total, bucket, strict)
+
+
+def rescaled_by_fit(segments: DataFrame, predicted: DataFrame, windows: DataFrame, bucket: int = BUCKET, strict: bool = True) -> DataFrame:
+    """Segments with ``n_scale``: B that one fit predicts (chrom, bin, b), at the windows' midpoints, linear between these.
+
+    ``windows`` has (chrom, bin, start, end); the terms of ``with_terms`` then are solved at the rescaled size.
+    """
+    at = windows.select("chrom", "bin", ((F.col("start") + F.col("end")) / 2).alias("pos"))
+    return _scaled(segments, predicted.select("chrom", "bin", "b").join(at, ["chrom", "bin"]).select("chrom", "pos", "b"), bucket, strict)
+
+
+def _scaled(segments: DataFrame, total: DataFrame, bucket: int, strict: bool) -> DataFrame:
     mid = segments.withColumn("__mid", (F.col("start") + F.col("end")) / 2)
     out = interpolate(mid, total, pos="__mid", x="pos", y="b", out="n_scale", bucket=bucket)
     if strict:
-        wrong = F.raise_error(F.concat(F.lit("B outside (0, 1]: "), F.col("n_scale").cast("string"))).cast("double")
-        out = out.withColumn("n_scale", F.when((F.col("n_scale") <= 0) | (F.col("n_scale") > 1), wrong).otherwise(F.col("n_scale")))
+        wrong = F.raise_error(F.concat(F.lit("B outside (0, 1]: "), F.coalesce(F.col("n_scale").cast("string"), F.lit("none in this chromosome")))).cast("double")
+        out = out.withColumn("n_scale", F.when((F.col("n_scale") > 0) & (F.col("n_scale") <= 1), F.col("n_scale")).otherwise(wrong))
     return out.withColumn("n_scale", F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.col("n_scale")))).drop("__mid")
 
 

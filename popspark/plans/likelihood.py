@@ -280,6 +280,12 @@ def _added(rows: DataFrame, *keys: str) -> DataFrame:
 _PACKED = pa.schema([("b", pa.int32()), ("packed", pa.binary())])
 
 
+def _stacked(packed: DataFrame, many: int, width: int) -> np.ndarray:
+    """The arrays of all blocks one below the other; zeros where there are no windows."""
+    rows = sorted(packed.collect(), key=lambda r: r["b"])
+    return np.concatenate([np.frombuffer(r["packed"]) for r in rows]).reshape(many, width) if rows else np.zeros((many, width))
+
+
 class Fit:
     """Maximum likelihood from many starts at once, optionally leaving out each group of windows in turn.
 
@@ -341,8 +347,8 @@ class Fit:
 
     def sums(self, theta: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """nll, gradient and Hessian of a few parameter sets, on the driver."""
-        rows = sorted(self._sums(theta, left_out).collect(), key=lambda r: r["b"])
-        return self.shape.unfold(np.concatenate([np.frombuffer(r["packed"]) for r in rows]).reshape(len(theta), -1))
+        size = theta.shape[1]
+        return self.shape.unfold(_stacked(self._sums(theta, left_out), len(theta), 1 + size + size * (size + 1) // 2))
 
     def evaluate(self, x: np.ndarray, left_out: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """nll and its gradient in free coordinates for each parameter set, over windows outside its left-out group."""
@@ -367,8 +373,7 @@ class Fit:
                     out = np.column_stack([new, left, better, move])
                     yield pa.RecordBatch.from_pydict({"b": [k], "packed": [out.tobytes()]}, schema=_PACKED)
 
-        rows = sorted(self._sums(theta, left_out).mapInArrow(run, "b int, packed binary").collect(), key=lambda r: r["b"])
-        out = np.concatenate([np.frombuffer(r["packed"]) for r in rows]).reshape(len(theta), -1)
+        out = _stacked(self._sums(theta, left_out).mapInArrow(run, "b int, packed binary"), len(theta), 3 + theta.shape[1])
         return out[:, 0], out[:, 1], out[:, 2] > 0, out[:, 3:]
 
     def minimise(self, theta: np.ndarray, left_out: list[str | None], iterations: int, tolerance: float, survivors: int | None = None) -> tuple:

@@ -191,6 +191,47 @@ def _(v):
     return I.shrink(v.feats.drop("status"), 5, "shift")
 
 
+def gene_parts(v):
+    """Genes of 32 order keys, with exons and untranslated regions by order status and priority."""
+    o = v.raw("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    f = v.feats.withColumn("gene", F.floor(F.col("start") / 256)).join(o, F.col("start") == F.col("o_orderkey") * 8)
+    genes = f.groupBy("chrom", "gene").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return genes, f.filter("o_orderstatus = 'F'"), f.filter("o_orderpriority = '5-LOW'")
+
+
+#: The same by single bases.
+BASES = """fg AS (SELECT *, s // 256 AS gene FROM feats), genes AS (SELECT chrom, gene, min(s) AS s, max(e) AS e FROM fg GROUP BY 1, 2),
+cut AS (SELECT DISTINCT chrom, gene, unnest(range(s, e)) AS p FROM fg WHERE status = 'F' OR feature = '5-LOW'),
+kept AS (SELECT chrom, gene, p FROM (SELECT chrom, gene, unnest(range(s, e)) AS p FROM genes) ANTI JOIN cut USING (chrom, gene, p)),
+own AS (SELECT chrom, gene, min(p) AS s, max(p) + 1 AS e FROM (SELECT *, p - row_number() OVER (PARTITION BY chrom, gene ORDER BY p) AS run FROM kept) GROUP BY chrom, gene, run),
+kept_any AS (SELECT DISTINCT chrom, p FROM (SELECT chrom, unnest(range(s, e)) AS p FROM genes) ANTI JOIN (SELECT DISTINCT chrom, p FROM cut) USING (chrom, p)),
+shared AS (SELECT chrom, min(p) AS s, max(p) + 1 AS e FROM (SELECT *, p - row_number() OVER (PARTITION BY chrom ORDER BY p) AS run FROM kept_any) GROUP BY chrom, run)"""
+
+
+@query("int16_introns", 'SELECT chrom, gene, s AS start, e AS "end" FROM own', BASES)
+def _(v):
+    return I.introns(*gene_parts(v), by="gene").select("chrom", "gene", "start", "end")
+
+
+@query("int16_introns_of_all_genes", f"SELECT {OUT} FROM shared", BASES)
+def _(v):
+    return I.introns(*gene_parts(v)).select("chrom", "start", "end")
+
+
+@query(
+    "int16_full_labels",
+    """SELECT chrom, label, sum(n)::BIGINT AS bases FROM (SELECT l.chrom, unnest(['exon', 'intron', 'other']) AS label, unnest([x.n, i.n, l.length - x.n - i.n]) AS n FROM seqlens l
+JOIN (SELECT chrom, count(*) AS n FROM ex GROUP BY 1) x USING (chrom) JOIN (SELECT chrom, count(*) AS n FROM kept_any ANTI JOIN ex USING (chrom, p) SEMI JOIN (SELECT chrom, unnest(range(0, length)) AS p FROM seqlens) USING (chrom, p) GROUP BY 1) i USING (chrom)) GROUP BY 1, 2""",
+    BASES,
+    "ex AS (SELECT DISTINCT chrom, p FROM (SELECT chrom, unnest(range(s, e)) AS p FROM feats WHERE status = 'F') SEMI JOIN (SELECT chrom, unnest(range(0, length)) AS p FROM seqlens) USING (chrom, p))",
+)
+def _(v):
+    genes, exons, utrs = gene_parts(v)
+    inside = lambda d: I.intersect(d.select("chrom", "start", "end"), v.seqlens.select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("end")))
+    full = I.label_set({"exon": inside(exons), "intron": inside(I.introns(genes, exons, utrs))}, v.seqlens, label="label")
+    return full.groupBy("chrom", "label").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
 @query("int16_neutral", f"SELECT {OUT} FROM rest", merged("wide", "SELECT chrom, greatest(s - 4, 0) AS s, least(e + 4, length) AS e FROM feats JOIN seqlens USING (chrom)"), gaps("rest", "wide"))
 def _(v):
     return I.neutral_track(v.feats, v.seqlens, 4)

@@ -177,14 +177,14 @@ NTH = "nth AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY bin) - 1
 
 @query(
     "mod14_moving_blocks",
-    """SELECT b.chrom, b."first", 4 AS size, count(*) FILTER (x.chrom IS NOT NULL) AS lost, any_value(t.total) - count(*) FILTER (n_same + n_diff > 0) AS retained, true AS converged
-FROM (SELECT DISTINCT chrom, n, nth AS "first" FROM nth WHERE nth <= n - 4) b CROSS JOIN (SELECT count(*) AS total FROM nth WHERE n_same + n_diff > 0) t
-LEFT JOIN nth x ON x.chrom = b.chrom AND greatest(0, x.nth - 3) = least(x.nth, x.n - 4) AND greatest(0, x.nth - 3) = b."first" GROUP BY 1, 2""",
+    """SELECT b.chrom, b."first", 2 AS size, count(*) FILTER (x.chrom IS NOT NULL) AS lost, any_value(t.total) - count(*) FILTER (n_same + n_diff > 0) AS retained, true AS converged
+FROM (SELECT DISTINCT chrom, n, nth AS "first" FROM nth WHERE nth <= n - 2) b CROSS JOIN (SELECT count(*) AS total FROM nth WHERE n_same + n_diff > 0 AND n >= 2) t
+LEFT JOIN nth x ON x.chrom = b.chrom AND greatest(0, x.nth - 1) = least(x.nth, x.n - 2) AND greatest(0, x.nth - 1) = b."first" GROUP BY 1, 2""",
     *WIDE,
     NTH,
 )
 def _(v):
-    b, _ = L.jackknife(ordered.kept(slopes(v)), wide_windows(v), 4)
+    b, _ = L.jackknife(ordered.kept(slopes(v)), wide_windows(v), 2)
     return b.select("chrom", "first", "size", "lost", "retained", "converged")
 
 
@@ -296,7 +296,7 @@ def _(v):
 
 @query("jon11_distances", "SELECT p.chrom, p.pos, count(*) AS n, round(1e6 * sum(greatest(s.m0 - p.m, p.m - s.m1, 0)), 3) AS distance FROM points p JOIN segments s USING (chrom) GROUP BY 1, 2", *MAP)
 def _(v):
-    d = M._pairs(M.positions(v.seqlens, v.recmap, STEP), segments(v), M.BLOCKS)
+    d = M._pairs(M.positions(v.seqlens, v.recmap, STEP), segments(v))
     return d.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.round(F.sum("rf") * 1e6, 3).alias("distance"))
 
 

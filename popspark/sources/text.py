@@ -7,21 +7,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popspark.functions.scalars import snp_class
+from popspark.operators import scans
 
 
 def fasta(spark: SparkSession, path, whole_header: bool = False) -> DataFrame:
     """(name, chunk_start, seq): one row for each line of sequence with its offset in the record.
 
-    A line's number orders it within its file; each file is one task's running sum, so split large collections into
-    files.
+    A file is read in byte ranges, however large it is.  Within a range windows number records and add up lengths; which
+    record a range begins in, and how many of its bases came before, is scanned over one carry row for each range.
     """
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
     head = F.col("value").startswith(">")
-    w = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     name = F.expr("substring(value, 2)") if whole_header else F.regexp_extract("value", r"^>(\S+)", 1)
-    t = t.withColumns({"record": F.sum(head.cast("int")).over(w), "name": F.last(F.when(head, name), ignorenulls=True).over(w)}).filter(~head & (F.col("value") != ""))
-    inside = W.partitionBy("file", "record").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    return t.select("name", F.coalesce(F.sum(F.length("value")).over(inside), F.lit(0)).cast("long").alias("chunk_start"), F.col("value").alias("seq"))
+    size = F.when(head, 0).otherwise(F.length("value"))
+    w = scans.until(scans.inside(["file"], "line"))
+    t = t.withColumns({"own": F.sum(head.cast("int")).over(w), "name": F.last(F.when(head, name), ignorenulls=True).over(w), "size": size})
+    record = W.partitionBy("file", "__block", "own").orderBy("line")
+    t = t.withColumn("at", F.coalesce(F.sum("size").over(scans.earlier(record)), F.lit(0)))
+    # of each range: records begun, the name of the last, and its bases so far
+    per = t.groupBy("file", "__block").agg(F.max("own").alias("heads"), F.max_by("name", "line").alias("last"), F.max_by(F.col("at") + F.col("size"), "line").alias("tail"))
+    order = W.partitionBy("file").orderBy("__block")
+    per = per.withColumn("upto", F.sum("heads").over(scans.until(order)))
+    per = per.withColumn("so_far", F.sum("tail").over(scans.until(W.partitionBy("file", "upto").orderBy("__block"))))
+    per = per.select("file", "__block", F.coalesce(F.lag("so_far").over(order), F.lit(0)).alias("before"), F.last("last", ignorenulls=True).over(scans.earlier(order)).alias("open"))
+    t = t.filter(~head & (F.col("value") != "")).join(per, ["file", "__block"])
+    first = F.col("own") == 0
+    return t.select(F.when(first, F.col("open")).otherwise(F.col("name")).alias("name"), (F.col("at") + F.when(first, F.col("before")).otherwise(0)).cast("long").alias("chunk_start"), F.col("value").alias("seq"))
 
 
 def sequences(chunks: DataFrame) -> DataFrame:
@@ -51,13 +62,70 @@ def alignment_pieces(rows: DataFrame, species=None, chroms=None) -> DataFrame:
     return r.groupBy("gene", "species", "chrom").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "-").alias("seq"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def branch_lengths(spark: SparkSession, path, pattern: str = r"([^/]+?)\.([^/.]+)\.mod$") -> DataFrame:
-    """(chrom, feature, species, length) from the tree lines of many small model files."""
+MODEL_FILE = r"([^/]+?)\.([^/.]+)\.mod$"
+
+
+def _models(spark: SparkSession, path, pattern: str) -> DataFrame:
+    """(chrom, feature, value): whole texts of many small model files."""
     t = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    tree = F.regexp_extract("value", r"TREE:\s*(\S+)", 1)
-    found = F.explode(F.regexp_extract_all(tree, F.lit(r"[(,]([A-Za-z]\w*):[0-9.eE+-]+"), F.lit(0))).alias("x")
-    t = t.select(F.regexp_extract("path", pattern, 1).alias("chrom"), F.regexp_extract("path", pattern, 2).alias("feature"), found)
-    return t.select("chrom", "feature", F.regexp_extract("x", r"[(,](\w+):", 1).alias("species"), F.regexp_extract("x", r":(.+)$", 1).cast("double").alias("length"))
+    return t.select(F.regexp_extract("path", pattern, 1).alias("chrom"), F.regexp_extract("path", pattern, 2).alias("feature"), "value")
+
+
+def model_settings(spark: SparkSession, path, pattern: str = MODEL_FILE) -> DataFrame:
+    """(chrom, feature, key, value) of the lines ``KEY: value``; the matrix and the tree have readers of their own."""
+    t = _models(spark, path, pattern)
+    line = F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^([A-Z_]+:[^\n]*)$"), F.lit(1))).alias("x")
+    t = t.select("chrom", "feature", line).select("chrom", "feature", F.regexp_extract("x", "^([A-Z_]+):", 1).alias("key"), F.trim(F.regexp_extract("x", "^[A-Z_]+:(.*)$", 1)).alias("value"))
+    return t.filter(~F.col("key").isin("RATE_MAT", "TREE"))
+
+
+def rate_matrix(spark: SparkSession, path, pattern: str = MODEL_FILE) -> DataFrame:
+    """(chrom, feature, row, column, from, to, rate): the numbers below RATE_MAT, named by the alphabet's letters."""
+    t = _models(spark, path, pattern)
+    letters = F.split(F.trim(F.regexp_extract("value", r"ALPHABET:\s*([^\n]*)", 1)), r"\s+")
+    body = F.regexp_extract("value", r"RATE_MAT:[^\n]*\n((?:[ \t]*[-+0-9.][^\n]*(?:\n|$))+)", 1)
+    t = t.select("chrom", "feature", letters.alias("letters"), F.posexplode(F.split(F.trim(body), r"\n")).alias("row", "line"))
+    t = t.filter("line <> ''").select("chrom", "feature", "letters", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("column", "rate"))
+    return t.select("chrom", "feature", "row", "column", F.get("letters", F.col("row")).alias("from"), F.get("letters", F.col("column")).alias("to"), F.col("rate").cast("double").alias("rate"))
+
+
+def parse_tree(tree) -> F.Column:
+    """Array of (node, parent, name, length) of a tree in nested parentheses, inner nodes included; the root is node 0.
+
+    A fold over the signs and labels with a stack of open nodes: a label after a closing sign belongs to the node that it closes.
+    """
+    node = "struct<node:int,parent:int,name:string,length:double>"
+    zero = F.from_json(F.lit('{"stack":[],"closed":-1,"out":[]}'), f"stack array<int>, closed int, out array<{node}>")
+
+    def made(parent, name, length, out):
+        return F.struct(F.size(out).alias("node"), parent.alias("parent"), name.alias("name"), length.alias("length"))
+
+    def step(acc, x):
+        stack, closed, out = acc["stack"], acc["closed"], acc["out"]
+        top = F.try_element_at(stack, F.lit(-1))
+        none = F.lit(None)
+        name, length = F.nullif(F.regexp_extract(x, "^([^:]*)", 1), F.lit("")), F.nullif(F.regexp_extract(x, ":(.*)$", 1), F.lit("")).cast("double")
+        opened = F.struct(F.concat(stack, F.array(F.size(out))).alias("stack"), F.lit(-1).alias("closed"), F.concat(out, F.array(made(top, none.cast("string"), none.cast("double"), out))).alias("out"))
+        shut = F.struct(F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))).alias("stack"), F.coalesce(top, F.lit(-1)).alias("closed"), out.alias("out"))
+        leaf = F.struct(stack.alias("stack"), F.lit(-1).alias("closed"), F.concat(out, F.array(made(top, name, length, out))).alias("out"))
+        inner = F.transform(out, lambda n: F.when(n["node"] == closed, F.struct(n["node"].alias("node"), n["parent"].alias("parent"), name.alias("name"), length.alias("length"))).otherwise(n))
+        labelled = F.when(closed >= 0, F.struct(stack.alias("stack"), F.lit(-1).alias("closed"), inner.alias("out"))).otherwise(leaf)
+        between = F.struct(stack.alias("stack"), F.lit(-1).alias("closed"), out.alias("out"))
+        return F.when(x == "(", opened).when(x == ")", shut).when(x.isin(",", ";"), between).otherwise(labelled)
+
+    signs = F.regexp_extract_all(F.regexp_replace(tree, r"\s+", ""), F.lit(r"([(),;]|[^(),;]+)"), F.lit(1))
+    return F.aggregate(signs, zero, step, lambda acc: acc["out"])
+
+
+def model_trees(spark: SparkSession, path, pattern: str = MODEL_FILE) -> DataFrame:
+    """(chrom, feature, node, parent, name, length) for every branch of the files' trees, inner ones with a null name."""
+    t = _models(spark, path, pattern).select("chrom", "feature", F.regexp_extract("value", r"TREE:\s*([^\n]+)", 1).alias("tree"))
+    return t.select("chrom", "feature", F.explode(parse_tree(F.col("tree"))).alias("n")).select("chrom", "feature", "n.*")
+
+
+def branch_lengths(spark: SparkSession, path, pattern: str = MODEL_FILE) -> DataFrame:
+    """(chrom, feature, species, length) of the named branches of many small model files."""
+    return model_trees(spark, path, pattern).filter("name IS NOT NULL").select("chrom", "feature", F.col("name").alias("species"), "length")
 
 
 def contigs(spark: SparkSession, path) -> DataFrame:
