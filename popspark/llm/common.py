@@ -238,10 +238,13 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)  # of length n + 1
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
+        self._hashes: dict[int, np.ndarray] = {}
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """64-bit hash of each word; ``which`` chooses one of two independent ones."""
-        return _spans(self.data, self.start, self.end, _BASES[which])
+        if which not in self._hashes:
+            self._hashes[which] = _spans(self.data, self.start, self.end, _BASES[which])
+        return self._hashes[which]
 
     def joined(self, hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
         """Hash of the ``size`` words from each word on; where fewer follow, of those that are left."""

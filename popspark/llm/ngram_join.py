@@ -117,7 +117,11 @@ def _representatives(docs: DataFrame, reps: DataFrame, n_bytes: int, size: int,
         w = Words(own.column("text"), lower=True)
         h = w.hashes()
         rows, ids = [], []
-        for i, key in enumerate(zip(*(signed(w.whole(k)).tolist() for k in (0, 1)))):
+        # the second half of a hash is needed only where the first one is wanted
+        one = signed(w.whole())
+        at = np.flatnonzero(np.isin(one, np.array([a for a, _ in want], np.int64)))
+        two = signed(Words(own.column("text").take(pa.array(at)), lower=True).whole(1))
+        for i, key in zip(at.tolist(), zip(one[at].tolist(), two.tolist())):
             if key in want:
                 rows.append(i)
                 ids.append(want.pop(key))
