@@ -67,7 +67,7 @@ MODEL_FILE = r"([^/]+?)\.([^/.]+)\.mod$"
 
 def _models(spark: SparkSession, path, pattern: str) -> DataFrame:
     """(chrom, feature, value): whole texts of many small model files."""
-    t = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return t.select(F.regexp_extract("path", pattern, 1).alias("chrom"), F.regexp_extract("path", pattern, 2).alias("feature"), "value")
 
 
