@@ -219,6 +219,33 @@ def cv_bins(rows: DataFrame, x: str, y: str, choices: list[int], folds: int = 5)
     return per.select("nbins", sse.alias("e"), F.when(other_n > 0, F.col("n")).alias("n")).groupBy("nbins").agg((F.sum("e") / F.sum("n")).alias("mse"))
 
 
+def cv_bins_contiguous(rows: DataFrame, x: str, y: str, by: list[str], choices: list[int], folds: int = 5) -> DataFrame:
+    """Cross-validated error for each number of equal-width bins, over contiguous folds of the rows in the order of ``by``.
+
+    A fold's error is the mean squared one of its rows, each weighted by how many training rows its bin has; the result is the mean
+    over folds.  Bins reach from the least x to 1.001 times the greatest; rows in bins without training rows do not count.
+    """
+    lo, hi = rows.agg(F.min(x), F.max(x) * 1.001).first()
+    r = ordered.folds(rows.select(F.col(x).alias("x"), F.col(y).alias("y"), *by), by, folds)
+    r = r.withColumn("nbins", F.explode(F.array(*[F.lit(c) for c in choices])))
+    r = r.withColumn("bin", F.floor((F.col("x") - lo) / (hi - lo) * F.col("nbins")))
+    per = r.groupBy("nbins", "bin", "fold").agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.count("*").alias("n"))
+    w = W.partitionBy("nbins", "bin")  # a row for each fold
+    other_s, other_n = F.sum("s").over(w) - F.col("s"), F.sum("n").over(w) - F.col("n")
+    mean = other_s / F.nullif(other_n, F.lit(0))
+    sse = F.col("ss") - 2 * mean * F.col("s") + F.col("n") * mean * mean
+    one = per.select("nbins", "fold", sse.alias("e"), other_n.alias("w"), "n").filter("w > 0")
+    one = one.groupBy("nbins", "fold").agg((F.sum(F.col("w") * F.col("e")) / F.sum(F.col("w") * F.col("n"))).alias("mse"))
+    return one.groupBy("nbins").agg(F.avg("mse").alias("mse"))
+
+
+def slope_after(rows: DataFrame, by: list[str], at: str, y: str, first: float) -> DataFrame:
+    """Slope of ``y`` along ``at`` in each group, from ``first`` on; groups with fewer than two points have none."""
+    kept = rows.filter(F.col(at) >= first)
+    out = kept.groupBy(*by).agg(F.regr_slope(y, at).alias("slope"), F.count("*").alias("n"))
+    return out.filter("n > 1").drop("n")
+
+
 def best_bins(errors_by_bins: DataFrame) -> DataFrame:
     """The row of least error of ``cv_bins``; of equal ones that with fewest bins."""
     return errors_by_bins.orderBy("mse", "nbins").limit(1)

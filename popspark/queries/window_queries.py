@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from popspark.operators import diversity as D, genmap, intervals as I, resample as B, stats as T, tracks
+from popspark.operators import diversity as D, genmap, intervals as I, ordered, resample as B, stats as T, tracks
 from popspark.plans import windowed
 from popspark.queries.interval_queries import COVERAGE, OVERLAY, SEGMENTS, segments
 from popspark.queries.views import ACCESS, FEATURES, NEUTRAL, RECMAP, merged, query, tiles
@@ -352,10 +352,17 @@ def _(v):
     return rounded(T.stencil(w, "y", T.gaussian_weights(1.0)).select("chrom", "bin", "smooth"), smooth=6)
 
 
-@query("win12_lowess")
+@query(
+    "win12_lowess",
+    """SELECT "at", round(CASE WHEN abs(sw * sxx - sx * sx) > 1e-12 THEN (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) ELSE sy / sw END, 6) AS fit FROM (
+SELECT "at", sum(w) AS sw, sum(w * c) AS sx, sum(w * c * c) AS sxx, sum(w * y) AS sy, sum(w * c * y) AS sxy FROM (
+SELECT d."at", c, y, (CASE WHEN h > 0 THEN 1 - (d / h) ** 3 ELSE 1 END) ** 3 AS w FROM near d JOIN (SELECT "at", d AS h FROM near WHERE nth = k) h ON h."at" = d."at" WHERE d < h OR h = 0) GROUP BY 1)""",
+    """near AS (SELECT *, row_number() OVER (PARTITION BY "at" ORDER BY d) AS nth FROM (
+SELECT g::DOUBLE AS "at", p_size - g AS c, p_retailprice AS y, abs(p_size - g)::DOUBLE AS d, greatest(2, ceil(0.3 * n))::BIGINT AS k FROM part, unnest([5, 15, 25, 35, 45]) u(g), (SELECT count(*) AS n FROM part)))""",
+)
 def _(v):
     targets = v.spark.createDataFrame([(float(x),) for x in (5, 15, 25, 35, 45)], "at double")
-    return T.lowess(v.raw("part").withColumn("x", F.col("p_size").cast("double")), targets, "x", "p_retailprice", 0.3)
+    return rounded(T.lowess(v.raw("part").withColumn("x", F.col("p_size").cast("double")), targets, "x", "p_retailprice", 0.3), fit=6)
 
 
 @query("win13_kernel_regression", "SELECT g::DOUBLE AS \"at\", round(sum(exp(-(((g - p_size) / 4.0) ** 2) / 2) * p_retailprice) / sum(exp(-(((g - p_size) / 4.0) ** 2) / 2)), 6) AS fit FROM part, unnest([5, 15, 25, 35, 45]) u(g) GROUP BY 1")
@@ -387,8 +394,8 @@ def _(v):
 
 @query("mod22_slope_after_burn_in", "SELECT user_id, round(regr_slope(y, g), 6) AS slope FROM (SELECT user_id, event_id // 1000 AS g, avg(value) AS y FROM events GROUP BY 1, 2) WHERE g >= 2 GROUP BY 1 HAVING count(*) > 1")
 def _(v):
-    e = v.raw("events").groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("at")).agg(F.avg("value").alias("y")).filter("at >= 2")
-    return e.groupBy("user_id").agg(F.round(F.regr_slope("y", "at"), 6).alias("slope"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    e = v.raw("events").groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("at")).agg(F.avg("value").alias("y"))
+    return rounded(T.slope_after(e, ["user_id"], "at", "y", 2), slope=6)
 
 
 @query("mod23_cv_bins")
@@ -396,6 +403,19 @@ def _(v):
     return T.cv_bins(v.raw("lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")), "x", "y", [2, 5, 10, 25])
 
 
+@query(
+    "mod23_cv_contiguous",
+    """SELECT nbins::INT AS nbins, round(avg(mse), 3) AS mse FROM (SELECT nbins, fold, sum(w * (ss - 2 * m * s + n * m * m)) / sum(w * n) AS mse FROM (
+SELECT *, sum(n) OVER b - n AS w, (sum(s) OVER b - s) / nullif(sum(n) OVER b - n, 0) AS m FROM (
+SELECT nbins, fold, floor((x - lo) / (hi - lo) * nbins) AS bin, sum(y) AS s, sum(y * y) AS ss, count(*) AS n FROM f, (SELECT min(x) AS lo, max(x) * 1.001::DOUBLE AS hi FROM f), unnest([2, 5, 10, 25]) u(nbins) GROUP BY 1, 2, 3)
+WINDOW b AS (PARTITION BY nbins, bin)) WHERE w > 0 GROUP BY 1, 2) GROUP BY 1""",
+    "f AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y, ntile(5) OVER (ORDER BY l_orderkey, l_linenumber) AS fold FROM lineitem)",
+)
+def _(v):
+    r = v.raw("lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"), "l_orderkey", "l_linenumber")
+    return rounded(T.cv_bins_contiguous(r, "x", "y", ["l_orderkey", "l_linenumber"], [2, 5, 10, 25]), mse=3)
+
+
 @query("srt05_extremes", "SELECT chrom, bin, round(z, 6) AS z FROM (SELECT chrom, bin, (pi - avg(pi) OVER w) / stddev_pop(pi) OVER w AS z FROM win WINDOW w AS (PARTITION BY chrom)) WHERE abs(z) > 2", *WIN)
 def _(v):
     return rounded(D.standardise(windows(v), "pi").filter("abs(z) > 2").select("chrom", "bin", "z"), z=6)
@@ -414,6 +434,13 @@ def _(v):
     return B.row_bootstrap(v.raw("part").select("p_size", "p_retailprice"), 20, seed=2).groupBy("replicate").agg(F.regr_slope("p_retailprice", "p_size").alias("slope"), F.count("*").alias("n"))
 
 
+@query("res03_drawn_rows", "SELECT r AS replicate, (SELECT count(*) FROM part) AS n, true AS repeats FROM range(1, 21) t(r)")
+def _(v):
+    """Draws with replacement by row number: as many rows in each replicate as there are, some more than once."""
+    d = ordered.drawn(v.raw("part").select("p_partkey"), 20, seed=2).groupBy("replicate").agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("d"))
+    return d.select("replicate", "n", (F.col("d") < F.col("n")).alias("repeats"))
+
+
 @query("res04_intervals", "SELECT round(quantile_cont(value, 0.025), 9) AS lower, round(quantile_cont(value, 0.975), 9) AS upper, round(2 * avg(value) - quantile_cont(value, 0.975), 6) AS pivot_lower, round(2 * avg(value) - quantile_cont(value, 0.025), 6) AS pivot_upper FROM events")
 def _(v):
     e = v.raw("events")
