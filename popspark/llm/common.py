@@ -176,8 +176,26 @@ def between(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndar
     return fold(turned(fold(high), 32) + fold(low))
 
 
+#: Spans of so few words are hashed modulo 2**64: their words' hashes are mixed residues, and strings that such a polynomial
+#: confuses whatever its odd base have 2**10 symbols or more.
+SHORT = 32
+
+
+def _short(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    n = len(values)
+    up, down = np.full(n + 1, base | 1, _U), np.full(n + 1, pow(base | 1, -1, 2**64), _U)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    total = np.zeros(n + 1, _U)
+    np.cumsum(values * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 def _windows(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Hash of values[start:end] for each pair, the same at every place; spans may overlap."""
+    if int((end - start).max(initial=0)) <= SHORT:
+        return _short(values, start, end, base)
     sums = running(times(fold(values), powers(base, len(values))))
     down = powers(pow(base, -1, PRIME), len(values) + 1)
     out = np.empty(len(start), _U)
@@ -253,15 +271,8 @@ class Words:
 
     def rough(self, hashes: np.ndarray, size: int) -> np.ndarray:
         """Cheaper hash of the ``size`` words from each word on, equal for equal windows; crafted windows may share it, so it may only propose."""
-        n = len(hashes)
-        up, down = np.full(n + 1, _ODD, _U), np.full(n + 1, pow(_ODD, -1, 2**64), _U)
-        up[0] = down[0] = 1
-        np.cumprod(up, out=up)
-        np.cumprod(down, out=down)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(hashes * up[:n], out=total[1:])
-        at = np.arange(n)
-        return mix((total[np.minimum(at + size, n)] - total[at]) * down[at])
+        at = np.arange(len(hashes))
+        return _short(hashes, at, np.minimum(at + size, len(hashes)), _ODD)
 
     def spans(self, hashes: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words from ``at`` up to ``end``."""
