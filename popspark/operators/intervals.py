@@ -33,7 +33,7 @@ def islands(rows: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
     r = scans.carried(scans.blocked(rows, "start"), by, __reach=(F.max("end"), F.max, -1))
     reach = F.greatest(F.max("end").over(scans.earlier(scans.inside(by, "start", "end"))), F.col("__reach"))
     r = r.withColumn("__new", F.coalesce(F.col("start") > reach + gap, F.lit(True)))
-    return scans.begun(r, by, F.col("__new"), "start", "island", "start", "end").drop("__new", "__reach", "__block")
+    return scans.begun(r, by, F.col("__new"), "start", "island", "start", "end").drop("__new", "__reach", "__block", "__whole")
 
 
 def merge(ranges: DataFrame, gap: int = 0, by: list[str] | None = None, **aggs: Column) -> DataFrame:

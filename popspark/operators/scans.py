@@ -20,6 +20,8 @@ from popspark.operators.ordered import kept
 BLOCK, ROWS = 1 << 22, 1 << 16
 #: A plan that reads its tables more often is computed and kept before it is used twice more, else plans would double with every scan.
 LEAVES = 16
+#: A table that Spark estimates to be no larger than so many bytes is one block, and needs no carries.
+SMALL = 64_000_000
 
 Carry = tuple[Column, Callable[[Column], Column], int]
 
@@ -29,7 +31,15 @@ def block_of(position: str | Column, width: int | None = None) -> Column:
     return F.floor(at / F.lit(width or BLOCK)).cast("long")
 
 
+def _small(rows: DataFrame) -> bool:
+    plan = rows._jdf.queryExecution()
+    return plan.analyzed().collectLeaves().size() <= 4 and int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SMALL
+
+
 def blocked(rows: DataFrame, position: str | Column, width: int | None = None) -> DataFrame:
+    """``rows`` with ``__block``; a column ``__whole`` marks a small table that is one block."""
+    if _small(rows):
+        return rows.withColumns({"__block": F.lit(0).cast("long"), "__whole": F.lit(True)})
     return rows.withColumn("__block", block_of(position, width))
 
 
@@ -38,6 +48,9 @@ def carried(rows: DataFrame, by: list[str], **carries: Carry) -> DataFrame:
 
     Side -1 folds all earlier blocks of ``by``, 1 all later ones; where there is none the column is null.
     """
+    if "__whole" in rows.columns:
+        kinds = rows.agg(*[agg.alias(name) for name, (agg, _, _) in carries.items()]).schema
+        return rows.withColumns({k.name: F.lit(None).cast(k.dataType) for k in kinds})
     if rows._jdf.queryExecution().analyzed().collectLeaves().size() > LEAVES:
         rows = kept(rows)
     w = W.partitionBy(*by).orderBy("__block")
@@ -74,7 +87,7 @@ def numbered(rows: DataFrame, by: list[str], order: str, out: str, width: int |
     """``out``: the 0-based number of each row of ``by`` along ``order``, an integer."""
     r = carried(blocked(rows, order, width or ROWS), by, __count=(F.count(F.lit(1)), F.sum, -1))
     nth = F.row_number().over(inside(by, order)) - 1 + F.coalesce("__count", F.lit(0))
-    return r.withColumn(out, nth.cast("long")).drop("__block", "__count")
+    return r.withColumn(out, nth.cast("long")).drop("__block", "__whole", "__count")
 
 
 def running_sum(rows: DataFrame, by: list[str], order: str, value: Column, before: str, after: str, width: int | None = None) -> DataFrame:
@@ -82,7 +95,7 @@ def running_sum(rows: DataFrame, by: list[str], order: str, value: Column, befor
     r = carried(blocked(rows, order, width).withColumn("__v", value), by, __sum=(F.sum("__v"), F.sum, -1))
     w, start = inside(by, order), F.coalesce("__sum", F.lit(0.0))
     out = r.withColumns({"__b": start + F.coalesce(F.sum("__v").over(earlier(w)), F.lit(0.0)), "__a": start + F.sum("__v").over(until(w))})
-    return out.drop("__block", "__v", "__sum").withColumnsRenamed({"__b": before, "__a": after})
+    return out.drop("__block", "__whole", "__v", "__sum").withColumnsRenamed({"__b": before, "__a": after})
 
 
 def following(rows: DataFrame, by: list[str], order: str, columns: dict[str, str], width: int | None = None) -> DataFrame:

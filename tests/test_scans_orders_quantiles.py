@@ -232,3 +232,17 @@ def test_draws_with_replacement(spark):
     assert len(got) == 30 and {r["n"] for r in got} == {400}
     assert 0.58 < np.mean([r["d"] for r in got]) / 400 < 0.68  # 1 - 1 / e
     assert abs(np.mean([r["m"] for r in got]) - 199.5) < 5 and np.std([r["m"] for r in got]) == pytest.approx(115.5 / 20, rel=0.5)
+
+
+def test_small_tables_are_one_block(spark, tmp_path):
+    made, df = some_ranges(spark, 200, seed=9)
+    df.write.parquet(str(tmp_path / "r"))
+    small = spark.read.parquet(str(tmp_path / "r"))
+    assert "__whole" in scans.blocked(small, "start").columns and "__whole" not in scans.blocked(df, "start").columns
+    n = spark.createDataFrame([("a", 5000), ("b", 4000)], "chrom string, length long")
+    for f in (lambda d: I.merge(d), lambda d: I.merge(d, 3, total=F.sum("score")), lambda d: I.complement(d, n), lambda d: I.overlay(d, ["x", "y", "z"]), lambda d: I.contains_overlaps(d)):
+        assert f(small).columns == f(df).columns and rows(f(small), *f(df).columns) == rows(f(df), *f(df).columns)
+    bins = small.select("chrom", F.col("start").alias("bin"), "score").dropDuplicates(["chrom", "bin"])
+    bins.write.parquet(str(tmp_path / "b"))
+    one = spark.read.parquet(str(tmp_path / "b"))
+    assert rows(scans.numbered(one, ["chrom"], "bin", "k"), "chrom", "bin", "k") == rows(scans.numbered(spark.createDataFrame(one.collect(), one.schema), ["chrom"], "bin", "k"), "chrom", "bin", "k")
