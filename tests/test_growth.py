@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from popspark.operators import genmap, scans
+from popspark.operators import genmap, intervals as I, scans
 
 
 def plan(frame):
@@ -23,3 +23,18 @@ def test_no_frame_runs_to_the_end(spark):
     for r in blocks.collect():
         later = [c for i, c in enumerate(cum) if i * 10 // 70 > r["pos"] // 70]
         assert r["after"] == min(later, default=None)
+
+
+def test_gaps_between_genes_cost_nothing(spark):
+    """A gene far down the chromosome is looked at where it is: rows between operators stay near the genes' number."""
+    genes = spark.range(50).select(F.lit("a").alias("chrom"), F.col("id").alias("gene"), (F.col("id") * 1_000_000_000_000 + 5).alias("start"), (F.col("id") * 1_000_000_000_000 + 105).alias("end"))
+    exons = genes.select("chrom", "gene", (F.col("start") + 20).alias("start"), (F.col("start") + 30).alias("end"))
+    got = sorted((r["gene"], r["start"], r["end"]) for r in I.introns(genes, exons, by="gene").collect())
+    assert got == sorted((g, g * 10**12 + a, g * 10**12 + b) for g in range(50) for a, b in ((5, 25), (35, 105)))
+
+
+def test_subtract_within_keeps_repeats_and_other_columns(spark):
+    a = spark.createDataFrame([("a", 0, 10, "x"), ("a", 0, 10, "x"), ("a", 0, 10, None), ("a", -5, 4, "y"), ("b", 3, 6, "z"), (None, 1, 2, "n")], "chrom string, start long, end long, tag string")
+    b = spark.createDataFrame([("a", 2, 3), ("a", 3, 5), ("a", 4, 6), ("c", 0, 9)], "chrom string, start long, end long")
+    got = sorted((r["chrom"], r["tag"] or "", r["start"], r["end"]) for r in I.subtract_within(a, b, ["chrom"]).collect())
+    assert got == sorted([*[("a", t, s, e) for t in ("x", "x", "") for s, e in ((0, 2), (6, 10))], ("a", "y", 0, 2), ("b", "z", 3, 6)])
