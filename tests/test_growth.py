@@ -2,9 +2,12 @@
 
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from popspark.operators import genmap, intervals as I, scans
+from popspark.plans import bmap
 
 
 def plan(frame):
@@ -38,3 +41,27 @@ def test_subtract_within_keeps_repeats_and_other_columns(spark):
     b = spark.createDataFrame([("a", 2, 3), ("a", 3, 5), ("a", 4, 6), ("c", 0, 9)], "chrom string, start long, end long")
     got = sorted((r["chrom"], r["tag"] or "", r["start"], r["end"]) for r in I.subtract_within(a, b, ["chrom"]).collect())
     assert got == sorted([*[("a", t, s, e) for t in ("x", "x", "") for s, e in ((0, 2), (6, 10))], ("a", "y", 0, 2), ("b", "z", 3, 6)])
+
+
+def test_sums_by_blocks_are_those_over_all_pairs(spark):
+    """Dense, sparse and flat maps: the same sums to the rounding of doubles, from a number of pairs that follows the input."""
+    seg, pts = [], []
+    for c, n, morgans in (("a", 400, 1e-6), ("b", 13, 1e-4), ("flat", 20, 0.0)):
+        pts += [(c, p, p * morgans) for p in range(0, n * 100, 100)]
+        seg += [(c, s, s + 1 + s % 300, "fg"[s % 2], (0.0, 1e-6, 1e-5)[s % 3], s * morgans, (s + 1 + s % 300) * morgans) for s in range(7, n * 120, 121)]
+    p = spark.createDataFrame(pts, "chrom string, pos long, map_pos double")
+    s = spark.createDataFrame(seg, "chrom string, start long, end long, feature string, rate double, map_start double, map_end double")
+    cells = lambda m: {(r["chrom"], r["pos"], r["feature"], r["wi"], r["ti"]): r["log_b"] for r in m.collect()}
+    got, want = cells(bmap.classic_map(p, s, [1e-6], [0.001, 0.01])), cells(bmap.classic_map(p, s, [1e-6], [0.001, 0.01], bmap.TILE))
+    assert got == pytest.approx(want, rel=1e-13)
+    assert bmap._blocked(p, s).filter("chrom = 'a'").count() < 0.2 * bmap._pairs(p, s).filter("chrom = 'a'").count()
+    far = {(r["chrom"], r["pos"]): (r["n"], r["distance"]) for r in bmap.distances(p, s).collect()}
+    every = bmap._pairs(p, s).groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.sum("rf").alias("distance")).collect()
+    assert len(far) == len(every) and all(far[r["chrom"], r["pos"]] == pytest.approx((r["n"], r["distance"]), rel=1e-12) for r in every)
+
+
+def test_decays_give_the_kernel():
+    x = np.geomspace(1e-3, 1e3, 50)
+    s, c = bmap.decays(1e-3)
+    for q in (1e-9, 1e-3, 1.0, 50.0):
+        assert (np.exp(-x[:, None] * s) * c * -np.expm1(-q * s) / (q * s)).sum(axis=1) * x * (x + q) == pytest.approx(np.ones(50), rel=2e-14)
