@@ -65,3 +65,15 @@ def test_decays_give_the_kernel():
     s, c = bmap.decays(1e-3)
     for q in (1e-9, 1e-3, 1.0, 50.0):
         assert (np.exp(-x[:, None] * s) * c * -np.expm1(-q * s) / (q * s)).sum(axis=1) * x * (x + q) == pytest.approx(np.ones(50), rel=2e-14)
+
+
+def test_ratchet_sums_by_blocks_are_those_over_all_pairs(spark):
+    """On a map of more than two Morgans, so that some segments are past the distance at which the effect stays the same."""
+    pts = [("a", p, p * 1e-5) for p in range(0, 250_000, 5_000)] + [("b", p, p * 1e-4) for p in range(0, 3000, 100)]
+    seg = [("a", s, s + 1 + s % 16, "fg"[s % 2], (1e-8, 1e-6)[s % 3 % 2], s * 1e-5, (s + 1 + s % 16) * 1e-5) for s in range(7, 250_000, 401)]
+    seg += [("b", s, s + 16, "f", 1e-6, s * 1e-4, (s + 16) * 1e-4) for s in range(7, 900, 60)]
+    p = spark.createDataFrame(pts, "chrom string, pos long, map_pos double")
+    s = spark.createDataFrame(seg, "chrom string, start long, end long, feature string, rate double, map_start double, map_end double")
+    cells = lambda m: {(r["chrom"], r["pos"], r["feature"], r["wi"], r["ti"]): r["log_b"] for r in m.collect()}
+    got, want = (cells(bmap.ratchet_map(p, s, [1e-7, 1e-6], [1e-4, 1e-3], 1000.0, tile)) for tile in (None, bmap.TILE))
+    assert got == pytest.approx(want, rel=1e-12)
