@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from popspark.operators import genmap, intervals as I, scans
+from popspark.operators import diversity, genmap, intervals as I, scans
 from popspark.plans import bmap
 
 
@@ -77,3 +77,17 @@ def test_ratchet_sums_by_blocks_are_those_over_all_pairs(spark):
     cells = lambda m: {(r["chrom"], r["pos"], r["feature"], r["wi"], r["ti"]): r["log_b"] for r in m.collect()}
     got, want = (cells(bmap.ratchet_map(p, s, [1e-7, 1e-6], [1e-4, 1e-3], 1000.0, tile)) for tile in (None, bmap.TILE))
     assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_masks_shuffle_sites_once(spark):
+    sites = spark.range(1000).select(F.lit("a").alias("chrom"), (F.col("id") * 7).alias("pos"))
+    mask = lambda k: spark.range(100).select(F.lit("a").alias("chrom"), (F.col("id") * 70 + k).alias("start"), (F.col("id") * 70 + k + 30).alias("end"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        masked = diversity.mask_sites(sites, mask(0), mask(20))
+        assert masked._jdf.queryExecution().sparkPlan().toString().count("LeftSemi") == 2
+        assert masked._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].count("Exchange hashpartitioning") == 3
+        assert sorted(r["pos"] for r in masked.collect()) == [i * 7 for i in range(1000) if 20 <= i * 7 % 70 < 30]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
