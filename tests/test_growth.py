@@ -91,3 +91,40 @@ def test_masks_shuffle_sites_once(spark):
         assert sorted(r["pos"] for r in masked.collect()) == [i * 7 for i in range(1000) if 20 <= i * 7 % 70 < 30]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_overlay_is_one_scan(spark):
+    """Equal to the label of least rank at every base, from a plan without a join of pieces with intervals, and across blocks of a scan."""
+    rng = np.random.default_rng(5)
+    rows = [(f"c{k % 2}", int(s), int(s + n), "xyz?"[j]) for k, (s, n, j) in enumerate(zip(rng.integers(-20, 400, 120), rng.integers(-1, 12, 120), rng.integers(0, 4, 120)))]
+    tracks = spark.createDataFrame([*rows, (None, 1, 5, "x"), ("c0", None, 5, "x"), ("c1", 7, 9, None)], "chrom string, start long, end long, feature string")
+    want = {}
+    for c, s, e, f in rows:
+        for p in range(s, e):
+            if f != "?":
+                want[c, p] = min(want.get((c, p), "z"), f)
+    old = scans.BLOCK, scans.SMALL
+    for scans.BLOCK, scans.SMALL in (old, (16, -1)):
+        try:
+            got = I.overlay(tracks, ["x", "y", "z"])
+            assert "__bucket" not in plan(got)
+            pieces = sorted((r["chrom"], r["start"], r["end"], r["feature"]) for r in got.collect())
+        finally:
+            scans.BLOCK, scans.SMALL = old
+        assert {(c, p): f for c, s, e, f in pieces for p in range(s, e)} == want and sum(e - s for _, s, e, _ in pieces) == len(want)
+        assert not any(a[0] == b[0] and a[2] == b[1] and a[3] == b[3] for a, b in zip(pieces, pieces[1:]))
+
+
+def test_block_sums_take_a_segment_once(spark):
+    """One row of a segment gives the sums of both its ends, also where it begins and ends in different blocks, and across batches."""
+    s = np.array([0.5, 3.0])
+    rows = [("a", "fg"[i % 2], 1.0 + i, i // 400, 0.001 * (i % 7), (i + 3) // 400, 0.002 * (i % 5)) for i in range(1200)]
+    t = spark.createDataFrame(rows, "chrom string, feature string, length double, `__block1` long, `__away1` double, `__block-1` long, `__away-1` double")
+    sums = bmap._block_sums(t, ["length"], s, lambda length: np.ones(2) * length[:, None])
+    got, want = {}, {}
+    for r in sums.collect():
+        got[r["feature"], r["side"], r["__block"]] = got.get((r["feature"], r["side"], r["__block"]), 0) + np.array(r["v"])
+    for _, f, n, b1, a1, b2, a2 in rows:
+        for side, b, a in ((1, b1, a1), (-1, b2, a2)):
+            want[f, side, b] = want.get((f, side, b), 0) + n * np.exp(-a * s)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-13) for k in want)
