@@ -128,3 +128,11 @@ def test_block_sums_take_a_segment_once(spark):
         for side, b, a in ((1, b1, a1), (-1, b2, a2)):
             want[f, side, b] = want.get((f, side, b), 0) + n * np.exp(-a * s)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-13) for k in want)
+
+
+@pytest.mark.parametrize("name", ["mod12_residuals", "mod20_likelihood_ratio", "mod13_average_r"])
+def test_windows_are_summed_once(spark, name):
+    """What reads its windows more than once keeps them, so that sites are not summed up again."""
+    from popspark.catalog import QUERIES
+
+    assert not any("lineitem" in f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
