@@ -33,6 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "\ue000"
 #: Words that a worker remembers between batches; beyond it the memory is emptied, results do not change.
 MEMORY = 150_000
+#: The same for words without the marks around them, which several chunks share.
+WORDS = 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -73,6 +75,7 @@ class Recent:
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         rare = sorted({*mine, *_foreign(normalizers.NFC().normalize_str, every)})
         self.any = regex.compile(f"[{_ranges(rare)}]") if rare else regex.compile("(?!)")
+        self.rare = frozenset(rare)  # the same characters: a set tells sooner than the class whether a text has one
         # those that this module takes for letters or numbers but the library does not
         other = normalizers.Replace(Regex(r"[\p{L}\p{N}]"), "").normalize_str("".join(mine))
         other = regex.findall(r"[\p{L}\p{N}]", other)
@@ -131,6 +134,7 @@ class WordBpe:
         self.pattern = self.recent.pattern
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.memory: dict[str | int, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     # -- text to words ------------------------------------------------------------------------------------
 
@@ -144,7 +148,7 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii() and self.recent.any.search(part):
+            if not part.isascii() and not self.recent.rare.isdisjoint(part):
                 part = self.recent.normal(part)
             elif not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # capital sigma is lowered without its context
@@ -266,7 +270,11 @@ class WordBpe:
             own = None if isinstance(c, int) else [c] if c.isalpha() else self.pattern.findall(c)
             parts.append(own)
             words.update(dict.fromkeys(own or ()))
-        ids = dict(zip(words, self.encode_words(list(words))))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        ids = self.words
+        fresh = [w for w in words if w not in ids]
+        ids.update(zip(fresh, map(tuple, self.encode_words(fresh))))
         for c, own in zip(new, parts):
             got = [c] if own is None else [t for w in own for t in ids[w]]
             self.memory[c] = (" ".join([self.names[t] for t in got]), len(got), " ".join([self.tokens[t] for t in got]))

@@ -117,3 +117,19 @@ def test_bpe_normalises_marks_as_the_library_does():
     cases += ["".join(rng.choice(pick)() for _ in range(rng.randint(2, 8))) for _ in range(50_000)]
     for text, got, want in zip(cases, own.encode(cases), lib.encode_batch(cases, add_special_tokens=False)):
         assert [int(i) for e in got for i in e[0].split()] == want.ids, ascii(text)
+
+
+def test_words_are_encoded_once_for_all_chunks(monkeypatch):
+    """Marks around a word and later batches do not encode it again, and results do not change when the memory is emptied."""
+    from popspark.llm import bpe
+
+    one = bpe.WordBpe(bpe.tokenizer_path())
+    seen = []
+    encode = one.encode_words
+    monkeypatch.setattr(one, "encode_words", lambda words: seen.extend(words) or encode(words))
+    texts = ["zyxgrub, zyxgrub. (zyxgrub)", "Zyxgrub! éclair ẞ"]
+    first = [one.encode([t]) for t in texts]
+    assert seen.count("zyxgrub") == 1
+    monkeypatch.setattr(bpe, "WORDS", 0)
+    monkeypatch.setattr(bpe, "MEMORY", 0)
+    assert [one.encode([t]) for t in texts] == first and seen.count("zyxgrub") > 1
