@@ -13,9 +13,11 @@ table; further columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
+import string
 import unicodedata
 
 import numpy as np
@@ -31,10 +33,14 @@ TOKENIZER = "word_bpe_49k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands for the end-of-word marker inside the trie.
 END = "\ue000"
-#: Words that a worker remembers between batches; beyond it the memory is emptied, results do not change.
-MEMORY = 150_000
+#: Chunks that a worker remembers between batches; beyond it the memory is emptied, results do not change.
+MEMORY = 400_000
 #: The same for words without the marks around them, which several chunks share.
-WORDS = 300_000
+WORDS = 400_000
+#: Lengths in bytes up to which words are merged in one matrix, and the fewest words for which that pays.
+BANDS, FEW = (8, 16, 32, 64), 32
+#: A chunk of letters and one of these is a word and a mark.
+MARKS = frozenset(string.punctuation)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -130,11 +136,14 @@ class WordBpe:
             node[""] = i
         self.names = {i: str(i) for i in self.tokens}
         self.letters = byte_letters()
+        # ids of bytes inside a word, and of its last one
+        self.inner, self.last = (np.array([self.vocab[x + end] for x in self.letters], np.int64) for end in ("", self.marker))
+        self.merged = np.array(self.made, np.int64)
         self.recent = Recent()
         self.pattern = self.recent.pattern
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.memory: dict[str | int, tuple[str, int, str]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[str, int, str]] = {}
 
     # -- text to words ------------------------------------------------------------------------------------
 
@@ -183,6 +192,12 @@ class WordBpe:
             at = end
         return out
 
+    def rank(self, a: np.ndarray, b: np.ndarray, none: int) -> np.ndarray:
+        """Ranks of the merges of pairs, ``none`` where there is none."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_born[at], none)
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the letters of a + b gives back exactly (a, b), for all pairs at once.
 
@@ -195,9 +210,7 @@ class WordBpe:
         before_x = np.full(len(a), len(self.made), np.int64)  # when x and y stop being the pieces at the border
         before_y = before_x.copy()
         while len(live):
-            key = x * self.size + y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            born = np.where(self.pair_keys[at] == key, self.pair_born[at], len(self.made) + 1)
+            born = self.rank(x, y, len(self.made) + 1)
             # of equal merges the left one goes first: a merge at the border precedes one to its right
             bad = (born < before_x) & (born <= before_y)
             ok[live[bad]] = False
@@ -249,44 +262,92 @@ class WordBpe:
                     heapq.heappush(heap, (r, k, self.made[r], q))
         return [t for t in ids if t >= 0]
 
+    def exact_many(self, words: list[str]) -> list[list[int]]:
+        """``exact`` of many words: in each round every word merges its best-ranked pair, the leftmost of equal ones."""
+        coded = [w.encode("utf-8") for w in words]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        none, out = len(self.made), [[] for _ in words]
+        for low, high in zip((0, *BANDS), BANDS):
+            live = np.flatnonzero((size > low) & (size <= high))
+            if not len(live):
+                continue
+            place, n = np.arange(high), size[live]
+            raw, inside = np.zeros((len(live), high), np.uint8), place < n[:, None]
+            raw[inside] = np.frombuffer(b"".join([coded[i] for i in live.tolist()]), np.uint8)
+            ids = np.where(inside, self.inner[raw], -1)
+            ends = np.arange(len(live)), n - 1
+            ids[ends] = self.last[raw[ends]]
+            ranks = np.full(ids.shape, none)  # of each place and the next
+            pair = np.nonzero(inside[:, 1:])
+            ranks[pair] = self.rank(ids[pair], ids[:, 1:][pair], none)
+            while len(live):
+                at = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(live)), at]
+                go = best < none
+                for i, row in zip(live[~go].tolist(), ids[~go].tolist()):
+                    out[i] = row[: row.index(-1)] if row[-1] < 0 else row
+                live, ids, ranks, at, best = live[go], ids[go], ranks[go], at[go], best[go]
+                rows = np.arange(len(live))
+                # the second of the pair and its rank leave; what follows moves up
+                ids[:, :-1] = np.where(place[:-1] > at[:, None], ids[:, 1:], ids[:, :-1])
+                ranks[:, :-1] = np.where(place[:-1] > at[:, None], ranks[:, 1:], ranks[:, :-1])
+                ids[:, -1], ranks[:, -1] = -1, none
+                ids[rows, at] = self.merged[best]
+                for first in (at - 1, at):
+                    ok = (first >= 0) & (first < high - 1)
+                    r, f = rows[ok], first[ok]
+                    a, b = ids[r, f], ids[r, f + 1]
+                    ranks[r, f] = np.where(b < 0, none, self.rank(a, b, none))
+        for i in np.flatnonzero(size > BANDS[-1]).tolist():
+            out[i] = self.exact(words[i])
+        return out
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         proposed = [self.greedy(w) for w in words]
         sizes = np.fromiter(map(len, proposed), np.int64, len(words))
         flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
         inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
-        failed = np.unique(owner[inside[~self.compatible(flat[inside], flat[inside + 1])]])
-        for w in failed.tolist():
-            proposed[w] = self.exact(words[w])
+        failed = np.unique(owner[inside[~self.compatible(flat[inside], flat[inside + 1])]]).tolist()
+        wrong = [words[w] for w in failed]
+        for w, ids in zip(failed, self.exact_many(wrong) if len(wrong) >= FEW else map(self.exact, wrong)):
+            proposed[w] = ids
         return proposed
 
     # -- texts --------------------------------------------------------------------------------------------
 
     def learn(self, chunks: set[str | int]) -> None:
         """Remember ids (as text), their number and the decoded text of each chunk."""
-        new = [c for c in chunks if c not in self.memory]
-        words, parts = {}, []
-        for c in new:
-            own = None if isinstance(c, int) else [c] if c.isalpha() else self.pattern.findall(c)
-            parts.append(own)
-            words.update(dict.fromkeys(own or ()))
+        plain, parts = [], {}
+        for c in chunks.difference(self.memory):
+            if isinstance(c, int):
+                self.memory[c] = self.entry([c])
+            elif c.isalpha():
+                plain.append(c)
+            elif c[-1] in MARKS and c[:-1].isalpha():
+                parts[c] = c[:-1], c[-1]
+            else:
+                parts[c] = self.pattern.findall(c)
         if len(self.words) > WORDS:
             self.words.clear()
-        ids = self.words
-        fresh = [w for w in words if w not in ids]
-        ids.update(zip(fresh, map(tuple, self.encode_words(fresh))))
-        for c, own in zip(new, parts):
-            got = [c] if own is None else [t for w in own for t in ids[w]]
-            self.memory[c] = (" ".join([self.names[t] for t in got]), len(got), " ".join([self.tokens[t] for t in got]))
+        known = self.words
+        fresh = [*set(plain).union(*parts.values()).difference(known)]
+        known.update(zip(fresh, map(self.entry, self.encode_words(fresh))))
+        self.memory.update(zip(plain, map(known.__getitem__, plain)))
+        for c, own in parts.items():
+            got = [known[w] for w in own]
+            self.memory[c] = (" ".join([e[0] for e in got]), sum([e[1] for e in got]), " ".join([e[2] for e in got]))
+
+    def entry(self, ids: list[int]) -> tuple[str, int, str]:
+        return " ".join([self.names[t] for t in ids]), len(ids), " ".join([self.tokens[t] for t in ids])
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:
-        """For each text the remembered entry of each chunk that has ids."""
+        """For each text the remembered entry of each chunk; any chunk has ids, as the pattern leaves out nothing but white space."""
         cut = [self.chunks(t) for t in texts]
         if len(self.memory) > MEMORY:
             self.memory.clear()
         self.learn(set().union(*cut))
-        got = self.memory
-        return [[e for c in chunks if (e := got[c])[1]] for chunks in cut]
+        return [list(map(self.memory.__getitem__, chunks)) for chunks in cut]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.tokens[t] for t in ids if t in self.tokens])
@@ -301,6 +362,7 @@ _LOADED: dict[str, WordBpe] = {}
 def loaded(path: str) -> WordBpe:
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
+        gc.freeze()  # the vocabulary stays as long as the worker, so it need not be looked through again and again
     return _LOADED[path]
 
 
@@ -327,7 +389,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in byte_slices(batches, "text", BATCH):
             rows = bpe.encode([t or "" for t in b.column("text").to_pylist()])
             sizes = [sum([e[1] for e in r]) for r in rows]
-            flat = np.array(" ".join([e[0] for r in rows for e in r]).split(), np.int32)
+            flat = np.fromstring(" ".join([e[0] for r in rows for e in r]), np.int32, sep=" ")
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
             sha = [hashlib.sha256(" ".join([e[2] for e in r]).encode("utf-8")).hexdigest() for r in rows]
             columns = [b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), ids, pa.array(sha, pa.string())]
