@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from popspark.operators import diversity, genmap, intervals as I, scans
+from popspark.operators import diversity, genmap, intervals as I, resample, scans
 from popspark.plans import bmap
 
 
@@ -136,3 +136,30 @@ def test_windows_are_summed_once(spark, name):
     from popspark.catalog import QUERIES
 
     assert not any("lineitem" in f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def rows_sent_to_all(frame):
+    """The rows of the largest broadcast in the plan that a collected frame ended with."""
+    store, most = frame.sparkSession._jsparkSession.sharedState().statusStore(), 0
+    last = max((store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())))
+    nodes, values = store.planGraph(last).allNodes(), store.executionMetrics(last)
+    for n in (nodes.apply(i) for i in range(nodes.size())):
+        for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
+            if n.name() == "BroadcastExchange" and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_drawn_windows_do_not_pass_through_the_driver(spark):
+    """Spark took the draws of a bootstrap for a few bytes and broadcast them all."""
+    sizes = {"a": 3000, "b": 2000, "short": 2}
+    w = spark.createDataFrame([(c, 2 * i, float(i)) for c, n in sizes.items() for i in range(n)], "chrom string, bin int, n_same double").repartition(3)
+    drawn = resample.block_bootstrap(w, 4, 20, seed=3)
+    rows = drawn.collect()
+    assert 0 < rows_sent_to_all(drawn) <= 5002 and len(rows) == 20 * 5000
+    got = {}
+    for r in rows:
+        got.setdefault((r["replicate"], r["draw"], r["chrom"]), []).append(r["bin"])
+    assert {k[:2] for k in got} == {(i, j) for i in range(20) for j in range(1, 1251)} and len(got) == 20 * 1250
+    assert all(sorted(v) == [min(v) + 2 * i for i in range(4)] and max(v) < 2 * sizes[c] for (_, _, c), v in got.items())
+    assert 0.57 < sum(c == "a" for _, _, c in got) / len(got) < 0.63
